@@ -214,7 +214,8 @@ def symbol_to_id(
     )
     second = (
         registry.filter(~withdrawn & F.col("gene_id").isNotNull())
-        .select(F.lower(F.explode(names)).alias("k"), "gene_id")
+        .select(F.explode(names).alias("k"), "gene_id")
+        .select(F.lower("k").alias("k"), "gene_id")
         .distinct()
     )
     moved = registry.filter(withdrawn & F.col("name").contains("symbol withdrawn")).select(

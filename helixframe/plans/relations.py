@@ -355,7 +355,7 @@ def _(t):
 
 
 @query("J23_cerna_network", """WITH e AS (SELECT DISTINCT 'circ' || l_suppkey AS circ_id, l_partkey % 300 AS m FROM lineitem WHERE l_quantity > 40),
-f AS (SELECT DISTINCT replace(circ_id, 'circ', 'C') AS src, CASE WHEN m % 4 = 0 THEN unnest(['hsa-let-' || m, 'hsa-let-' || (m + 1)]) ELSE unnest(['hsa-miR-' || m]) END AS dst
+f AS (SELECT DISTINCT replace(circ_id, 'circ', 'C') AS src, unnest(CASE WHEN m % 4 = 0 THEN ['hsa-let-' || m, 'hsa-let-' || (m + 1)] ELSE ['hsa-miR-' || m] END) AS dst
  FROM e JOIN supplier ON 'circ' || s_suppkey = circ_id AND s_acctbal > 0),
 t2 AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'hsa-miR-' ELSE 'hsa-let-' END || (p_partkey % 300) AS mir, 'g' || (p_partkey // 4) AS gene FROM part
  UNION SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'hsa-miR-' ELSE 'hsa-let-' END || (p_partkey % 300), 'h' || p_size FROM part)
