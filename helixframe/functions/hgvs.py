@@ -72,64 +72,63 @@ def resolve(changes: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     not fit the coordinates leave a change unresolved.
     """
     c = F.col("change")
-    # Its own projection, so that the patterns run once per row.
-    changes = changes.withColumn("kind", change_class(c))
-    kind = F.col("kind")
-    flip = (F.col("strand") == "-") & ~c.startswith("g.")
-
-    def part(i: int, group: int, bases: bool = False) -> Column:
-        raw = change_part(c, i, group)
-        return F.when(flip, reverse_complement(raw)).otherwise(raw) if bases else raw
-
-    first = F.coalesce(*[F.when(kind == i, part(i, 1).try_cast("long")) for i in (3, 4, 5, 6, 7)])
-    second = F.coalesce(*[F.when(kind == i, part(i, 2).try_cast("long")) for i in (3, 4, 5, 6, 7)], first)
-    long_deletion = F.when(part(6, 3).rlike("^[0-9]+$"), F.lit("")).otherwise(part(6, 3, True))
-    alt = F.coalesce(
-        F.when(kind == 1, part(1, 2, True)), F.when(kind == 2, part(2, 1, True)), F.when(kind == 3, part(3, 3, True)),
-        F.when(kind == 4, part(4, 3, True)), F.when(kind == 5, part(5, 4, True)), F.when(kind == 6, long_deletion),
-        F.when(kind == 7, part(7, 3, True)), F.when(kind == 8, part(8, 1, True)), F.when(kind == 9, part(9, 1, True)),
+    # Each step is a projection of its own, so that the patterns run once per row. The pattern of the
+    # class is padded with empty groups: every row then has four parts.
+    wide = F.element_at(F.array(*[F.lit(f"^(?:{p})$()()()") for p in PATTERNS]), F.col("kind"))
+    parts = [F.call_function("regexp_extract", c, wide, F.lit(i)).alias(f"_p{i}") for i in (1, 2, 3, 4)]
+    split = changes.withColumn("kind", change_class(c)).select("mut_id", "chrom", "start", "change", "strand", "kind", *parts)
+    raw = split.selectExpr(
+        "mut_id", "chrom", "start", "change", "strand", "kind",
+        "CASE WHEN kind IN (3, 4, 5, 6, 7) THEN try_cast(_p1 AS BIGINT) END AS _first",
+        "CASE WHEN kind IN (3, 4, 5, 6, 7) THEN try_cast(nullif(_p2, '') AS BIGINT) END AS _second",
+        """CASE WHEN kind = 1 THEN _p2 WHEN kind IN (2, 8, 9) THEN _p1 WHEN kind IN (3, 4, 7) THEN _p3 WHEN kind = 5 THEN _p4
+           WHEN kind = 6 AND NOT _p3 RLIKE '^[0-9]+$' THEN _p3 ELSE '' END AS _alt""",
+        "CASE WHEN kind = 1 THEN _p1 WHEN kind = 5 THEN _p3 ELSE '' END AS _old",
+        "strand = '-' AND NOT startswith(change, 'g.') AS _flip",
     )
-    old = F.coalesce(F.when(kind == 1, part(1, 1, True)), F.when(kind == 5, part(5, 3, True)), F.lit(""))
-    staged = changes.select(
-        "mut_id", "chrom", "start", "change", "strand", "kind", alt.alias("_alt"), old.alias("_old"),
-        F.coalesce(second - first + 1, F.lit(1)).alias("_n"),
+    staged = raw.select(
+        "mut_id", "chrom", "start", "change", "strand", "kind",
+        *[F.when(F.col("_flip"), reverse_complement(F.col(x))).otherwise(F.col(x)).alias(x) for x in ("_alt", "_old")],
+        F.coalesce(F.coalesce("_second", "_first") - F.col("_first") + 1, F.lit(1)).alias("_n"),
     )
     reach = F.greatest(F.col("_n"), F.length("_alt"), F.lit(1)) + 3
     framed = with_window(
-        staged.filter("kind IS NOT NULL"), chunks, size, F.col("start") - reach, F.col("start") + reach, "mut_id", "_w"
+        staged, chunks, size, F.col("start") - reach, F.col("start") + reach, "mut_id", "_w"
     )
-    k, a, o, n = F.col("kind"), F.col("_alt"), F.col("_old"), F.col("_n")
+    a, o, n = F.col("_alt"), F.col("_old"), F.col("_n")
     la = F.length(a)
 
+    # One row per tried start; the fetched bases are a projection of their own, so that each is cut once.
+    tries = framed.withColumn("_try", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))))
+    tries = tries.withColumn("_at", F.col("start") + F.col("_try"))
+    at = F.col("_at")
+
     def fetch(low: Column, count: Column) -> Column:
         return F.substring(F.col("_w"), (low - F.col("_w_at") + 1).cast("int"), count.cast("int"))
 
-    def result(pos: Column, ref: Column, new: Column) -> Column:
-        return F.struct(pos.cast("long").alias("pos"), ref.alias("ref"), new.alias("alt"))
-
-    def attempt(at: Column) -> Column:
-        one, two = fetch(at - 1, F.lit(1)), fetch(at - 1, F.lit(2))
-        replaced, copied, cut = fetch(at - 1, n), fetch(at - 1, la), fetch(at - 1, n + 1)
-        moved_cut, moved_copy = fetch(at - n - 1, n + 1), fetch(at - n, la)
-        tail = lambda x: F.substring(x, F.lit(2), F.length(x))
-        head = lambda x: F.substring(x, 1, 1)
-        found = (
-            F.when((k == 1) & (one == o), result(at, one, a))
-            .when((k == 2) & ((la == 0) | (a == tail(two))), result(at, two, head(two)))
-            .when((k == 3) & (n == la), result(at, copied, a))
-            .when((k == 4) & (n == 2), result(at, one, F.concat(one, a)))
-            .when((k == 5) & ((F.length(o) == 0) | ((F.length(o) == n) & (replaced == o))), result(at, replaced, a))
-            .when((k == 6) & ((la == 0) | ((la == n) & (tail(cut) == a))), result(at, cut, head(cut)))
-            .when((k == 6) & (la == n) & (tail(moved_cut) == a), result(at - n, moved_cut, head(moved_cut)))
-            .when((k == 7) & (la == n) & (copied == a), result(at, copied, F.concat(copied, a)))
-            .when((k == 7) & (la == n) & (moved_copy == a), result(at - n + 1, moved_copy, F.concat(moved_copy, a)))
-            .when((k == 8) & ((la == 0) | (a == one)), result(at, one, F.concat(one, one)))
-            .when(k == 9, result(at, one, F.concat(one, a)))
-        )
-        return found
-
-    start = F.col("start")
-    hit = framed.withColumn("_r", F.coalesce(attempt(start), attempt(start - 1), attempt(start + 1))).select("mut_id", "_r")
+    tries = tries.select(
+        "mut_id", "_try", "_at", "kind", "_alt", "_old", "_n", la.alias("_la"), F.length(o).alias("_lo"),
+        fetch(at - 1, F.lit(1)).alias("_one"), fetch(at - 1, F.lit(2)).alias("_two"),
+        fetch(at - 1, n).alias("_replaced"), fetch(at - 1, la).alias("_copied"), fetch(at - 1, n + 1).alias("_cut"),
+        fetch(at - n - 1, n + 1).alias("_back_cut"), fetch(at - n, la).alias("_back_copied"),
+    )
+    found = F.expr(
+        """CASE
+        WHEN kind = 1 AND _one = _old THEN struct(_at AS pos, _one AS ref, _alt AS alt)
+        WHEN kind = 2 AND (_la = 0 OR _alt = substr(_two, 2)) THEN struct(_at AS pos, _two AS ref, left(_two, 1) AS alt)
+        WHEN kind = 3 AND _n = _la THEN struct(_at AS pos, _copied AS ref, _alt AS alt)
+        WHEN kind = 4 AND _n = 2 THEN struct(_at AS pos, _one AS ref, concat(_one, _alt) AS alt)
+        WHEN kind = 5 AND (_lo = 0 OR (_lo = _n AND _replaced = _old)) THEN struct(_at AS pos, _replaced AS ref, _alt AS alt)
+        WHEN kind = 6 AND (_la = 0 OR (_la = _n AND substr(_cut, 2) = _alt)) THEN struct(_at AS pos, _cut AS ref, left(_cut, 1) AS alt)
+        WHEN kind = 6 AND _la = _n AND substr(_back_cut, 2) = _alt THEN struct(_at - _n AS pos, _back_cut AS ref, left(_back_cut, 1) AS alt)
+        WHEN kind = 7 AND _la = _n AND _copied = _alt THEN struct(_at AS pos, _copied AS ref, concat(_copied, _alt) AS alt)
+        WHEN kind = 7 AND _la = _n AND _back_copied = _alt THEN struct(_at - _n + 1 AS pos, _back_copied AS ref, concat(_back_copied, _alt) AS alt)
+        WHEN kind = 8 AND (_la = 0 OR _alt = _one) THEN struct(_at AS pos, _one AS ref, concat(_one, _one) AS alt)
+        WHEN kind = 9 THEN struct(_at AS pos, _one AS ref, concat(_one, _alt) AS alt)
+        END"""
+    )
+    order = F.when(F.col("_try") == 0, 0).when(F.col("_try") == -1, 1).otherwise(2)
+    hit = tries.withColumn("_r", found).filter(F.col("_r").isNotNull()).groupBy("mut_id").agg(F.min_by("_r", order).alias("_r"))
     return staged.join(hit, "mut_id", "left").select("mut_id", "chrom", "start", "change", "kind", "_r.pos", "_r.ref", "_r.alt")
 
 
