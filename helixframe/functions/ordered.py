@@ -99,10 +99,21 @@ def accumulate(
 
 
 def tie_counts(
-    df: DataFrame, keys: Sequence[str], value: str, descending: bool = False
+    df: DataFrame, keys: Sequence[str], value: str, descending: bool = False, small_groups: bool = False, **extra: Column
 ) -> DataFrame:
-    """(keys, value) -> `ties` rows with that value, `upto` rows up to it, `dense` its place."""
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties"))
+    """(keys, value) -> `ties` rows with that value, `upto` rows up to it, `dense` its place.
+
+    `extra` are further aggregates per distinct value. `small_groups` is for groups of a known
+    bounded size, where a plain window does.
+    """
+    distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count("*").alias("ties"), *[c.alias(n) for n, c in extra.items()]
+    )
+    if small_groups:
+        w = W.partitionBy(*keys).orderBy(F.col(value).desc() if descending else F.col(value)).rowsBetween(
+            W.unboundedPreceding, W.currentRow
+        )
+        return distinct.withColumn("upto", F.sum("ties").over(w)).withColumn("dense", F.row_number().over(w).cast("long"))
     return accumulate(
         distinct,
         keys,
