@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import tails
 from helixframe.operators.statistics import adjust, t_statistics
+from helixframe.session import cut_lineage
 
 
 def normalised(counts: DataFrame, factors: DataFrame) -> DataFrame:
@@ -44,7 +45,8 @@ def compare_groups(
 
 
 def with_p(compared: DataFrame, method: str = "fdr_bh") -> DataFrame:
-    p = compared.withColumn("pvalue", tails.t_two_sided(F.col("t_welch"), F.col("df_welch")))
+    # The comparison is read several times below, so it is computed once and kept.
+    p = cut_lineage(compared.withColumn("pvalue", tails.t_two_sided(F.col("t_welch"), F.col("df_welch"))))
     tested = p.filter(F.col("pvalue").isNotNull() & ~F.isnan("pvalue"))
     untested = p.join(tested.select("ctrl", "test", "gene"), ["ctrl", "test", "gene"], "left_anti").withColumn(
         "padjust", F.lit(None).cast("double")

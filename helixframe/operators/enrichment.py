@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import tails
 from helixframe.operators.statistics import adjust
+from helixframe.session import cut_lineage
 
 
 def enrichment_counts(study: DataFrame, gene_terms: DataFrame, population: int | None = None) -> DataFrame:
@@ -29,9 +30,10 @@ def enrichment_counts(study: DataFrame, gene_terms: DataFrame, population: int |
 def enrich(study: DataFrame, gene_terms: DataFrame, population: int | None = None, method: str = "fdr_bh", alpha: float = 0.05) -> DataFrame:
     """Upper-tail hypergeometric p, corrected p per study, and the label e (enriched) or p."""
     counts = enrichment_counts(study, gene_terms, population)
-    p = counts.withColumn(
+    # The correction reads the p values several times, so they are computed once and kept.
+    p = cut_lineage(counts.withColumn(
         "p", tails.hypergeometric_p(F.col("study_hits"), F.col("population"), F.col("term_size"), F.col("study_size"))
-    )
+    ))
     return adjust(p, ["study"], "p", method, "q", alpha).withColumn("label", F.when(F.col("q") <= alpha, "e").otherwise("p"))
 
 

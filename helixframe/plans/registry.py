@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from helixframe.session import tune
 
 MODULES = (
-    "expression", "relations", "ranges", "files", "scalars", "calls", "statistics",
+    "expression", "relations", "ranges", "files", "scalars", "calls", "statistics", "knowledge",
 )
 
 
