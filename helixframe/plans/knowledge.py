@@ -67,7 +67,7 @@ def _(t):
 
 
 @query("T05_deepest_class", f"""WITH {_TREE}, d AS (SELECT 0::BIGINT AS node, 0 AS depth UNION ALL SELECT tree.node, depth + 1 FROM d JOIN tree ON tree.parent = d.node)
-SELECT l_orderkey AS row_id, CAST(max_by(l_partkey, depth * 1000000000 + l_partkey) AS BIGINT) AS class FROM lineitem JOIN d ON node = l_partkey GROUP BY 1""")
+SELECT l_orderkey AS row_id, CAST(max_by(l_partkey, CAST(depth AS BIGINT) * 1000000000 + l_partkey) AS BIGINT) AS class FROM lineitem JOIN d ON node = l_partkey GROUP BY 1""")
 def _(t):
     choices = t.lineitem.select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("class"))
     return ru.deepest_class(choices, gr.depth(_tree(t)).withColumnRenamed("node", "class"))
