@@ -150,8 +150,10 @@ PURITIES = np.arange(0.01, 1, 0.01)
 INTERVAL, STEP, TAIL = 0.99, 0.005, 0.01
 
 
-def _purity_profile(vaf: float, depth: int, ploidy: int, somatic_only: bool, loh_cutoff: float, weight_cutoff: float):
-    """Misfit, germline flag and subclonal flag of one variant at every purity."""
+def _purity_profile(
+    vaf: float, depth: int, ploidy: int, low: float, high: float, somatic_only: bool, loh_cutoff: float, weight_cutoff: float
+):
+    """Misfit and germline flag of one variant at every purity, over the fractions low..high."""
     p = PURITIES
     total = 2 * (1 - p) + ploidy * p
     expected, cell_fraction, germline, loh = [], [], [], []
@@ -176,14 +178,13 @@ def _purity_profile(vaf: float, depth: int, ploidy: int, somatic_only: bool, loh
             cell_fraction.append((vaf * total - 1 + p) / (c * p))
             germline.append(True)
             loh.append(c == ploidy)
-    hits = round(depth * vaf)
-    side = (1 - INTERVAL) / 2
-    low = 0.0 if hits == 0 else float(tails.beta_quantile(side, hits, depth - hits + 1))
-    high = 1.0 if hits == depth else float(tails.beta_quantile(1 - side, hits + 1, depth - hits))
     span = np.arange(low, high + STEP, STEP)
     span[-1] = high
     reads = np.round(depth * span)
-    likelihood = tails.binomial_pmf(reads[:, None, None], depth, np.stack(expected)[None]) + np.finfo(float).tiny
+    chance = np.stack(expected)
+    ways = tails.log_choose(float(depth), reads)[:, None, None]
+    k = reads[:, None, None]
+    likelihood = np.exp(ways + k * np.log(chance) + (depth - k) * np.log1p(-chance)) + np.finfo(float).tiny
     share = likelihood / likelihood.sum(axis=(0, 1))
     weight = share.sum(axis=0)
     misfit = ((np.stack(cell_fraction) - 1) ** 2 * weight).sum(axis=0)
@@ -191,8 +192,21 @@ def _purity_profile(vaf: float, depth: int, ploidy: int, somatic_only: bool, loh
     flagged = np.zeros(len(p), dtype=bool)
     if is_germ.any():
         flagged = (weight[is_germ].sum(axis=0) > weight_cutoff) & ~(weight[is_loh] > loh_cutoff).any(axis=0)
-    subclonal = tails.binomial_cdf(float(hits), float(depth), p / total) < TAIL
-    return misfit, flagged, subclonal
+    return misfit, flagged
+
+
+def _fraction_bounds(hits: np.ndarray, depth: np.ndarray):
+    """Exact binomial interval of the allele fraction, for a whole batch at once."""
+    side = (1 - INTERVAL) / 2
+    low = tails.beta_quantile(side, np.maximum(hits, 0.5), depth - hits + 1)
+    high = tails.beta_quantile(1 - side, hits + 1, np.maximum(depth - hits, 0.5))
+    return np.where(hits == 0, 0.0, low), np.where(hits == depth, 1.0, high)
+
+
+def _subclonal(hits: np.ndarray, depth: np.ndarray, ploidy: np.ndarray) -> np.ndarray:
+    """Whether a clonal heterozygous variant would hardly have so few reads, per variant and purity."""
+    chance = PURITIES / (2 * (1 - PURITIES) + ploidy[:, None] * PURITIES)
+    return tails.binomial_cdf(hits[:, None], depth[:, None], chance) < TAIL
 
 
 def tumour_purity(
@@ -207,10 +221,16 @@ def tumour_purity(
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [
-                (r.sample, r.id, *(x.tolist() for x in _purity_profile(r.vaf, int(r.depth), int(r.ploidy), somatic_only, loh_cutoff, weight_cutoff)))
-                for r in pdf.itertuples()
-            ]
+            depth, ploidy = pdf["depth"].to_numpy(dtype=float), pdf["ploidy"].to_numpy(dtype=float)
+            hits = np.round(depth * pdf["vaf"].to_numpy(dtype=float))
+            low, high = _fraction_bounds(hits, depth)
+            late = _subclonal(hits, depth, ploidy)
+            rows = []
+            for i, r in enumerate(pdf.itertuples()):
+                misfit, germ = _purity_profile(
+                    r.vaf, int(r.depth), int(r.ploidy), low[i], high[i], somatic_only, loh_cutoff, weight_cutoff
+                )
+                rows.append((r.sample, r.id, misfit.tolist(), germ.tolist(), late[i].tolist()))
             yield pd.DataFrame(rows, columns=["sample", "id", "misfit", "germline", "subclonal"])
 
     usable = variants.filter("depth > 0").select(F.col("sample").cast("string").alias("sample"), F.col("id").cast("string").alias("id"), "vaf", "depth", "ploidy")
