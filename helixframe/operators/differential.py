@@ -75,9 +75,9 @@ def report(
 
     return joined.select(
         "gene", F.coalesce(F.col(extra).cast("string"), F.lit("None")).alias(extra),
-        shown(F.round(fold, 4).cast("string")).alias("log2fc"),
-        shown(F.round("pvalue", 6).cast("string")).alias("pvalue"),
-        shown(F.round("padjust", 6).cast("string")).alias("padjust"),
+        shown(F.format_string("%.4f", fold)).alias("log2fc"),
+        shown(F.when(F.col("pvalue").isNotNull(), F.format_string("%.6f", "pvalue"))).alias("pvalue"),
+        shown(F.when(F.col("padjust").isNotNull(), F.format_string("%.6f", "padjust"))).alias("padjust"),
         F.when(tested, F.when(significant, "yes").otherwise("no")).otherwise("untested").alias("significant"),
         F.when(tested, direction(fold)).otherwise("untested").alias("regulate"),
     )
@@ -89,7 +89,7 @@ def significant_genes(stats: DataFrame, fold_cutoff: float, stat_cutoff: float,
 
 def summary_matrix(genes: DataFrame, significant: DataFrame, comparisons: list[str]) -> DataFrame:
     """yes or no per gene and comparison with the number of yes; significant is (gene, comparison)."""
-    wide = significant.groupBy("gene").pivot("comparison", comparisons).agg(F.lit("yes"))
+    wide = significant.groupBy("gene").pivot("comparison", comparisons).agg(F.max(F.lit("yes")))
     out = genes.select("gene").distinct().join(wide, "gene", "left").fillna("no", comparisons)
     n = reduce(lambda a, b: a + b, [F.when(F.col(f"`{c}`") == "yes", 1).otherwise(0) for c in comparisons])
     return out.withColumn("total", n)

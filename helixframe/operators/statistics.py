@@ -336,5 +336,5 @@ def kernel_density(df: DataFrame, value: str, grid: Sequence[float]) -> DataFram
     sums = [
         F.avg(F.exp(-0.5 * ((F.lit(float(g)) - v) / h) ** 2) / (h * (2 * pi) ** 0.5)).alias(f"_g{i}") for i, g in enumerate(grid)
     ]
-    entries = [F.struct(F.lit(float(g)).alias("at"), F.col(f"_g{i}").alias("density")) for i, g in enumerate(grid)]
+    entries = [F.struct(F.lit(float(g)).alias("point"), F.col(f"_g{i}").alias("density")) for i, g in enumerate(grid)]
     return rows.agg(*sums).select(F.inline(F.array(*entries)))

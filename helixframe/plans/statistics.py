@@ -327,7 +327,7 @@ def _stats(t):
 _ST = """st AS (SELECT l_partkey AS gene, round(avg(l_extendedprice) / 10000 - 5, 4) AS fc, round(min(l_quantity) / 50, 6) AS p, least(round(min(l_quantity) / 50, 6) * 2, 1) AS q FROM lineitem WHERE l_partkey % 4 <> 0 GROUP BY 1)"""
 
 
-@query("M20_report", f"""WITH {_ST} SELECT p_partkey AS gene, CASE WHEN p_size > 25 THEN p_name ELSE 'None' END AS name, CASE WHEN st.gene IS NULL THEN 'untested' ELSE CAST(fc + 0.0 AS VARCHAR) END AS log2fc, CASE WHEN st.gene IS NULL THEN 'untested' WHEN fc >= 0.1 OR fc <= -0.1 THEN CASE WHEN q <= 0.1 THEN 'yes' ELSE 'no' END ELSE 'no' END AS significant,
+@query("M20_report", f"""WITH {_ST} SELECT p_partkey AS gene, CASE WHEN p_size > 25 THEN p_name ELSE 'None' END AS name, CASE WHEN st.gene IS NULL THEN 'untested' ELSE printf('%.4f', fc) END AS log2fc, CASE WHEN st.gene IS NULL THEN 'untested' WHEN fc >= 0.1 OR fc <= -0.1 THEN CASE WHEN q <= 0.1 THEN 'yes' ELSE 'no' END ELSE 'no' END AS significant,
  CASE WHEN st.gene IS NULL THEN 'untested' WHEN fc = 0 THEN 'stable' WHEN fc > 0 THEN 'up' ELSE 'down' END AS regulate FROM part LEFT JOIN st ON st.gene = p_partkey""")
 def _(t):
     genes = t.part.select(F.col("p_partkey").alias("gene"))
@@ -390,8 +390,8 @@ def _(t):
     return st.histogram(t.lineitem.withColumnRenamed("l_returnflag", "grp"), ["grp"], "l_extendedprice", 0, 100000, 20)
 
 
-@query("M34_kernel_density", """WITH a AS (SELECT o_totalprice AS v, stddev_samp(o_totalprice) OVER () * pow(count(*) OVER (), -0.2) AS h FROM orders), g AS (SELECT unnest(range(0, 21)) * 25000.0::DOUBLE AS at)
-SELECT at, round(avg(exp(-0.5 * pow((at - v) / h, 2)) / (h * sqrt(2 * pi()))) * 1e6, 6) AS density FROM g, a GROUP BY 1""")
+@query("M34_kernel_density", """WITH a AS (SELECT o_totalprice AS v, stddev_samp(o_totalprice) OVER () * pow(count(*) OVER (), -0.2) AS h FROM orders), g AS (SELECT unnest(range(0, 21)) * 25000.0::DOUBLE AS point)
+SELECT point, round(avg(exp(-0.5 * pow((point - v) / h, 2)) / (h * sqrt(2 * pi()))) * 1e6, 6) AS density FROM g, a GROUP BY 1""")
 def _(t):
     out = st.kernel_density(t.orders, "o_totalprice", [25000.0 * i for i in range(21)])
-    return out.select("at", F.round(F.col("density") * 1e6, 6).alias("density"))
+    return out.select("point", F.round(F.col("density") * 1e6, 6).alias("density"))
