@@ -9,6 +9,7 @@ from helixframe.operators import expression as ex
 from helixframe.plans import bindings as b
 from helixframe.plans.bindings import COUNTS, GROUPS, LENGTHS
 from helixframe.plans.registry import Suite
+from helixframe.sources import lines
 
 suite = Suite()
 query = suite.query
@@ -364,3 +365,15 @@ def _(t):
 @query("T02_top_by_mean", f"""WITH {COUNTS} SELECT gene, round(avg(value), 4) AS mean_value FROM counts GROUP BY 1 ORDER BY avg(value) DESC, gene LIMIT 100""")
 def _(t):
     return ex.top_by_mean(b.counts(t), 100).select("gene", r("mean_value"))
+
+
+@query("T07_natural_order", """SELECT l_linenumber AS grp, CAST(floor(l_quantity) AS BIGINT) AS pos, count(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY 1, 2 DESC""")
+def _(t):
+    spots = t.lineitem.groupBy(F.col("l_linenumber").alias("grp"), F.floor("l_quantity").alias("pos")).agg(F.count("*").alias("n"))
+    return spots.orderBy("grp", F.desc("pos"))
+
+
+@query("W06_forward_fill", """SELECT o_custkey % 3 AS path, o_orderkey AS line_no, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) AS header FROM orders""")
+def _(t):
+    rows = t.orders.select((F.col("o_custkey") % 3).alias("path"), F.col("o_orderkey").alias("line_no"), F.col("o_orderstatus").alias("value"))
+    return lines.last_seen(rows, F.col("value") == "F", "header").select("path", "line_no", "header")
