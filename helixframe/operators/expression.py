@@ -6,7 +6,7 @@ aggregates joined back, so a sample holding most of the rows still spreads over
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions import ordered
@@ -349,8 +349,6 @@ def top_ranked(df: DataFrame, top: float, in_samples: float, n_genes: int, n_sam
 
 def top_share(df: DataFrame, top: int) -> DataFrame:
     """The leading genes of each sample with their share of its total."""
-    from pyspark.sql import Window as W
-
     # Spark keeps only `top` rows per sample and task before the shuffle (window group limit).
     place = F.row_number().over(W.partitionBy("sample").orderBy(F.desc("value"), "gene"))
     leading = df.withColumn("place", place).filter(F.col("place") <= top)
@@ -368,11 +366,12 @@ def length_histogram(df: DataFrame, text: str, ratio_limit: float = 0.999) -> Da
     """Lengths by falling frequency with share, running share and whether the plot shows them."""
     hist = df.groupBy(F.length(text).cast("long").alias("length")).agg(F.count("*").alias("number"))
     total = hist.agg(F.sum("number").alias("t")).scalar()
-    # Frequent lengths first, shorter ones first among equals; one number orders both.
-    keyed = hist.withColumn("_key", F.col("number").cast("decimal(38,0)") * (1 << 31) - F.col("length"))
-    keyed = keyed.withColumn("_key", F.col("_key").cast("long"))
-    run = ordered.accumulate(
-        keyed, [], "_key", {"running": ("sum", F.col("number")), "rank": ("sum", F.lit(1).cast("long"))}, descending=True
+    # One row per distinct length, so this order is over no more rows than the longest text has letters.
+    by_size = W.partitionBy(F.lit(0)).orderBy(F.desc("number"), "length")
+    run = hist.select(
+        "length", "number",
+        F.sum("number").over(by_size.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("running"),
+        F.row_number().over(by_size).cast("long").alias("rank"),
     )
     return run.select(
         "length", "number", "rank",
