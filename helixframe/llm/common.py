@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.session import tune
+from helixframe.session import cut_lineage, tune
 
 #: Rows of an Arrow batch. A batch holds whole texts, so it is kept well below Spark's default.
 BATCH_ROWS = 500
@@ -41,3 +41,15 @@ def by_bytes(texts: pd.Series, limit: int) -> Iterator[list[str]]:
         size += len(text)
     if slice_:
         yield slice_
+
+
+def text_key(docs: DataFrame) -> Column:
+    """A hash of the whole text: with the id, it names a row up to equal rows."""
+    return F.xxhash64(text_of(docs["text"]))
+
+
+def without(docs: DataFrame, found: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows of `docs` that are not in `found` (doc_id, text_key), which is broadcast only if it is counted small."""
+    keys = cut_lineage(found.select(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_text")).distinct())
+    same = docs["doc_id"].cast("long").eqNullSafe(keys["_found_id"]) & (text_key(docs) == keys["_found_text"])
+    return docs.join(F.broadcast(keys) if keys.count() <= broadcast_rows else keys, same, "left_anti")

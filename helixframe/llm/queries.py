@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from helixframe.llm import packing, tokens
+from helixframe.llm import credentials, decontamination, packing, simhash, tokens, toxicity
 from helixframe.llm.common import prepare
 from helixframe.plans.registry import Suite, Tables
 
@@ -30,3 +30,24 @@ def _(t):
 @suite.query("op3_token_counts")
 def _(t):
     return tokens.token_counts(table(t, "documents"), TOKENIZER)
+
+
+@suite.query("op2_simhash")
+def _(t):
+    return simhash.near_duplicates(table(t, "documents"))
+
+
+@suite.query("op4_decontamination")
+def _(t):
+    return decontamination.matches(table(t, "documents"), table(t, "benchmark")).select(
+        "doc_id", "item_id", "matched", "windows", "share", "changed")
+
+
+@suite.query("op5_toxicity")
+def _(t):
+    return toxicity.toxicity(table(t, "documents"), table(t, "labels"))
+
+
+@suite.query("op8_secrets")
+def _(t):
+    return credentials.digest_columns(credentials.scan(table(t, "documents")))
