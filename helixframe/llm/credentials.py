@@ -16,7 +16,7 @@ KINDS = {
     "hex": (r"[0-9a-f]{24,}", 24),
 }
 #: A further kind: long mixed tokens that look random. They count only where few owners have them.
-MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[A-Za-z0-9+/_=-]{20,}"
+MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}"
 _VALUE = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 _HINT = r"(?i)password|passwd|secret|token|api_?key|akia|[0-9a-f]{24}|[a-z0-9+/_=-]{20}"
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from helixframe.llm import credentials, decontamination, packing, simhash, tokens, toxicity
+from helixframe.llm import articles, credentials, decontamination, edits, packing, simhash, surrogates, tokens, toxicity, urls
 from helixframe.llm.common import prepare
 from helixframe.plans.registry import Suite, Tables
 
@@ -51,3 +52,35 @@ def _(t):
 @suite.query("op8_secrets")
 def _(t):
     return credentials.digest_columns(credentials.scan(table(t, "documents")))
+
+
+#: The rules of the contract.
+URL_RULES = (
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+)
+SURROGATE_KEY = "corpus"
+
+
+@suite.query("op6_urls")
+def _(t):
+    return urls.judged(table(t, "pages"), URL_RULES)
+
+
+@suite.query("op7_edits")
+def _(t):
+    return edits.with_edits(table(t, "documents"))
+
+
+@suite.query("op9_articles")
+def _(t):
+    return articles.extracted(table(t, "pages"))
+
+
+@suite.query("op10_surrogates")
+def _(t):
+    return surrogates.pseudonymised(table(t, "documents"), SURROGATE_KEY)
+
+
+@suite.query("pipeline")
+def _(t):
+    return corpus_pipeline.run(t.spark, t.folder)
