@@ -90,14 +90,15 @@ def _leaf(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         a, b = np.triu_indices(len(values), 1)
         near = np.bitwise_count(values[a] ^ values[b]) <= radius
         root = list(range(len(values)))
-        for i, j in zip(a[near].tolist(), b[near].tolist()):
+        for at, other in zip(a[near].tolist(), b[near].tolist()):
+            i, j = at, other
             while root[i] != i:
                 i = root[i]
             while root[j] != j:
                 j = root[j]
             if i != j:
                 root[j] = i
-                links.append((values[i], values[j]))
+                links.append((values[at], values[other]))
         return links
     left = np.ones(len(values), dtype=bool)
     for seed in range(len(values)):

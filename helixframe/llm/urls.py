@@ -96,7 +96,7 @@ def path_tokens(path: Column) -> Column:
     return F.array_sort(F.filter(tokens, lambda t: t != ""))
 
 
-def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], seeds: Sequence[str] = tuple(SEEDS)) -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], seeds: Sequence[str] = tuple(SEEDS), smoothing: float = 0.1) -> DataFrame:
     """(page_id, host, path, rule, verdict, words, score), one row per row of `pages`.
 
     Training urls are all urls of the table, unwanted if a word of host or path is a seed. `score` is the log odds for
@@ -123,7 +123,11 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], seeds: Sequence[s
     bad, good, size = ((x or 0) for x in sums)
     urls = seeded.agg(F.sum(F.col("n") * F.col("bad")), F.sum(F.col("n") * (1 - F.col("bad")))).first()
     prior = math.log(((urls[0] or 0) + 1) / ((urls[1] or 0) + 1))
-    odds = table.select("word", (F.log((F.col("bad") + 1) / F.lit(float(bad + size + 1))) - F.log((F.col("good") + 1) / F.lit(float(good + size + 1)))).alias("odds"))
+
+    def share(count: str, total: float) -> Column:
+        return F.log((F.col(count) + smoothing) / F.lit(total + smoothing * (size + 1)))
+
+    odds = table.select("word", (share("bad", bad) - share("good", good)).alias("odds"))
 
     def scored(df: DataFrame, key: str, tokens: Column, name: str) -> DataFrame:
         return df.select(key, F.explode(tokens).alias("word")).join(odds, "word").groupBy(key).agg(F.sum("odds").alias(name))
