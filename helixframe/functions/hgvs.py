@@ -9,19 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions import ordered
 from helixframe.functions.text import reverse_complement
 
-# Patterns of coding changes; the first that matches wholly gives the class.
+# Patterns of coding changes; the first that matches wholly gives the class. The third takes a
+# substitution of several bases with or without the old ones before `>`.
 PATTERNS = [
-    r"[cg].[*]?[0-9+-]+([ATCG])>([ATCG])",
-    r"[cg].[0-9]+del([ATCG]*)",
-    r"[cg].([0-9]+)_([0-9]+)(?:[ATCG]*>)?([ATCG]+)",
-    r"[cg].([0-9]+)_([0-9]+)ins([ATCG]+)",
-    r"[cg].([0-9]+)[_]?([0-9]*)del([ATCG]*)ins([ATCG]+)",
-    r"[cg].([0-9]+)_([0-9]+)del([ATCG]*[0-9]*)",
-    r"[cg].([0-9]+)_([0-9]+)dup([ATCG]+)",
-    r"[cg].[0-9]+dup([ATCG]?)",
-    r"[cg].[0-9]+ins([ATCG])",
+    r"[cg]\.[*]?[0-9+-]+([ATCG])>([ATCG])",
+    r"[cg]\.[0-9]+del([ATCG]*)",
+    r"[cg]\.([0-9]+)_([0-9]+)(?:[ATCG]*>)?([ATCG]+)",
+    r"[cg]\.([0-9]+)_([0-9]+)ins([ATCG]+)",
+    r"[cg]\.([0-9]+)[_]?([0-9]*)del([ATCG]*)ins([ATCG]+)",
+    r"[cg]\.([0-9]+)_([0-9]+)del([ATCG]*[0-9]*)",
+    r"[cg]\.([0-9]+)_([0-9]+)dup([ATCG]+)",
+    r"[cg]\.[0-9]+dup([ATCG]?)",
+    r"[cg]\.[0-9]+ins([ATCG])",
 ]
 
 
@@ -40,10 +42,28 @@ def change_part(c: Column, kind: int, group: int) -> Column:
 
 def to_chunks(sequences: DataFrame, size: int) -> DataFrame:
     """(chrom, seq) to chunks numbered from 0."""
-    count = F.ceil(F.length("seq") / size).cast("int")
-    return sequences.filter(F.length("seq") > 0).select(
-        "chrom", "seq", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_no")
-    ).select("chrom", "chunk_no", F.substring(F.col("seq"), F.col("chunk_no") * size + 1, F.lit(size)).alias("seq"))
+    # One pass of a pattern over the sequence: a substring per chunk would walk from the start each time.
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return sequences.filter(F.length("seq") > 0).select("chrom", F.posexplode(pieces).alias("chunk_no", "seq"))
+
+
+def lines_to_chunks(lines: DataFrame, size: int) -> DataFrame:
+    """(chrom, line_no, seq) sequence lines of any widths to chunks, without a row that holds a whole sequence.
+
+    Running lengths give each line its offset; a line is cut at the chunk borders inside it and the parts of a
+    chunk are put together.
+    """
+    sized = lines.filter(F.length("seq") > 0).withColumn("_n", F.length("seq").cast("long"))
+    placed = ordered.accumulate(sized, ["chrom"], "line_no", {"_end": ("sum", F.col("_n"))}).withColumn("_at", F.col("_end") - F.col("_n"))
+    first, last = F.floor(F.col("_at") / size), F.floor((F.col("_end") - 1) / size)
+    cut = placed.withColumn("chunk_no", F.explode(F.sequence(first, last)))
+    low = F.greatest(F.col("_at"), F.col("chunk_no") * size)
+    high = F.least(F.col("_end"), (F.col("chunk_no") + 1) * size)
+    part = F.substring("seq", (low - F.col("_at") + 1).cast("int"), (high - low).cast("int"))
+    parts = cut.select("chrom", "chunk_no", F.struct(low.alias("at"), part.alias("part")).alias("p"))
+    # A chunk's list holds at most `size` letters.
+    return parts.groupBy("chrom", "chunk_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "").alias("seq"))
 
 
 def with_window(df: DataFrame, chunks: DataFrame, size: int, low: Column, high: Column, key: str, name: str) -> DataFrame:

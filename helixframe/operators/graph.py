@@ -14,14 +14,21 @@ from helixframe.session import cut_lineage
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node) for every node under each root, itself included; edges is (node, parent)."""
     step = edges.filter(F.col("node") != F.col("parent")).select(F.col("parent").alias("_p"), F.col("node").alias("_n")).distinct()
-    found = cut_lineage(roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node")).distinct())
-    frontier = found
+    parts = [cut_lineage(roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node")).distinct())]
     while True:
-        reached = frontier.join(step, frontier.node == step._p).select("root", F.col("_n").alias("node")).distinct()
-        frontier = cut_lineage(reached.join(found, ["root", "node"], "left_anti"))
+        reached = parts[-1].join(step, F.col("node") == F.col("_p")).select("root", F.col("_n").alias("node")).distinct()
+        frontier = cut_lineage(reached.join(_all(parts), ["root", "node"], "left_anti"))
         if frontier.isEmpty():
-            return found
-        found = cut_lineage(found.union(frontier))
+            return _all(parts)
+        parts.append(frontier)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    """The rounds so far as one table; each is written once and none is written again."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def subtree_expression(edges: DataFrame, expression: str) -> DataFrame:
@@ -53,19 +60,30 @@ def subtree_expression(edges: DataFrame, expression: str) -> DataFrame:
 
 
 def depth(edges: DataFrame) -> DataFrame:
-    """(node, depth): the longest way up along parents; a node without a parent has 0. The edges hold no cycle."""
-    up = edges.select("node", "parent").distinct()
-    nodes = up.select("node").union(up.select("parent")).distinct()
-    current = cut_lineage(nodes.join(up, "node", "left_anti").select("node", F.lit(0).alias("depth")))
-    best = current
+    """(node, depth): the longest way up along parents; a node without a parent other than itself has 0.
+
+    A round takes the nodes one step further down, so more rounds than nodes mean a cycle, which is an error, as is a
+    graph of which some node cannot be reached from a root.
+    """
+    nodes = edges.select("node").union(edges.select(F.col("parent"))).filter("node IS NOT NULL").distinct()
+    up = edges.select("node", "parent").filter("node <> parent").distinct()
+    rounds = [cut_lineage(nodes.join(up, "node", "left_anti").select("node", F.lit(0).alias("depth")))]
+    count = nodes.count()
+    below = up.select(F.col("node").alias("_child"), "parent")
     while True:
+        if len(rounds) > count + 1:
+            raise ValueError("the hierarchy holds a cycle")
         current = cut_lineage(
-            current.join(up.withColumnRenamed("node", "_child"), F.col("node") == F.col("parent"))
+            rounds[-1].join(below, F.col("node") == F.col("parent"))
             .select(F.col("_child").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
         )
         if current.isEmpty():
-            return best
-        best = cut_lineage(best.union(current).groupBy("node").agg(F.max("depth").alias("depth")))
+            break
+        rounds.append(current)
+    out = cut_lineage(_all(rounds).groupBy("node").agg(F.max("depth").alias("depth")))
+    if out.count() < count:
+        raise ValueError("the hierarchy holds a cycle")
+    return out
 
 
 def nodes_by_rank(nodes: DataFrame) -> DataFrame:

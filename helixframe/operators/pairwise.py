@@ -15,25 +15,31 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import ordered
 
-KINDS = ("n", "x", "xx", "xy", "abs")
+KINDS = ("n", "x", "xx", "xy", "abs", "sq")
 
 
 def wide(df: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(row).pivot(column, list(columns)).agg(F.first(value))
 
 
-def pair_sums(matrix: DataFrame, columns: Sequence[str], absolute: bool = False) -> DataFrame:
-    """(a, b, n, x, xx, xy[, abs]) for every ordered column pair over the rows where both have a value.
+def pair_sums(matrix: DataFrame, columns: Sequence[str], absolute: bool = False, centred: bool = False) -> DataFrame:
+    """(a, b, n, x, xx, xy, abs, sq) for every ordered column pair over the rows where both have a value.
 
-    x and xx belong to column a; those of b are found under (b, a).
+    x and xx belong to column a; those of b are found under (b, a). `centred` measures from a value near each
+    column's median, so that sums of a column with a small spread far from zero keep its digits; a constant
+    column then sums to exactly zero. abs and sq are sums over the gaps between the columns as they are.
     """
     names = list(columns)
+    middle = np.zeros(len(names))
+    if centred:
+        found = matrix.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 100).alias(c) for c in names]).first()
+        middle = np.array([found[c] or 0.0 for c in names])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = len(names)
         sums = {k: np.zeros((size, size)) for k in KINDS}
         for batch in batches:
-            v = batch[names].to_numpy(dtype=float)
+            v = batch[names].to_numpy(dtype=float) - middle
             m = ~np.isnan(v)
             filled, mask = np.where(m, v, 0.0), m.astype(float)
             sums["n"] += mask.T @ mask
@@ -42,8 +48,9 @@ def pair_sums(matrix: DataFrame, columns: Sequence[str], absolute: bool = False)
             sums["xy"] += filled.T @ filled
             if absolute:
                 for i in range(size):
-                    gap = np.abs(filled[:, [i]] - filled) * mask[:, [i]] * mask
+                    gap = np.abs(filled[:, [i]] + middle[i] - filled - middle) * mask[:, [i]] * mask
                     sums["abs"][i] += gap.sum(axis=0)
+                    sums["sq"][i] += (gap**2).sum(axis=0)
         a, b = np.meshgrid(np.arange(size), np.arange(size), indexing="ij")
         yield pd.DataFrame({"a": a.ravel(), "b": b.ravel(), **{k: s.ravel() for k, s in sums.items()}})
 
@@ -61,34 +68,57 @@ def _both(sums: DataFrame) -> DataFrame:
 
 
 def correlation(sums: DataFrame, least_rows: int = 0) -> DataFrame:
-    """Pearson correlation of every pair; 0 where fewer than `least_rows` rows are shared."""
+    """Pearson correlation of every pair from centred sums: null where a column is constant, 0 where fewer than
+    `least_rows` rows are shared."""
     n = F.col("n")
     cov = n * F.col("xy") - F.col("x") * F.col("y")
-    scale = F.sqrt((n * F.col("xx") - F.col("x") ** 2) * (n * F.col("yy") - F.col("y") ** 2))
-    r = F.when(n < least_rows, 0.0).otherwise(F.coalesce(F.try_divide(cov, scale), F.lit(0.0)))
-    return _both(sums).select("a", "b", n.cast("long").alias("n"), r.alias("corr"))
+    scale = F.sqrt(n * F.col("xx") - F.col("x") ** 2) * F.sqrt(n * F.col("yy") - F.col("y") ** 2)
+    r = F.when(n < least_rows, 0.0).otherwise(F.try_divide(cov, scale))
+    return _both(sums).select("a", "b", n.cast("long").alias("n"), F.when(~F.isnan(r), F.greatest(F.lit(-1.0), F.least(r, F.lit(1.0)))).alias("corr"))
 
 
 def pearson_matrix(df: DataFrame, samples: Sequence[str]) -> DataFrame:
-    return correlation(pair_sums(wide(df, "gene", "sample", "value", samples), samples))
+    return correlation(pair_sums(wide(df, "gene", "sample", "value", samples), samples, centred=True))
 
 
 def spearman_matrix(df: DataFrame, samples: Sequence[str]) -> DataFrame:
-    """Pearson correlation of average ranks; genes with a missing sample are left out first."""
-    full = df.groupBy("gene").agg(F.countDistinct("sample").alias("n")).filter(F.col("n") == len(samples))
-    ranked = ordered.average_rank(df.join(full, "gene", "left_semi"), ["sample"], "value", "rank")
-    return correlation(pair_sums(wide(ranked, "gene", "sample", "rank", samples), samples))
+    """Pearson correlation of average ranks, those of a pair over the genes that both samples have.
+
+    Samples with all genes share one ranking. The others are ranked anew for each partner, so every gene of theirs
+    meets each sample once; no more rows than genes times samples times incomplete samples.
+    """
+    kept = df.filter(F.col("value").isNotNull() & F.col("sample").isin(*samples)).select("gene", "sample", "value")
+    genes = kept.select("gene").distinct().count()
+    counts = {r["sample"]: r["n"] for r in kept.groupBy("sample").agg(F.countDistinct("gene").alias("n")).collect()}
+    whole = [s for s in samples if counts.get(s, 0) == genes]
+    partial = [s for s in samples if counts.get(s, 0) < genes]
+    parts = []
+    if whole:
+        ranked = ordered.average_rank(kept.filter(F.col("sample").isin(*whole)), ["sample"], "value", "rank")
+        parts.append(correlation(pair_sums(wide(ranked, "gene", "sample", "rank", whole), whole, centred=True)))
+    if partial:
+        pairs = [(a, b) for i, a in enumerate(samples) for b in samples[i:] if a in partial or b in partial]
+        asked = F.broadcast(df.sparkSession.createDataFrame(pairs, "a string, b string"))  # samples squared rows
+        one, two = kept.select("gene", F.col("sample").alias("a"), F.col("value").alias("x")), kept.select("gene", F.col("sample").alias("b"), F.col("value").alias("y"))
+        both = one.join(two, "gene").join(asked, ["a", "b"])
+        for side in ("x", "y"):
+            both = ordered.average_rank(both, ["a", "b"], side, f"rank_{side}")
+        r = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("rank_x", "rank_y").alias("corr"))
+        r = r.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
+        parts.append(r.union(r.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "corr")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
 
 
 def distances(df: DataFrame, samples: Sequence[str]) -> DataFrame:
     """Euclidean, city block, cosine and correlation distance of every sample pair."""
-    sums = pair_sums(wide(df, "gene", "sample", "value", samples), samples, absolute=True)
-    r = correlation(sums).select("a", "b", (1 - F.col("corr")).alias("correlation"))
-    both = _both(sums).select(
-        "a", "b",
-        F.sqrt(F.greatest(F.col("xx") + F.col("yy") - 2 * F.col("xy"), F.lit(0.0))).alias("euclidean"),
-        F.col("abs").alias("cityblock"),
-        (1 - F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))).alias("cosine"),
+    matrix = wide(df, "gene", "sample", "value", samples)
+    r = correlation(pair_sums(matrix, samples, centred=True)).select("a", "b", (1 - F.col("corr")).alias("correlation"))
+    both = _both(pair_sums(matrix, samples, absolute=True)).select(
+        "a", "b", F.sqrt("sq").alias("euclidean"), F.col("abs").alias("cityblock"),
+        (1 - F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))).alias("cosine"),
     )
     return both.join(r, ["a", "b"])
 
@@ -148,7 +178,7 @@ def identity_depths(sites: DataFrame, universe: int = UNIVERSE) -> DataFrame:
 def same_donor(sites: DataFrame, samples: Sequence[str], family: bool = False, nonzero: bool = False) -> DataFrame:
     """Matched or unmatched for every unordered sample pair from their shared allele fractions."""
     used = sites.filter(F.col("vaf").isNotNull())
-    r = correlation(pair_sums(wide(used, "index", "sample", "vaf", samples), samples), 20).filter(F.col("a") < F.col("b"))
+    r = correlation(pair_sums(wide(used, "index", "sample", "vaf", samples), samples, centred=True), 20).fillna(0.0, ["corr"]).filter(F.col("a") < F.col("b"))
     depth = identity_depths(sites).select("sample", F.col("real_depth" if nonzero else "mean_depth").alias("d"))
     both = (
         r.join(depth.select(F.col("sample").alias("a"), F.col("d").alias("da")), "a")

@@ -104,13 +104,14 @@ def domain_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", F.split("pfam_id", r"\.")[0].alias("domain")).agg(F.count("*").alias("n"))
 
 
-MOST_DOMAINS = 10  # Fixed value: exclusive upper bound of an open domain count.
+#: No protein holds more domains than an int counts.
+NO_LIMIT = 2**31 - 1
 
 
-def parse_family_rules(rules: DataFrame) -> DataFrame:
+def parse_family_rules(rules: DataFrame, most: int = NO_LIMIT) -> DataFrame:
     """(family, subfamily, role, domain, low, high) from (family, subfamily, binding, auxiliary, forbidden) text.
 
-    `AP2 (>=2) (PF00847)` asks for a count, `B3 (PF02362)` for any.
+    `AP2 (>=2) (PF00847)` asks for a count, `B3 (PF02362)` for any; `most` bounds counts without an upper end.
     """
     text = lambda c: F.regexp_replace(c, "self-build", "PF0000x")
     pattern = r"(?:\(([<>=]*\d+)\)\s+)?\((P[^()]+?)\)"
@@ -126,7 +127,7 @@ def parse_family_rules(rules: DataFrame) -> DataFrame:
     count = F.col("e.count")
     number = F.regexp_extract(count, r"(\d+)", 1).try_cast("int")
     low = F.when(number.isNull() | count.contains("<"), 1).otherwise(number)
-    high = F.when(number.isNull() | count.contains(">"), MOST_DOMAINS - 1).otherwise(number)
+    high = F.when(number.isNull() | count.contains(">"), most).otherwise(number)
     return every.select("family", "subfamily", "role", F.col("e.domain").alias("domain"), low.alias("low"), high.alias("high"))
 
 

@@ -57,7 +57,7 @@ def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
 # --- two-group tests ---------------------------------------------------------------------
 
 def rank_sums(df: DataFrame, keys: Sequence[str], value: str, first: Column, small_groups: bool = False) -> DataFrame:
-    """(keys, n1, n2, u1, z_mw, z_rs): rank statistics of the rows of the first group against the others.
+    """(keys, n1, n2, u1, z_mw, z_rs, tied): rank statistics of the rows of the first group against the others.
 
     z_mw is the Mann-Whitney z with ties and continuity, z_rs the rank-sum z without them. Both
     are asymptotic.
@@ -69,6 +69,7 @@ def rank_sums(df: DataFrame, keys: Sequence[str], value: str, first: Column, sma
         F.sum("ones").alias("n1"), F.sum("ties").alias("n"),
         F.sum(F.col("ones") * (F.col("upto") - (t - 1) / 2)).alias("_r1"), F.sum(t * t * t - t).alias("_tie"),
     )
+    tied = (F.col("_tie") > 0).alias("tied")
     n1, n = F.col("n1").cast("double"), F.col("n").cast("double")
     n2 = n - n1
     u1 = F.col("_r1") - n1 * (n1 + 1) / 2
@@ -78,7 +79,7 @@ def rank_sums(df: DataFrame, keys: Sequence[str], value: str, first: Column, sma
     return agg.select(
         *keys, "n1", (F.col("n") - F.col("n1")).alias("n2"), u1.alias("u1"),
         F.try_divide(far - middle - 0.5, sd).alias("z_mw"),
-        F.try_divide(u1 - middle, F.sqrt(n1 * n2 * (n + 1) / 12)).alias("z_rs"),
+        F.try_divide(u1 - middle, F.sqrt(n1 * n2 * (n + 1) / 12)).alias("z_rs"), tied,
     )
 
 
@@ -102,6 +103,35 @@ def t_statistics(df: DataFrame, keys: Sequence[str], value: str, first: Column)
     )
 
 
+def exact_rank_p(counted: DataFrame, n1: str = "n1", n2: str = "n2", u: str = "u1", most: int = 8) -> DataFrame:
+    """`counted` with `exact_p`, the two-sided p of u among all arrangements; null where a group has more than `most` values.
+
+    The distribution for each pair of sizes in use is counted once on the driver (at most `most` squared small tables)
+    and joined. Ties are for the caller to exclude.
+    """
+    sizes = counted.filter(f"{n1} BETWEEN 1 AND {most} AND {n2} BETWEEN 1 AND {most}").select(n1, n2).distinct().collect()
+    rows = []
+    for a, b in ((int(r[0]), int(r[1])) for r in sizes):
+        ways = {(0, 0): 1}  # (values of the first group so far, u) -> arrangements
+        for place in range(a + b):
+            step: dict[tuple[int, int], int] = {}
+            for (ones, total), count in ways.items():
+                if ones < a:
+                    key = (ones + 1, total + place - ones)
+                    step[key] = step.get(key, 0) + count
+                if place - ones < b:
+                    step[ones, total] = step.get((ones, total), 0) + count
+            ways = step
+        by_u = {total: count for (_, total), count in ways.items()}
+        every = sum(by_u.values())
+        for value in by_u:
+            far = max(value, a * b - value)
+            rows.append((a, b, float(value), min(1.0, 2 * sum(c for x, c in by_u.items() if x >= far) / every)))
+    table = counted.sparkSession.createDataFrame(rows, "_n1 long, _n2 long, _u double, exact_p double")
+    same = (F.col(n1) == F.col("_n1")) & (F.col(n2) == F.col("_n2")) & (F.col(u) == F.col("_u"))
+    return counted.join(table, same, "left").drop("_n1", "_n2", "_u")
+
+
 def signed_rank(df: DataFrame, keys: Sequence[str], x: str, y: str, small_groups: bool = False) -> DataFrame:
     """Wilcoxon signed-rank sums and z of paired columns; zero differences are dropped."""
     gap = df.withColumn("_d", F.col(x) - F.col(y)).filter("_d <> 0").withColumn("_abs", F.abs("_d"))
@@ -118,21 +148,34 @@ def signed_rank(df: DataFrame, keys: Sequence[str], x: str, y: str, small_groups
     return agg.select(*keys, "n", "w_plus", "w_minus", z.alias("z"))
 
 
-METHODS = ("mannwhitneyu", "ranksums", "ttest_ind", "welch")
+METHODS = ("mannwhitneyu", "ranksums", "ttest_ind", "welch", "wilcoxon")
 
 
 def group_test(
     df: DataFrame, keys: Sequence[str], value: str, group: str, ctrl: str, test: str, method: str = "mannwhitneyu",
-    small_groups: bool = False,
+    small_groups: bool = False, pair: str | None = None,
 ) -> DataFrame:
-    """p, medians and direction of the test group against the control group per key."""
+    """p, medians and direction of the test group against the control group per key.
+
+    mannwhitneyu is exact where a group has at most 8 values and none are tied, and asymptotic elsewhere. wilcoxon pairs
+    the rows of the groups by the column `pair`; rows without a partner are left out of it.
+    """
     if method not in METHODS:
         raise ValueError(f"{method} is none of {METHODS}")
     both = df.filter(F.col(group).isin(ctrl, test))
     first = F.col(group) == ctrl
-    if method in ("mannwhitneyu", "ranksums"):
+    if method == "mannwhitneyu":
+        stat = exact_rank_p(rank_sums(both, keys, value, first, small_groups))
+        p = F.when(~F.col("tied") & F.col("exact_p").isNotNull(), F.col("exact_p")).otherwise(F.least(tails.normal_two_sided(F.col("z_mw")), F.lit(1.0)))
+    elif method == "ranksums":
         stat = rank_sums(both, keys, value, first, small_groups)
-        p = F.least(tails.normal_two_sided(F.col("z_mw" if method == "mannwhitneyu" else "z_rs")), F.lit(1.0))
+        p = F.least(tails.normal_two_sided(F.col("z_rs")), F.lit(1.0))
+    elif method == "wilcoxon":
+        if pair is None:
+            raise ValueError("wilcoxon needs the column that pairs the rows")
+        side = both.groupBy(*keys, pair).agg(F.max(F.when(first, F.col(value))).alias("_x"), F.max(F.when(~first, F.col(value))).alias("_y"))
+        stat = signed_rank(side.filter("_x IS NOT NULL AND _y IS NOT NULL"), keys, "_x", "_y", small_groups)
+        p = F.least(tails.normal_two_sided(F.col("z")), F.lit(1.0))
     else:
         stat = t_statistics(both, keys, value, first)
         kind = "equal" if method == "ttest_ind" else "welch"
@@ -318,8 +361,15 @@ def adjust(
 
 # --- density -----------------------------------------------------------------------------
 
-def histogram(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float, bins: int) -> DataFrame:
-    """Counts per equal-width bin; the upper end belongs to the last bin."""
+def histogram(df: DataFrame, keys: Sequence[str], value: str, low: float | None = None, high: float | None = None, bins: int = 20) -> DataFrame:
+    """Counts per equal-width bin; the upper end belongs to the last bin. Without ends, those of the data."""
+    if low is None or high is None:
+        ends = df.agg(F.min(F.col(value).cast("double")).alias("low"), F.max(F.col(value).cast("double")).alias("high")).first()
+        low, high = ends["low"] if low is None else low, ends["high"] if high is None else high
+        if low is None or high is None:
+            low, high = 0.0, 1.0
+    if low == high:
+        high = low + 1.0
     width = (high - low) / bins
     place = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int")
     inside = df.filter(F.col(value).between(low, high))

@@ -116,26 +116,32 @@ def unmatched_clauses(annotations: DataFrame, clauses: DataFrame) -> DataFrame:
     return clauses.join(match_clauses(annotations, clauses).select("clause").distinct(), "clause", "left_anti")
 
 
-def field_ranges(fields: DataFrame, max_categories: int = 100) -> DataFrame:
-    """Filter template per (field, place): a numeric range, or the categories if there are few.
+def field_ranges(fields: DataFrame) -> DataFrame:
+    """Filter template per (field, place): one row with the numeric range, or one row for each category, however many.
 
-    `fields` is (field, value) with comma lists; '.' is no value.
+    `fields` is (field, value) with comma lists; '.' is no value. `n` counts the distinct values.
     """
     values = fields.select("field", F.posexplode(F.split("value", ",")).alias("place", "one")).filter("one <> '.'")
     distinct = values.distinct().withColumn("number", F.col("one").try_cast("double"))
     stats = distinct.groupBy("field", "place").agg(
         F.count("*").alias("n"), F.count("number").alias("n_numbers"), F.min("number").alias("low"), F.max("number").alias("high")
     )
-    numeric = F.col("n") == F.col("n_numbers")
-    few = stats.filter(~numeric & (F.col("n") <= max_categories)).select("field", "place")
-    # At most `max_categories` values per field reach this list.
-    lists = distinct.join(few, ["field", "place"], "left_semi").groupBy("field", "place").agg(
-        F.array_join(F.array_sort(F.collect_list("one")), "|").alias("categories")
-    )
-    return stats.join(lists, ["field", "place"], "left").select(
-        "field", "place", F.when(numeric, "range").otherwise("categories").alias("kind"),
-        F.when(numeric, F.col("low")).alias("low"), F.when(numeric, F.col("high")).alias("high"), "categories", "n",
-    )
+    ranges = stats.filter("n = n_numbers").select("field", "place", F.lit("range").alias("kind"), "low", "high", F.lit(None).cast("string").alias("category"), "n")
+    none = F.lit(None).cast("double")
+    categories = distinct.join(stats.filter("n <> n_numbers").select("field", "place", "n"), ["field", "place"]).select(
+        "field", "place", F.lit("category").alias("kind"), none.alias("low"), none.alias("high"), F.col("one").alias("category"), "n")
+    return ranges.union(categories)
+
+
+def filter_template(ranges: DataFrame, most: int = 100) -> DataFrame:
+    """(field, place, text): the template as it is shown. Categories of a field with more than `most` are named by their
+    number; all of them are rows of `field_ranges`."""
+    few = ranges.filter((F.col("kind") == "category") & (F.col("n") <= most))
+    lists = few.groupBy("field", "place").agg(F.array_join(F.array_sort(F.collect_list("category")), "|").alias("text"))
+    many = ranges.filter((F.col("kind") == "category") & (F.col("n") > most)).select(
+        "field", "place", F.concat(F.col("n").cast("string"), F.lit(" categories")).alias("text")).distinct()
+    numeric = ranges.filter("kind = 'range'").select("field", "place", F.concat_ws("..", F.col("low").cast("string"), F.col("high").cast("string")).alias("text"))
+    return numeric.union(lists).union(many)
 
 
 def annotated_only(df: DataFrame, key: str) -> DataFrame:

@@ -126,8 +126,8 @@ def _(t):
 
 @query("F18_field_ranges", """WITH v AS (SELECT 'DP' AS field, 0 AS place, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS one FROM lineitem UNION ALL SELECT 'DP', 1, CAST(l_linenumber AS VARCHAR) FROM lineitem WHERE l_linenumber <> 2
  UNION ALL SELECT 'FLAG', 0, l_returnflag FROM lineitem UNION ALL SELECT 'ID', 0, 'o' || l_orderkey FROM lineitem),
-g AS (SELECT field, place, count(DISTINCT one) AS n, count(DISTINCT TRY_CAST(one AS DOUBLE)) AS m, min(TRY_CAST(one AS DOUBLE)) AS low, max(TRY_CAST(one AS DOUBLE)) AS high, string_agg(DISTINCT one, '|' ORDER BY one) AS cats FROM v GROUP BY 1, 2)
-SELECT field, CAST(place AS INTEGER) AS place, CASE WHEN n = m THEN 'range' ELSE 'categories' END AS kind, CASE WHEN n = m THEN low END AS low, CASE WHEN n = m THEN high END AS high, CASE WHEN n <> m AND n <= 100 THEN cats END AS categories, n FROM g""")
+g AS (SELECT field, place, count(DISTINCT one) AS n, count(DISTINCT TRY_CAST(one AS DOUBLE)) AS m, min(TRY_CAST(one AS DOUBLE)) AS low, max(TRY_CAST(one AS DOUBLE)) AS high, max(1) AS one FROM v GROUP BY 1, 2)
+SELECT DISTINCT g.field, CAST(g.place AS INTEGER) AS place, CASE WHEN n = m THEN 'range' ELSE 'category' END AS kind, CASE WHEN n = m THEN low END AS low, CASE WHEN n = m THEN high END AS high, CASE WHEN n <> m THEN v.one END AS category, n FROM g JOIN v ON g.field = v.field AND g.place = v.place""")
 def _(t):
     n = F.col("l_linenumber")
     dp = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(","), F.when(n == 2, ".").otherwise(n.cast("string")))
@@ -209,14 +209,14 @@ def _(t):
     return ca.totals_by(per, "af").select("af", "TP", "FP", "FN", "TN", *rnd(4, "sensitivity", "specificity", "ppv", "npv", "accuracy"))
 
 
-_CNV = """b AS (SELECT l_suppkey AS gene, l_discount * 40 - 1.5 + l_suppkey % 5 AS x FROM lineitem WHERE l_orderkey % 97 = l_suppkey % 97), g AS (SELECT gene, avg(x) AS m, min(x) AS lo, max(x) AS hi FROM b GROUP BY 1),
+_CNV = """b AS (SELECT l_suppkey AS gene, l_discount * 40 - 1.5 + (l_suppkey % 7 - 3) * 2 AS x FROM lineitem), g AS (SELECT gene, avg(x) AS m, min(x) AS lo, max(x) AS hi FROM b GROUP BY 1),
 k AS (SELECT 'G' || gene AS gene, m, CASE WHEN m > 0 THEN 'G' || gene || ' amplification' ELSE 'G' || gene || ' deletion' END AS event, gene AS id FROM g WHERE lo > log2(1.5) OR hi <= log2(0.6))"""
 
 
 @query("A17_copy_number", f"""WITH {_CNV}
 SELECT gene, round(m, 4) AS mean_log2, round(pow(2, m) * 2, 2) AS copies, CASE WHEN id % 2 = 0 THEN event ELSE '' END AS report_name, CASE WHEN id % 2 = 0 OR id % 3 = 0 THEN 'yes' ELSE 'no' END AS report FROM k""")
 def _(t):
-    bins = t.lineitem.filter("l_orderkey % 97 = l_suppkey % 97").select(s("G", "l_suppkey").alias("gene"), (F.col("l_discount") * 40 - 1.5 + F.col("l_suppkey") % 5).alias("log2"))
+    bins = t.lineitem.select(s("G", "l_suppkey").alias("gene"), (F.col("l_discount") * 40 - 1.5 + (F.col("l_suppkey") % 7 - 3) * 2).alias("log2"))
     sup = t.supplier.select("s_suppkey", s("G", "s_suppkey").alias("g"))
     events = sup.filter("s_suppkey % 2 = 0").select(s("", "g", " amplification").alias("e")).union(sup.filter("s_suppkey % 2 = 0").select(s("", "g", " deletion")))
     out = va.report_copy_number(va.copy_number(bins), events, sup.filter("s_suppkey % 3 = 0").select("g"))
@@ -255,7 +255,7 @@ def _(t):
     one = F.concat(F.lit("c."), num, F.when(even, "A>GT").otherwise("del"))
     hot = t.orders.select(F.lit("chr1").alias("chrom"), (F.col("o_custkey") % 20).alias("start"), F.lit(1).alias("end"), F.concat(F.lit("c.1|"), one).alias("chgvs"), F.lit("p.").alias("phgvs"), s("NM_", F.col("o_custkey") % 40, ".1").alias("transcript"),
                             F.lit("G").alias("gene"), F.col("o_orderkey").alias("line_no"))
-    canonical = t.part.filter("p_partkey % 8 = 0 AND p_partkey < 40").select(s("NM_", "p_partkey", ".7").alias("t"))
+    canonical = t.part.filter("p_partkey % 8 = 0").select(s("NM_", "p_partkey", ".7").alias("t"))
     return va.dedupe_hotspots(hot, canonical).select("start", "chgvs", "transcript", "line_no")
 
 
@@ -418,7 +418,7 @@ def _(t):
 
 @query("V09_pick_parallel", """SELECT o_orderkey AS row_id, CASE WHEN o_custkey % 50 % 6 <> 0 AND o_custkey % 70 % 6 = 0 THEN 'c.' || (o_custkey % 70) ELSE 'c.' || (o_custkey % 50) END AS chgvs, CASE WHEN o_custkey % 50 % 6 <> 0 AND o_custkey % 70 % 6 = 0 THEN 'p.' || (o_custkey % 8) ELSE 'p.' || (o_custkey % 9) END AS phgvs FROM orders""")
 def _(t):
-    canonical = t.part.filter("p_partkey % 6 = 0 AND p_partkey < 100").select(s("NM_", "p_partkey", ".9").alias("t"))
+    canonical = t.part.filter("p_partkey % 6 = 0").select(s("NM_", "p_partkey", ".9").alias("t"))
     out = ca.pick_parallel(_lists(t), canonical, ["chgvs_list", "phgvs_list"])
     return out.select("row_id", F.col("chgvs_list").alias("chgvs"), F.col("phgvs_list").alias("phgvs"))
 

@@ -146,17 +146,15 @@ def _(t):
 
 
 def _rules(t):
-    """Rule rows per part type, so that they come from a table; the rules themselves are test input."""
-    one = t.part.agg(F.count("*").alias("n"))
+    """The rules are a parameter of the query, not data."""
     rows = [("AP", "AP2", "D1 (>=2) (PF00001)", "-", "-"), ("AP", "AP1", "D1 (1) (PF00001)", "-", "D3 (PF00003)"), ("B", "B2", "D2 (PF00002) and D4 (PF00004)", "D5 (PF00005)", "-"), ("C", "C1", "D6 (PF00006)", "D7 (PF00007)", "D1 (PF00001)"), ("C", "C2", "D6 (<=1) (PF00006)", "D2 (PF00002)", "-")]
-    literal = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, ("family", "subfamily", "binding", "auxiliary", "forbidden"))]) for r in rows])
-    return ru.parse_family_rules(one.filter("n > 0").select(F.explode(literal).alias("r")).select("r.*"))
+    return ru.parse_family_rules(t.spark.createDataFrame(rows, "family string, subfamily string, binding string, auxiliary string, forbidden string"))
 
 
 @query("R03_families", f"""WITH {_DC}, w AS (SELECT query_id, {", ".join(f"coalesce(max(n) FILTER (WHERE d = {i}), 0) AS d{i}" for i in range(1, 8))} FROM c GROUP BY 1),
-h AS (SELECT query_id, 'AP2' AS family FROM w WHERE d1 BETWEEN 2 AND 9 UNION SELECT query_id, 'AP1' FROM w WHERE d1 = 1 AND d3 = 0 UNION SELECT query_id, CASE WHEN d5 > 0 THEN 'B2' ELSE 'B' END FROM w WHERE d2 BETWEEN 1 AND 9 AND d4 BETWEEN 1 AND 9
- UNION SELECT query_id, 'C1' FROM w WHERE d6 BETWEEN 1 AND 9 AND d7 > 0 AND d1 = 0 UNION SELECT query_id, 'C2' FROM w WHERE d6 = 1 AND d2 > 0
- UNION SELECT query_id, 'C' FROM w WHERE ((d6 BETWEEN 1 AND 9 AND d7 = 0 AND d1 = 0) OR (d6 = 1 AND d2 = 0)) AND NOT (d6 BETWEEN 1 AND 9 AND d7 > 0 AND d1 = 0) AND NOT (d6 = 1 AND d2 > 0)) SELECT * FROM h""")
+h AS (SELECT query_id, 'AP2' AS family FROM w WHERE d1 >= 2 UNION SELECT query_id, 'AP1' FROM w WHERE d1 = 1 AND d3 = 0 UNION SELECT query_id, CASE WHEN d5 > 0 THEN 'B2' ELSE 'B' END FROM w WHERE d2 >= 1 AND d4 >= 1
+ UNION SELECT query_id, 'C1' FROM w WHERE d6 >= 1 AND d7 > 0 AND d1 = 0 UNION SELECT query_id, 'C2' FROM w WHERE d6 = 1 AND d2 > 0
+ UNION SELECT query_id, 'C' FROM w WHERE ((d6 >= 1 AND d7 = 0 AND d1 = 0) OR (d6 = 1 AND d2 = 0)) AND NOT (d6 >= 1 AND d7 > 0 AND d1 = 0) AND NOT (d6 = 1 AND d2 > 0)) SELECT * FROM h""")
 def _(t):
     return ru.judge_families(ru.domain_counts(_hits(t)), _rules(t))
 

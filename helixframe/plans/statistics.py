@@ -40,11 +40,8 @@ def _(t):
     return pw.pearson_matrix(b.counts(t), SAMPLES).select("a", "b", "n", *rnd(6, "corr"))
 
 
-_FULL = f"{COUNTS}, c8 AS (SELECT * FROM counts WHERE gene IN (SELECT gene FROM counts GROUP BY 1 HAVING count(*) = 8))"
-
-
-@query("M06_spearman_matrix", f"""WITH {_FULL}, r AS (SELECT gene, sample, rank() OVER (PARTITION BY sample ORDER BY value) + (count(*) OVER (PARTITION BY sample, value) - 1) / 2.0 AS value FROM c8)
-SELECT x.sample AS a, y.sample AS b, count(*) AS n, round(corr(x.value, y.value), 6) AS corr FROM r x JOIN r y USING (gene) GROUP BY 1, 2""")
+@query("M06_spearman_matrix", f"""WITH {COUNTS}, {_PAIRS}, r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS x, rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS y FROM p)
+SELECT a, b, count(*) AS n, round(corr(x, y), 6) AS corr FROM r GROUP BY 1, 2""")
 def _(t):
     return pw.spearman_matrix(b.counts(t), SAMPLES).select("a", "b", "n", *rnd(6, "corr"))
 
@@ -109,8 +106,11 @@ def _(t):
     return u.join(m, "gene").select("gene", *rnd(4, "u1"), *rnd(6, "z_mw"), "ctrl_median", "test_median", "median_change", "regulation")
 
 
-@query("M11_p_values", f"""WITH {COUNTS}, {GROUPS}, d AS (SELECT gene, grp, value AS v FROM counts JOIN groups USING (sample)), {_RANKED.format(k='gene', one="grp = 'g0'")}
-SELECT gene, round(least({_two_sided('z')}, 1), 5) AS p FROM z WHERE z IS NOT NULL""")
+@query("M11_p_values", f"""WITH {COUNTS}, {GROUPS}, d AS (SELECT gene, grp, value AS v FROM counts JOIN groups USING (sample)), {_RANKED.format(k='gene', one="grp = 'g0'")},
+ex AS (SELECT n, bit_count(mask) AS n1, list_sum(list_transform(range(0, n), lambda i: ((mask >> i) & 1) * (i + 1))) AS rs FROM (SELECT unnest(range(2, 9)) AS n), (SELECT unnest(range(0, 256)) AS mask) WHERE mask < pow(2, n)),
+eu AS (SELECT n1, n - n1 AS n2, rs - n1 * (n1 + 1) / 2.0 AS u, count(*) AS c FROM ex GROUP BY ALL),
+ep AS (SELECT a.n1, a.n2, a.u, 2 * sum(b.c) FILTER (WHERE b.u >= greatest(a.u, a.n1 * a.n2 - a.u)) / sum(b.c) AS p FROM eu a JOIN eu b ON a.n1 = b.n1 AND a.n2 = b.n2 GROUP BY ALL)
+SELECT gene, round(least(CASE WHEN tie = 0 THEN ep.p ELSE {_two_sided('z')} END, 1), 5) AS p FROM z LEFT JOIN ep ON z.n1 = ep.n1 AND z.n2 = ep.n2 AND z.u1 = ep.u WHERE z IS NOT NULL""")
 def _(t):
     df = b.counts(t).join(b.groups(t), "sample")
     out = st.group_test(df, ["gene"], "value", "grp", "g0", "g1", small_groups=True)
@@ -214,6 +214,12 @@ def _(t):
     return st.adjust(_p(t), ["study"], method="fdr_tsbh").select("study", "term", *rnd(6, "q"))
 
 
+@query("M18_two_stage_conservative", f"""WITH {_P}, a AS (SELECT *, min(p * m / i) OVER (PARTITION BY study ORDER BY i DESC) AS q FROM k), r AS (SELECT study, 1 - count(*) FILTER (WHERE q <= 0.05 / 1.05) / count(*) AS s FROM a GROUP BY 1)
+SELECT study, term, round(least(q * CASE WHEN s > 0 AND s < 1 THEN s ELSE 1 END * 1.05, 1), 6) AS q FROM a JOIN r USING (study)""")
+def _(t):
+    return st.adjust(_p(t), ["study"], method="fdr_tsbky").select("study", "term", *rnd(6, "q"))
+
+
 # --- enrichment ------------------------------------------------------------------------------
 # Studies: the parts that sold much, per return flag.
 
@@ -385,9 +391,9 @@ def _(t):
     return pw.identity_matrix(pw.same_donor(_sites(t), SAMPLES), SAMPLES)
 
 
-@query("M34_histogram", "SELECT l_returnflag AS grp, CAST(least(floor((l_extendedprice - 0) / 5000), 19) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 100000 GROUP BY 1, 2")
+@query("M34_histogram", "WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) SELECT l_returnflag AS grp, CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1, 2")
 def _(t):
-    return st.histogram(t.lineitem.withColumnRenamed("l_returnflag", "grp"), ["grp"], "l_extendedprice", 0, 100000, 20)
+    return st.histogram(t.lineitem.withColumnRenamed("l_returnflag", "grp"), ["grp"], "l_extendedprice")
 
 
 @query("M34_kernel_density", """WITH a AS (SELECT o_totalprice AS v, stddev_samp(o_totalprice) OVER () * pow(count(*) OVER (), -0.2) AS h FROM orders), g AS (SELECT unnest(range(0, 21)) * 25000.0::DOUBLE AS point)

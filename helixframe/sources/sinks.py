@@ -17,9 +17,11 @@ def write_text_table(df: DataFrame, path: str, form: str = "tsv") -> None:
         df.write.option("header", True).option("sep", "\t" if form == "tsv" else ",").csv(path)
 
 
-def write_per_key(df: DataFrame, path: str, key: str, spread: int = 8, max_records: int = 5_000_000) -> None:
-    """One folder per key value. Rows are spread by key and row hash, so a hot key has several writers."""
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
+def write_per_key(df: DataFrame, path: str, key: str, max_records: int = 5_000_000) -> None:
+    """One folder per key value. The largest key is counted; rows are spread by key and row hash over as many writers as
+    that key needs files, and smaller keys over as many at most."""
+    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 1
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(-(-largest // max_records)))
     df.repartition(key, part).write.option("maxRecordsPerFile", max_records).partitionBy(key).parquet(path)
 
 
@@ -38,8 +40,9 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn("draw", F.xxhash64(F.col(key), F.lit(seed)))
 
 
-def store_sequences(records: DataFrame, table: str, path: str, buckets: int = 8) -> None:
-    """Bucketed by id, so that lookups join without shuffling the store."""
+def store_sequences(records: DataFrame, table: str, path: str, per_bucket: int = 1_000_000) -> None:
+    """Bucketed by id, so that lookups join without shuffling the store; the buckets follow from the number of records."""
+    buckets = max(1, min(100_000, -(-records.count() // per_bucket)))
     records.write.bucketBy(buckets, "seq_id").sortBy("seq_id").option("path", path).saveAsTable(table)
 
 
