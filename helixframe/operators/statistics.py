@@ -13,9 +13,9 @@ from helixframe.functions import ordered, tails
 # --- correlation -------------------------------------------------------------------------
 
 def correlation_p(r: Column, n: Column) -> Column:
-    """Two-sided p of a correlation."""
-    t = r * F.sqrt(F.try_divide(n - 2, 1 - r * r))
-    return tails.t_two_sided(F.coalesce(t, F.lit(float("inf"))), (n - 2).cast("double"))
+    """Two-sided p of a correlation; null with two values or fewer."""
+    t = r * F.sqrt(F.try_divide(n - 2, F.greatest(1 - r * r, F.lit(0.0))))
+    return F.when(n > 2, tails.t_two_sided(F.coalesce(t, F.lit(float("inf"))), (n - 2).cast("double")))
 
 
 def pair_correlation(df: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -435,7 +435,8 @@ def _(t):
     return sinks.chunked(t.orders.select("o_orderkey"), "o_orderkey", 700, drop_short=True)
 
 
-@query("T06_random_chunks")
+@query("T06_random_chunks", """WITH d AS (SELECT o_orderkey, CAST('0x' || substr(md5('7:' || o_orderkey), 1, 15) AS BIGINT) AS draw FROM orders)
+SELECT o_orderkey, draw, (row_number() OVER (ORDER BY draw) - 1) // 500 AS chunk FROM d""")
 def _(t):
     return sinks.chunked(sinks.shuffled(t.orders.select("o_orderkey"), "o_orderkey", 7), "draw", 500)
 

@@ -30,6 +30,13 @@ def _two_sided(z):
             f"(CASE WHEN i = 0 OR i = 600 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(abs({z}) * i / 600, 2) / 2))))")
 
 
+# Two-sided t tail with x = sqrt(v) tan(a), by Simpson's rule over the angle; independent of the beta function used here.
+def _t_two_sided(t, v):
+    top = f"atan(abs({t}) / sqrt({v}))"
+    return (f"greatest(0, 1 - 2 * exp(lgamma(({v} + 1) / 2.0) - lgamma(({v}) / 2.0)) / sqrt(pi()) * ({top} / 600) / 3 * list_sum(list_transform(range(0, 601), lambda i: "
+            f"(CASE WHEN i = 0 OR i = 600 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos({top} * i / 600), ({v}) - 1))))")
+
+
 # --- correlation and distance ----------------------------------------------------------------
 
 _PAIRS = "p AS (SELECT x.sample AS a, y.sample AS b, x.value AS x, y.value AS y FROM counts x JOIN counts y USING (gene))"
@@ -65,9 +72,11 @@ def _(t):
     return st.pair_correlation(b.counts(t), _gene_pairs(t)).select("source", "target", "n", *rnd(6, "corr"), "kind")
 
 
-@query("M07_significant_pairs")
+@query("M07_significant_pairs", f"""WITH {_GP}, w AS (SELECT *, CASE WHEN abs(r) > 1 - 1e-12 THEN 0 ELSE {_t_two_sided('r * sqrt((n - 2) / (1 - r * r))', '(n - 2)')} END AS p FROM c WHERE n > 2 AND r IS NOT NULL AND NOT isnan(r) AND abs(r) >= 0.7)
+SELECT source, target, n, round(r, 6) AS corr, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS kind, round(p, 6) + 0.0 AS p FROM w WHERE p <= 0.05""")
 def _(t):
-    return st.significant_pairs(st.pair_correlation(b.counts(t), _gene_pairs(t)), 0.05, 0.7)
+    out = st.significant_pairs(st.pair_correlation(b.counts(t), _gene_pairs(t)), 0.05, 0.7)
+    return out.select("source", "target", "n", *rnd(6, "corr"), "kind", *rnd(6, "p"))
 
 
 @query("M08_regulation", f"""WITH {_GP}, d AS (SELECT p_partkey AS source, p_partkey * 7 % 1999 AS target, CASE WHEN p_size % 2 = 0 THEN '-->' ELSE '--|' END AS sign FROM part WHERE p_size < 20
@@ -148,20 +157,37 @@ def _(t):
     return st.levene(_quality(t).withColumn("_all", F.lit(0)), ["_all"], "v", "grp").select(*rnd(4, "levene"), "df1", "df2")
 
 
-@query("M12_normality", f"""WITH {_QUALITY}, a AS (SELECT *, v - avg(v) OVER (PARTITION BY grp) AS d FROM d0), m AS (SELECT grp, CAST(count(*) AS DOUBLE) AS n, avg(d * d) AS m2, avg(d * d * d) AS m3, avg(d * d * d * d) AS m4 FROM a GROUP BY 1)
-SELECT grp, CAST(n AS BIGINT) AS n, round({st.k2_sql('n', 'm2', 'm3', 'm4')}, 3) AS k2, round(exp(-{st.k2_sql('n', 'm2', 'm3', 'm4')} / 2), 6) AS p FROM m""")
+# Skewness and kurtosis tests step by step, written apart from the operator.
+@query("M12_normality", f"""WITH {_QUALITY}, a AS (SELECT grp, v - avg(v) OVER (PARTITION BY grp) AS d FROM d0),
+m AS (SELECT grp, CAST(count(*) AS DOUBLE) AS n, avg(d ** 3) / avg(d ** 2) ** 1.5 AS g1, avg(d ** 4) / avg(d ** 2) ** 2 AS g2 FROM a GROUP BY 1),
+s1 AS (SELECT *, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta FROM m),
+s2 AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS ww FROM s1),
+s3 AS (SELECT *, asinh(g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / sqrt(2 / (ww - 1))) / sqrt(ln(sqrt(ww))) AS z1 FROM s2),
+k1 AS (SELECT *, (g2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sk FROM s3),
+k2 AS (SELECT *, 6 + 8 / sk * (2 / sk + sqrt(1 + 4 / sk ** 2)) AS dof FROM k1),
+k3 AS (SELECT *, (1 - 2 / (9 * dof) - cbrt((1 - 2 / dof) / (1 + x * sqrt(2 / (dof - 4))))) / sqrt(2 / (9 * dof)) AS z2 FROM k2)
+SELECT grp, CAST(n AS BIGINT) AS n, round(z1 * z1 + z2 * z2, 3) AS k2, round(exp((z1 * z1 + z2 * z2) / -2), 6) AS p FROM k3""")
 def _(t):
     return st.normality(_quality(t), ["grp"], "v").select("grp", "n", *rnd(3, "k2"), *rnd(6, "p"))
 
 
-@query("M12_two_group_summary")
+@query("M12_two_group_summary", f"""WITH {_QUALITY}, d AS (SELECT 0 AS k, v, grp FROM d0), {_RANKED.format(k='k', one='grp = 0')},
+m AS (SELECT *, abs(v - median(v) OVER (PARTITION BY grp)) AS y FROM d0), g AS (SELECT grp, count(*) AS n, avg(y) AS yb, var_pop(y) * count(*) AS ins FROM m GROUP BY 1),
+l AS (SELECT (sum(n) - 2) * (sum(n * yb * yb) - pow(sum(n * yb), 2) / sum(n)) / sum(ins) AS levene, sum(n) - 2 AS df FROM g),
+w AS (SELECT count(*) FILTER (WHERE grp = 0) AS a, count(*) FILTER (WHERE grp = 1) AS b, avg(v) FILTER (WHERE grp = 0) - avg(v) FILTER (WHERE grp = 1) AS gap, var_samp(v) FILTER (WHERE grp = 0) AS va, var_samp(v) FILTER (WHERE grp = 1) AS vb FROM d0),
+lp AS (SELECT levene, df, {_t_two_sided('sqrt(levene)', 'df')} AS levene_p FROM l),
+x AS (SELECT *, CASE WHEN levene_p > 0.05 THEN gap / sqrt(((a - 1) * va + (b - 1) * vb) / df * (1 / a + 1 / b)) ELSE gap / sqrt(va / a + vb / b) END AS t,
+ CASE WHEN levene_p > 0.05 THEN df ELSE pow(va / a + vb / b, 2) / (pow(va / a, 2) / (a - 1) + pow(vb / b, 2) / (b - 1)) END AS tdf FROM w, lp)
+SELECT n1, n2, round(levene, 4) AS levene, round(levene_p, 6) AS levene_p, round(t, 4) AS t, round({_t_two_sided('t', 'tdf')}, 6) AS t_p, round(u1, 2) AS u1, round(least({_two_sided('z')}, 1), 6) AS u_p FROM x, z""")
 def _(t):
-    return st.two_group_summary(_quality(t), "v", "grp", 0, 1)
+    return st.two_group_summary(_quality(t), "v", "grp", 0, 1).select("n1", "n2", *rnd(4, "levene"), *rnd(6, "levene_p"), *rnd(4, "t"), *rnd(6, "t_p"), *rnd(2, "u1"), *rnd(6, "u_p"))
 
 
-@query("M12_ks_distance")
+@query("M12_ks_distance", f"""WITH v AS (SELECT (s_acctbal - 4500) / 3000 AS v FROM supplier), r AS (SELECT v, count(*) OVER (ORDER BY v) AS upto, count(*) OVER (PARTITION BY v) AS ties, count(*) OVER () AS n FROM v),
+c AS (SELECT *, CASE WHEN v > 0 THEN 1 - {_two_sided('v')} / 2 ELSE {_two_sided('v')} / 2 END AS f FROM r), d AS (SELECT max(greatest(upto / n - f, f - (upto - ties) / n)) AS distance, max(n) AS n FROM c)
+SELECT round(distance, 6) AS distance, n, round(greatest(0, least(1, 2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1, k - 1) * exp(-2 * k * k * distance * distance * n))))), 6) AS p FROM d""")
 def _(t):
-    return st.ks_distance(t.supplier.select(((F.col("s_acctbal") - 4500) / 3000).alias("v")), "v")
+    return st.ks_distance(t.supplier.select(((F.col("s_acctbal") - 4500) / 3000).alias("v")), "v").select(*rnd(6, "distance"), "n", *rnd(6, "p"))
 
 
 @query("M13_category_tests", f"""WITH d AS (SELECT lang, n_chars AS v, quality FROM documents JOIN labels USING (doc_id)), {_RANKED.format(k='lang', one='quality = 1')} SELECT lang, n1, n2, round(u1, 2) AS u1, round(z, 5) AS z_mw FROM z""")
@@ -319,9 +345,12 @@ def _(t):
     return _compared(t).select("ctrl", "test", "gene", *rnd(4, "log2fc", "t_welch"))
 
 
-@query("M22_adjusted_p")
+@query("M22_adjusted_p", f"""WITH {_DE}, w AS (SELECT d.*, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df FROM d JOIN a USING (ctrl, test, gene)),
+pv AS (SELECT ctrl, test, gene, fc, CASE WHEN tw IS NOT NULL AND df > 0 THEN {_t_two_sided('tw', 'df')} END AS p FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY ctrl, test ORDER BY p, gene) AS i, count(p) OVER (PARTITION BY ctrl, test) AS m FROM pv WHERE p IS NOT NULL), q AS (SELECT *, least(min(p * m / i) OVER (PARTITION BY ctrl, test ORDER BY i DESC), 1) AS q FROM k)
+SELECT pv.ctrl, pv.test, pv.gene, round(pv.fc, 4) + 0.0 AS log2fc, round(pv.p, 5) AS pvalue, round(q.q, 4) AS padjust FROM pv LEFT JOIN q USING (ctrl, test, gene)""")
 def _(t):
-    return de.with_p(_compared(t)).select("ctrl", "test", "gene", "log2fc", "pvalue", "padjust")
+    return de.with_p(_compared(t)).select("ctrl", "test", "gene", *rnd(4, "log2fc"), F.round("pvalue", 5).alias("pvalue"), F.round("padjust", 4).alias("padjust"))
 
 
 # Statistics with ready p values: prices make the fold, quantities the p.
@@ -386,9 +415,13 @@ def _(t):
     return pw.same_donor(_sites(t), SAMPLES, nonzero=True).select("a", "b", "n", *rnd(6, "corr", "depth"), "verdict")
 
 
-@query("M29_identity_matrix")
+_MEAN_VERDICT = _VERDICT.replace("least(p.real_depth, q.real_depth)", "least(p.mean_depth, q.mean_depth)")
+
+
+@query("M29_identity_matrix", f"""WITH {_MEAN_VERDICT}, m AS (SELECT a, b, CASE WHEN hit THEN round(c, 6) ELSE 0 END AS c FROM v), w AS (SELECT a, b, c FROM m UNION ALL SELECT b, a, c FROM m)
+SELECT a, {", ".join(f"coalesce(max(c) FILTER (WHERE b = '{x}'), 0)::DOUBLE AS {x}" for x in SAMPLES)} FROM w GROUP BY 1""")
 def _(t):
-    return pw.identity_matrix(pw.same_donor(_sites(t), SAMPLES), SAMPLES)
+    return pw.identity_matrix(pw.same_donor(_sites(t), SAMPLES), SAMPLES).select("a", *rnd(6, *SAMPLES))
 
 
 @query("M34_histogram", "WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) SELECT l_returnflag AS grp, CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1, 2")
