@@ -25,7 +25,7 @@ _WORD = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = rf"(?:{FEMALE_TITLES}|{MALE_TITLES}|{OTHER_TITLES})"
 #: Kinds in the order in which they are told apart, with what a match of the kind looks like.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
     "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -33,8 +33,9 @@ PATTERNS = {
     "card": r"(?<![\w-])\d(?:[\x20-]?\d){12,18}(?![\w-])",
     "name": rf"(?<=(?<!\p{{L}}){_TITLE}\.?\x20){_WORD}(?:\x20{_WORD})?|(?<!\p{{L}})(?:{FEMALE_NAMES}|{MALE_NAMES})\x20{_WORD}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_HINT = rf"@|\d[\d.\x20()-]{{7}}|[A-Z]{{2}}\d\d|{_TITLE}\.?\x20|{FEMALE_NAMES}|{MALE_NAMES}"
+#: All of them, tried only where the first character can begin one; and what a text with any of them holds.
+ANY = PATTERNS["email"] + "|(?=[\\p{Lu}0-9+(])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email") + ")"
+_HINT = rf"@|[0-9][0-9.\x20()-]{{6}}|(?=[\p{{Lu}}гκ])(?:[A-Z]{{2}}\d\d|{_TITLE}\.?\x20|{FEMALE_NAMES}|{MALE_NAMES})"
 KINDS = [*PATTERNS]
 #: Syllables of made-up names by script, and the endings of female and male given names.
 SYLLABLES = {
@@ -168,10 +169,10 @@ def pseudonymised(docs: DataFrame, key: str, salts: int = 16) -> DataFrame:
     gives an empty result. U+0001 in a text comes back as U+0002.
     """
     rows = shaped(docs, doc_id="long", text="string").withColumn("plain", unmarked(F.col("text")))
-    pieces = F.when(F.col("plain").rlike(_HINT), parts(F.col("plain"), ANY)).otherwise(F.array("plain"))
-    rows = rows.withColumn("pieces", pieces).withColumn("text_key", F.xxhash64("plain"))
-    found = rows.filter(F.size("pieces") > 1).select("doc_id", "text_key", mentions(F.col("pieces")).alias("m")).dropDuplicates(["doc_id", "text_key"])
-    found = cut_lineage(found)
+    hinted = F.col("plain").rlike(_HINT)
+    split = rows.filter(hinted).withColumn("pieces", parts(F.col("plain"), ANY)).withColumn("text_key", F.xxhash64("plain"))
+    found = cut_lineage(split.select("doc_id", "text_key", mentions(F.col("pieces")).alias("m")).filter(F.size("m") > 0))
+    found = found.dropDuplicates(["doc_id", "text_key"])
     each = found.select("doc_id", "text_key", F.explode("m").alias("m")).select("doc_id", "text_key", "m.*")
     table = assigned(each, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     each = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "part"), F.lit(salts)).cast("int"))
@@ -179,14 +180,15 @@ def pseudonymised(docs: DataFrame, key: str, salts: int = 16) -> DataFrame:
         "doc_id", "text_key", F.struct("part", "token", "kind", _worn(F.col("form"), F.col("kind"), F.col("surrogate")).alias("new")).alias("r"))
     by_row = worn.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_list("r")).alias("r"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    with_any = rows.filter(F.size("pieces") > 1).join(by_row, same)
+    with_any = split.join(by_row, same, "left").withColumn("r", F.coalesce("r", F.array().cast(dict(by_row.dtypes)["r"])))
     at_part = F.transform("pieces", lambda p, k: F.when(F.pmod(k, F.lit(2)) == 0, p).otherwise(
         F.array_join(F.transform(F.filter("r", lambda x: x["part"] == k), lambda x: x["new"]), " ")))
     places = located(F.col("pieces"))
     kinds = F.transform(F.filter("r", lambda x: x["token"] == 0), lambda x: F.when(x["kind"].contains(":"), "name").otherwise(x["kind"]))
     spans = F.array_join(F.transform(F.arrays_zip(kinds.alias("k"), places.alias("p")), lambda s: F.concat_ws(
         ":", s["k"], s["p"]["start"].cast("string"), s["p"]["end"].cast("string"))), ",")
-    done = with_any.select("doc_id", F.array_join(at_part, "").alias("text"), spans.alias("spans"), kinds.alias("kinds"))
-    none = rows.filter(F.size("pieces") <= 1).select("doc_id", "text", F.lit("").alias("spans"), F.array().cast("array<string>").alias("kinds"))
+    written = F.when(F.size("r") > 0, F.array_join(at_part, "")).otherwise(F.col("text"))
+    done = with_any.select("doc_id", written.alias("text"), F.when(F.size("r") > 0, spans).otherwise("").alias("spans"), kinds.alias("kinds"))
+    none = rows.filter(~hinted).select("doc_id", "text", F.lit("").alias("spans"), F.array().cast("array<string>").alias("kinds"))
     return done.unionByName(none).select("doc_id", "text", "spans", *[
         F.size(F.filter("kinds", lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in KINDS])
