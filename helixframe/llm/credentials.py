@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import shaped
-from helixframe.llm.spans import located, parts, unmarked
+from helixframe.llm.spans import bound, located, parts, unmarked
 from helixframe.session import cut_lineage
 
 #: The base kinds in the order of their listing: pattern, and the least length of what decides (a group of it or all).
@@ -26,7 +26,7 @@ def _found(text: Column, place: int, kind: str, pattern: str, least: int) -> Col
         value = F.regexp_replace(m["value"], _VALUE, "") if kind == "assign" else m["value"]
         return F.struct(m["start"].alias("start"), F.lit(place).alias("place"), m["end"].alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
 
-    return F.filter(F.transform(located(parts(text, pattern)), entry), lambda m: F.length(m["value"]) >= least)
+    return F.filter(F.transform(bound(parts(text, pattern), located), entry), lambda m: F.length(m["value"]) >= least)
 
 
 def candidates(text: Column) -> Column:

@@ -7,6 +7,8 @@ holds already counts as U+0002, which no pattern of this package matches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def unmarked(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), MARK, "\u0002")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def parts(text: Column, pattern: str) -> Column:
     """Parts of an unmarked text; those at odd places (from 0) are the matches, in order."""
     return F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import shaped
-from helixframe.llm.spans import located, parts, unmarked
+from helixframe.llm.spans import bound, located, parts, unmarked
 from helixframe.session import cut_lineage
 
 #: Titles and common given names by gender.
@@ -68,7 +68,7 @@ def mentions(pieces: Column) -> Column:
     (kind surname:script), one before it a given name (given:gender:script).
     """
     def tokens(k: Column) -> Column:
-        value, gap = F.get(pieces, k), F.get(pieces, k - 1)
+        value, gap = F.get(pieces, k), F.right(F.get(pieces, k - 1), F.lit(24))  # a title is near the end
         kind = _kind(value)
         words = F.when(kind == "name", F.split(value, " ")).otherwise(F.array(value))
 
@@ -171,7 +171,7 @@ def pseudonymised(docs: DataFrame, key: str, salts: int = 16) -> DataFrame:
     rows = shaped(docs, doc_id="long", text="string").withColumn("plain", unmarked(F.col("text")))
     hinted = F.col("plain").rlike(_HINT)
     split = rows.filter(hinted).withColumn("pieces", parts(F.col("plain"), ANY)).withColumn("text_key", F.xxhash64("plain"))
-    found = cut_lineage(split.select("doc_id", "text_key", mentions(F.col("pieces")).alias("m")).filter(F.size("m") > 0))
+    found = cut_lineage(split.select("doc_id", "text_key", bound(F.col("pieces"), mentions).alias("m")).filter(F.size("m") > 0))
     found = found.dropDuplicates(["doc_id", "text_key"])
     each = found.select("doc_id", "text_key", F.explode("m").alias("m")).select("doc_id", "text_key", "m.*")
     table = assigned(each, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -183,7 +183,7 @@ def pseudonymised(docs: DataFrame, key: str, salts: int = 16) -> DataFrame:
     with_any = split.join(by_row, same, "left").withColumn("r", F.coalesce("r", F.array().cast(dict(by_row.dtypes)["r"])))
     at_part = F.transform("pieces", lambda p, k: F.when(F.pmod(k, F.lit(2)) == 0, p).otherwise(
         F.array_join(F.transform(F.filter("r", lambda x: x["part"] == k), lambda x: x["new"]), " ")))
-    places = located(F.col("pieces"))
+    places = bound(F.col("pieces"), located)
     kinds = F.transform(F.filter("r", lambda x: x["token"] == 0), lambda x: F.when(x["kind"].contains(":"), "name").otherwise(x["kind"]))
     spans = F.array_join(F.transform(F.arrays_zip(kinds.alias("k"), places.alias("p")), lambda s: F.concat_ws(
         ":", s["k"], s["p"]["start"].cast("string"), s["p"]["end"].cast("string"))), ",")
