@@ -152,7 +152,9 @@ def match_samples(again: DataFrame, original: DataFrame, tail: int = 4) -> DataF
 
 
 def append_lists(original: DataFrame, again: DataFrame, matches: DataFrame) -> DataFrame:
-    """Add the read lists of a repeated run to the original run; the new name wins."""
+    """Add the read lists of a repeated run to the original run; the new name wins. A sample without an original is an error."""
+    missing = F.raise_error(F.concat(F.lit("no original sample for "), F.col("sample"))).cast("string")
+    matches = matches.withColumn("original", F.coalesce("original", missing))
     extra = again.join(matches, "sample").select(
         F.col("original"), F.col("sample").alias("new_name"), F.col("reads").alias("more")
     )

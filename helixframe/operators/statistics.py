@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -285,7 +287,7 @@ def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
 
 # --- multiple testing --------------------------------------------------------------------
 
-CORRECTIONS = ("bonferroni", "sidak", "holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by", "fdr_tsbh", "fdr_tsbky")
+CORRECTIONS = ("bonferroni", "sidak", "holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by", "fdr_tsbh", "fdr_tsbky", "hommel")
 
 
 def _harmonic(m: Column) -> Column:
@@ -329,6 +331,8 @@ def adjust_all(
             run = run.withColumn(name, F.least(v * m, one))
         elif method == "sidak":
             run = run.withColumn(name, -F.expm1(m * F.log1p(-v)))
+        elif method == "hommel":
+            run = _hommel(run, keys, p, name)
         elif method in ("fdr_tsbh", "fdr_tsbky"):
             run = _second_stage(run, keys, name, alpha, method == "fdr_tsbky")
         else:
@@ -336,6 +340,69 @@ def adjust_all(
     return df.join(run.select(*keys, p, *methods.values()), [*keys, p])
 
 
+def _lower_hull(place: np.ndarray, p: np.ndarray) -> list[int]:
+    """Indices of the lower convex hull of points with rising places."""
+    hull: list[int] = []
+    for i in range(len(place)):
+        while len(hull) > 1:
+            a, b = hull[-2], hull[-1]
+            if (p[b] - p[a]) * (place[i] - place[b]) < (p[i] - p[b]) * (place[b] - place[a]):
+                break
+            hull.pop()
+        hull.append(i)
+    return hull
+
+
+def _hommel(run: DataFrame, keys: list[str], p: str, name: str) -> DataFrame:
+    """Hommel's correction from the lower convex hull of the sorted p values.
+
+    With s(i) the least i * p(m - i + k) / k over k, a p is raised to max(i * p, s(i + 1)) for the largest i with
+    i * p < s(i). The least slope from a point left of the curve ends on the hull, so only its corners are needed. Tasks find
+    the hulls of their own points; what meets in one task is these corners, not the p values of a family.
+    """
+    key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+    marked = run.withColumn("_k", key).withColumn("_p", F.col(p).cast("double"))
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, pd.DataFrame] = {}
+        for batch in batches:
+            for k, own in batch.groupby("_k"):
+                both = pd.concat([kept[k], own]) if k in kept else own
+                both = both.sort_values("upto").drop_duplicates("upto")
+                kept[k] = both.iloc[_lower_hull(both["upto"].to_numpy(), both["_p"].to_numpy())]
+        yield from kept.values()
+
+    def whole(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("upto").drop_duplicates("upto")
+        hull = own.iloc[_lower_hull(own["upto"].to_numpy(), own["_p"].to_numpy())]
+        return pd.DataFrame({"_k": [own["_k"].iloc[0]], "_at": [hull["upto"].tolist()], "_low": [hull["_p"].tolist()]})
+
+    local = marked.select("_k", F.col("upto").cast("long").alias("upto"), "_p").mapInPandas(corners, "_k string, upto long, _p double")
+    hulls = local.groupBy("_k").applyInPandas(whole, "_k string, _at array<long>, _low array<double>")
+
+    @F.pandas_udf("double")
+    def raised(value: pd.Series, size: pd.Series, at: pd.Series, low: pd.Series) -> pd.Series:
+        out = []
+        for v, m, a, q in zip(value, size, at, low):
+            m, places, least = int(m), np.asarray(a, dtype=float), np.asarray(q, dtype=float)
+
+            def s(i: int) -> float:
+                if i > m:
+                    return 0.0
+                beyond = places > m - i
+                return float((i * least[beyond] / (places[beyond] - (m - i))).min())
+
+            lo, hi = 0, m  # the largest i with i * v < s(i); s never rises
+            while lo < hi:
+                mid = (lo + hi + 1) // 2
+                lo, hi = (mid, hi) if mid * v < s(mid) else (lo, mid - 1)
+            out.append(min(1.0, max(lo * v, s(lo + 1))))
+        return pd.Series(out, dtype="float64")
+
+    joined = marked.join(hulls, "_k")
+    return joined.withColumn(name, raised("_p", F.col("_m").cast("long"), "_at", "_low")).drop("_k", "_p", "_at", "_low")
+
+
 def _second_stage(run: DataFrame, keys: list[str], name: str, alpha: float, conservative: bool) -> DataFrame:
     """Scale the step-up values by the share of hypotheses the first stage keeps.
 

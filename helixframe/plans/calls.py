@@ -239,6 +239,12 @@ def _(t):
     return va.merge_variant_lists([v.filter("l_tax > 0.05").withColumn("chrom", F.concat(F.lit("chr"), "n")), v.filter("l_discount > 0.06").withColumnRenamed("n", "chrom")])
 
 
+@query("A20_renamed_ids", "SELECT 'v' || l_orderkey || '-' || l_linenumber AS var_id, 'chr' || (l_suppkey % 22) || ':' || l_partkey || ':.:' || l_returnflag || ':' || l_linestatus AS new_id FROM lineitem")
+def _(t):
+    v = t.lineitem.select(F.concat(s("v", "l_orderkey"), s("-", "l_linenumber")).alias("var_id"), s("chr", F.col("l_suppkey") % 22).alias("chrom"), F.col("l_partkey").alias("pos"), F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt"))
+    return va.renamed_ids(v)
+
+
 @query("A20_first_occurrence", "SELECT o_custkey AS pos, o_orderstatus AS ref, min(o_orderkey) AS first_order, arg_min(o_totalprice, o_orderkey) AS qty FROM orders GROUP BY 1, 2")
 def _(t):
     v = t.orders.select(F.col("o_custkey").alias("pos"), F.col("o_orderstatus").alias("ref"), F.col("o_orderkey").alias("first_order"), F.col("o_totalprice").alias("qty"), F.col("o_orderkey").alias("line_no"))

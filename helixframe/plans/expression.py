@@ -275,6 +275,23 @@ def _(t):
     )
 
 
+@query("A23_instability_status", """SELECT count(*) FILTER (WHERE unstable = 'yes') AS unstable_sites, count(*) AS all_sites, CASE WHEN round(count(*) FILTER (WHERE unstable = 'yes') / count(*), 2) >= 0.2 THEN 'MSI:High' ELSE 'MSI:Stable' END AS status FROM (WITH reads AS (SELECT l_partkey % 50 AS site, l_linenumber AS repeats FROM lineitem),
+s AS (SELECT site, repeats, count(*) AS n FROM reads GROUP BY 1, 2),
+k AS (SELECT *, 3 + site % 2 AS expected FROM (SELECT *, sum(n) OVER (PARTITION BY site) AS tot FROM s) WHERE n > floor(tot * 0.01) + 1),
+g AS (SELECT site, CAST(sum(n) AS BIGINT) AS reads, sum(CASE WHEN repeats <> expected THEN n ELSE 0 END) / sum(n) AS alt,
+ sum(CASE WHEN repeats > expected THEN n ELSE 0 END) / sum(n) + 1e-3 AS ins, sum(CASE WHEN repeats < expected THEN n ELSE 0 END) / sum(n) AS dele,
+ sum(repeats * n) / sum(n) AS mean_len, sum(repeats * n) AS s1, sum(repeats * repeats * n) AS s2,
+ string_agg(lpad(CAST(repeats AS VARCHAR), 4, '0') || ':' || n, ',' ORDER BY repeats) AS distribution FROM k GROUP BY 1)
+SELECT site, reads, round(alt, 4) AS alt, round(mean_len, 4) AS mean_len, distribution, round(dele / ins, 2) AS bias,
+ round(sqrt((s2 - CAST(s1 AS DOUBLE) * s1 / reads) / (reads - 1)), 4) AS sd_len,
+ CASE WHEN alt >= 0.1 AND round(dele / ins, 2) >= CASE WHEN alt > 0.1 AND alt <= 0.13 THEN 2 WHEN alt > 0.13 AND alt <= 0.2 THEN 1.8 ELSE 1.5 END
+  THEN 'yes' ELSE 'no' END AS unstable FROM g WHERE reads > 30)""")
+def _(t):
+    reads = t.lineitem.select((F.col("l_partkey") % 50).alias("site"), F.col("l_linenumber").alias("repeats"))
+    sites = t.part.select((F.col("p_partkey") % 50).alias("site")).distinct().withColumn("expected", 3 + F.col("site") % 2)
+    return ex.instability_status(ex.repeat_instability(reads, sites))
+
+
 @query("A07_length_histogram", """WITH h AS (SELECT length(text) AS length, count(*) AS number FROM documents GROUP BY 1),
 c AS (SELECT *, sum(number) OVER (ORDER BY number DESC, length ROWS UNBOUNDED PRECEDING) AS run,
  row_number() OVER (ORDER BY number DESC, length) AS rank, sum(number) OVER () AS total FROM h)

@@ -398,12 +398,13 @@ def _vcf_lines(t):
     return t.lineitem.select(text(
         s("chr", F.col("l_suppkey") % 22), "\t", k, "\t.\t", F.col("l_returnflag"), "\t", F.col("l_linestatus"), ",T\t50\tPASS;q10\tDP=", F.col("l_quantity").cast("int").cast("string"), ";DB;AF=",
         col("l_discount"), "\tGT:AD:DP\t0/1:1,2:", col("l_linenumber"), "\t0/0:3,4")).union(
-        t.lineitem.agg(F.lit("##INFO=<ID=DP,Number=1,Type=Integer>").alias("value")))
+        t.lineitem.agg(F.lit("##INFO=<ID=DP,Number=1,Type=Integer>").alias("value"))).union(
+        t.lineitem.agg(F.lit("\t".join("#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT tumor normal".split())).alias("value")))
 
 
 @query("S09_vcf", """SELECT 'chr' || (l_suppkey % 22) AS chrom, l_orderkey AS pos, l_returnflag AS ref, l_linestatus || '/T' AS alt, 'PASS/q10' AS filter, CAST(l_quantity AS INTEGER) AS dp, 'Flagged' AS db, l_discount AS af, '0/1' AS gt, CAST(l_linenumber AS VARCHAR) AS t_dp, '3,4' AS n_ad, NULL::VARCHAR AS n_dp FROM lineitem""")
 def _(t):
-    v = variants.vcf(_vcf_lines(t), ["tumor", "normal"])
+    v = variants.vcf(_vcf_lines(t))
     return v.select("chrom", "pos", "ref", F.concat_ws("/", "alt").alias("alt"), F.concat_ws("/", "filter").alias("filter"), F.col("info")["DP"].cast("int").alias("dp"), F.col("info")["DB"].alias("db"), F.col("info")["AF"].cast("double").alias("af"),
                     F.col("samples")["tumor"]["GT"].alias("gt"), F.col("samples")["tumor"]["DP"].alias("t_dp"), F.col("samples")["normal"]["AD"].alias("n_ad"), F.col("samples")["normal"]["DP"].alias("n_dp"))
 

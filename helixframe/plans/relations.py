@@ -278,6 +278,17 @@ def _(t):
     return rel.match_samples(again, orig)
 
 
+@query("J18_append_lists", """WITH o AS (SELECT c_name AS sample, c_custkey AS line_no, 'r' || c_custkey AS reads FROM customer), a AS (SELECT DISTINCT left(c_name, length(c_name) - 2) || 'zz' AS sample FROM customer WHERE c_custkey % 7 = 0),
+m AS (SELECT a.sample, 's' || a.sample AS more, min_by(o.sample, o.line_no) AS original FROM a JOIN o ON starts_with(left(o.sample, length(o.sample) - 2), left(a.sample, length(a.sample) - 2)) GROUP BY 1)
+SELECT coalesce(m.sample, o.sample) AS sample, o.reads || coalesce(',' || more, '') AS reads FROM o LEFT JOIN m ON m.original = o.sample""")
+def _(t):
+    orig = t.customer.select(F.col("c_name").alias("sample"), F.col("c_custkey").alias("line_no"), F.array(F.concat(F.lit("r"), F.col("c_custkey").cast("string"))).alias("reads"))
+    name = F.concat(F.substring("c_name", F.lit(1), F.length("c_name") - 2), F.lit("zz"))
+    again = t.customer.filter("c_custkey % 7 = 0").select(name.alias("sample")).distinct().withColumn("reads", F.array(F.concat(F.lit("s"), F.col("sample"))))
+    out = rel.append_lists(orig.select("sample", "reads"), again, rel.match_samples(again.select("sample"), orig, 2))
+    return out.select("sample", F.array_join("reads", ",").alias("reads"))
+
+
 @query("J19_index_pairs", """WITH s AS (SELECT n_name AS sample, n_nationkey AS a, n_nationkey + 30 AS b FROM nation)
 SELECT l_orderkey AS read_id, l_linenumber AS line, sample FROM lineitem JOIN s ON
  least('i' || (l_partkey % 25 + CASE WHEN l_linenumber % 2 = 0 THEN 30 ELSE 0 END), 'i' || (l_partkey % 25 + CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 30 END)) = least('i' || a, 'i' || b)
@@ -426,6 +437,22 @@ def _(t):
     return rel.value_with_p(li.agg(F.avg("l_tax").alias("value")), li.agg(F.avg("l_discount").alias("p")), ["row_key", "col_key"])
 
 
+# The pages are written as two files and streamed one file a trigger; keys seen in the first are skipped in the second.
+@query("Z02_stream_new_pages", "SELECT DISTINCT split_part(url, '?', 1) AS url_key FROM pages")
+def _(t):
+    from helixframe.session import new_path
+    from helixframe.streaming.incremental import stream_new_pages
+
+    parts, out = new_path(t.spark, "pages"), new_path(t.spark, "new-pages")
+    seen = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") % 3600)
+    twice = t.pages.select("page_id", "url", seen.alias("seen_at"))
+    twice.union(twice).repartition(2).write.parquet(parts)
+    rows = t.spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    fresh = stream_new_pages(rows, "seen_at", "1 day").select("url_key")
+    fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(t.spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out)
+
+
 @query("Z02_skip_captured", """SELECT page_id, split_part(url, '?', 1) AS url_key FROM pages WHERE split_part(url, '?', 1) NOT IN (SELECT split_part(url, '?', 1) FROM pages WHERE page_id % 3 = 0)""")
 def _(t):
     from helixframe.streaming.incremental import skip_captured

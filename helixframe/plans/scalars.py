@@ -163,6 +163,20 @@ def _(t):
     return t.part.select("p_partkey", text.repeats_at(seq, unit, (F.length(unit) * left + 2).cast("int")).alias("n"))
 
 
+# Reads that hold the whole repeat, that end within it (the rest is clipped) and that begin within it.
+@query("X20_read_repeats", "SELECT p_partkey, p_size % 6 + p_partkey % 4 + 1 AS n FROM part")
+def _(t):
+    unit = F.when(F.col("p_size") % 2 == 0, F.lit("AC")).otherwise(F.lit("T"))
+    one, two, mode = F.col("p_size") % 6, F.col("p_partkey") % 4 + 1, F.col("p_partkey") % 3
+    rep = lambda n: F.call_function("repeat", unit, n.cast("int"))
+    full = F.concat(F.lit("GG"), rep(one), rep(two), F.lit("CC"))
+    aligned = F.when(mode == 0, full).when(mode == 1, F.concat(F.lit("GG"), rep(one))).otherwise(F.concat(rep(two), F.lit("CC")))
+    before = F.when(mode == 2, F.concat(F.lit("GG"), rep(one))).otherwise("")
+    after = F.when(mode == 1, F.concat(rep(two), F.lit("CC"))).otherwise("")
+    offset = F.when(mode == 2, 0).otherwise(2)
+    return t.part.select("p_partkey", text.read_repeats(full, aligned, before, after, offset, unit, F.lit("GG"), F.lit("CC")).alias("n"))
+
+
 @query("X21_price_per_area", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN round(p_size * 10000.0 / 50, 4) WHEN 1 THEN round(p_size * 100000000.0 / 50, 4) WHEN 2 THEN round(p_size / 50.0, 4) END::DOUBLE AS price FROM part""")
 def _(t):
     n = F.col("p_size").cast("string")

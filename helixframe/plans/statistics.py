@@ -136,6 +136,18 @@ def _(t):
     return out.select("gene", *rnd(4, "t_equal", "t_welch", "df_welch"))
 
 
+@query("M11_wilcoxon", f"""WITH {COUNTS}, w AS (SELECT gene, CAST(substr(sample, 2) AS INTEGER) // 2 AS pair, max(value) FILTER (WHERE CAST(substr(sample, 2) AS INTEGER) % 2 = 0) AS x, max(value) FILTER (WHERE CAST(substr(sample, 2) AS INTEGER) % 2 = 1) AS y FROM counts GROUP BY 1, 2),
+d AS (SELECT gene, x - y AS d FROM w WHERE x <> y), r AS (SELECT gene, d, rank() OVER (PARTITION BY gene ORDER BY abs(d)) + (count(*) OVER (PARTITION BY gene, abs(d)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY gene, abs(d)) AS ties FROM d),
+a AS (SELECT gene, count(*) AS n, coalesce(sum(rk) FILTER (WHERE d > 0), 0) AS wp, coalesce(sum(rk) FILTER (WHERE d < 0), 0) AS wm, sum(CAST(ties AS DOUBLE) * ties - 1) AS tie FROM r GROUP BY 1),
+z AS (SELECT gene, (least(wp, wm) - n * (n + 1) / 4.0) / sqrt((CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) - tie / 2) / 24) AS z FROM a)
+SELECT gene, round(least({_two_sided('z')}, 1), 5) AS p FROM z""")
+def _(t):
+    number = F.substring("sample", F.lit(2), F.length("sample")).cast("int")
+    df = b.counts(t).withColumn("pair", F.floor(number / 2)).withColumn("grp", F.when(number % 2 == 0, "g0").otherwise("g1"))
+    out = st.group_test(df, ["gene"], "value", "grp", "g0", "g1", "wilcoxon", small_groups=True, pair="pair")
+    return out.filter("p IS NOT NULL").select("gene", *rnd(5, "p"))
+
+
 @query("M11_signed_rank", """WITH d AS (SELECT l_linenumber AS k, l_tax - l_discount AS d FROM lineitem WHERE l_tax <> l_discount), r AS (SELECT k, d, rank() OVER (PARTITION BY k ORDER BY abs(d)) + (count(*) OVER (PARTITION BY k, abs(d)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY k, abs(d)) AS ties FROM d),
 a AS (SELECT k, count(*) AS n, coalesce(sum(rk) FILTER (WHERE d > 0), 0) AS wp, coalesce(sum(rk) FILTER (WHERE d < 0), 0) AS wm, sum(CAST(ties AS DOUBLE) * ties - 1) AS tie FROM r GROUP BY 1)
 SELECT k, n, wp AS w_plus, wm AS w_minus, round((least(wp, wm) - n * (n + 1) / 4.0) / sqrt((CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) - tie / 2) / 24), 4) AS z FROM a""")
@@ -240,6 +252,13 @@ def _(t):
     return st.adjust(_p(t), ["study"], method="fdr_tsbh").select("study", "term", *rnd(6, "q"))
 
 
+@query("M18_hommel", f"""WITH {_P}, c AS (SELECT study, term, p, i, m FROM k), t AS (SELECT a.study, a.i AS n, min(a.i * b.p / (b.i - (a.m - a.i))) AS s FROM c a JOIN c b ON a.study = b.study AND b.i > a.m - a.i GROUP BY 1, 2),
+b AS (SELECT c.study, c.term, c.p, max(t.n) AS n FROM c JOIN t ON c.study = t.study AND t.n * c.p < t.s GROUP BY 1, 2, 3)
+SELECT c.study, c.term, round(least(1, greatest(coalesce(b.n, 0) * c.p, coalesce(t.s, 0))) + 1e-10, 6) AS q FROM c LEFT JOIN b ON c.study = b.study AND c.term = b.term LEFT JOIN t ON c.study = t.study AND t.n = coalesce(b.n, 0) + 1""")
+def _(t):
+    return st.adjust(_p(t), ["study"], method="hommel").select("study", "term", F.round(F.col("q") + 1e-10, 6).alias("q"))
+
+
 @query("M18_two_stage_conservative", f"""WITH {_P}, a AS (SELECT *, min(p * m / i) OVER (PARTITION BY study ORDER BY i DESC) AS q FROM k), r AS (SELECT study, 1 - count(*) FILTER (WHERE q <= 0.05 / 1.05) / count(*) AS s FROM a GROUP BY 1)
 SELECT study, term, round(least(q * CASE WHEN s > 0 AND s < 1 THEN s ELSE 1 END * 1.05, 1), 6) AS q FROM a JOIN r USING (study)""")
 def _(t):

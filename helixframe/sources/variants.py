@@ -24,8 +24,11 @@ def sample_map(format_text: Column, values: Column) -> Column:
     return F.map_from_arrays(F.slice(keys, 1, F.least(F.size(keys), F.size(vals))), F.slice(vals, 1, F.least(F.size(keys), F.size(vals))))
 
 
-def vcf(lines: DataFrame, samples: list[str]) -> DataFrame:
-    """Nested variant records from (value) lines; `samples` are the names of the header line."""
+def vcf(lines: DataFrame, samples: list[str] | None = None) -> DataFrame:
+    """Nested variant records from (value) lines. `samples` are the names of the header line, which is read if none are given:
+    one line, so a list of names."""
+    if samples is None:
+        samples = [r["sample"] for r in header_samples(lines).orderBy("place").collect()]
     p = F.split("value", "\t")
     fixed = [
         field(p, 1).alias("chrom"), field(p, 2).cast("long").alias("pos"), field(p, 3).alias("id"),
