@@ -74,7 +74,7 @@ def correlation(sums: DataFrame, least_rows: int = 0) -> DataFrame:
     cov = n * F.col("xy") - F.col("x") * F.col("y")
     scale = F.sqrt(n * F.col("xx") - F.col("x") ** 2) * F.sqrt(n * F.col("yy") - F.col("y") ** 2)
     r = F.when(n < least_rows, 0.0).otherwise(F.try_divide(cov, scale))
-    return _both(sums).select("a", "b", n.cast("long").alias("n"), F.when(~F.isnan(r), F.greatest(F.lit(-1.0), F.least(r, F.lit(1.0)))).alias("corr"))
+    return _both(sums).select("a", "b", n.cast("long").alias("n"), F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(r, F.lit(1.0)))).alias("corr"))
 
 
 def pearson_matrix(df: DataFrame, samples: Sequence[str]) -> DataFrame:

@@ -5,8 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.functions import text
-from helixframe.operators import calls, expression, graph, models, relations, sets
+from helixframe.functions import hgvs, tails, text
+from helixframe.operators import calls, expression, graph, models, pairwise, relations, sets
+from helixframe.operators import intervals as intervals_ops
+from helixframe.operators import rules as rules_ops
+from helixframe.operators import statistics as statistics_ops
+from helixframe.operators import variants as variants_ops
 from helixframe.plans import load_all
 from helixframe.sources import lines, sequences, sinks
 
@@ -162,3 +166,105 @@ def test_purity_of_clean_somatic_variants(spark):
     final = {r.stage: r.purity for r in got.collect()}
     # A fraction of 0.3 is one of two copies at 0.6, or both after a loss at 2 * 0.3 / 1.3, or two copies at 0.3.
     assert min(abs(final["all"] - p) for p in (0.6, 0.46, 0.3)) <= 0.05
+
+
+# --- limits that must not cut ------------------------------------------------------------
+
+def test_tails_settle_for_large_parameters():
+    assert abs(float(tails.binomial_cdf(5e7, 1e8, 0.5)) - 0.50004) < 1e-5
+    t, v = 2.0, 1e10
+    assert abs(float(tails.beta_inc(v / 2, 0.5, v / (v + t * t))) - 0.0455002639) < 1e-7  # 1 - x itself has no more digits
+    assert abs(float(tails.beta_inc(2.0, 3.0, 0.4)) - 0.5248) < 1e-12
+    assert np.allclose(tails.beta_inc(np.array([0.5, 20.0]), np.array([0.5, 30.0]), np.array([0.25, 0.4])), [1 / 3, 0.5093], atol=2e-3)
+
+
+def test_intervals_of_any_length_hold_points(spark):
+    intervals = spark.createDataFrame([("c", 0, 2**61, "long"), ("c", 10, 20, "short"), ("c", None, 5, "open")], "chrom string, start long, end long, name string")
+    points = spark.createDataFrame([("c", 15), ("c", 2**40 + 1)], "chrom string, pos long")
+    got = sorted((r.pos, r.name) for r in intervals_ops.points_in_intervals(points, intervals).collect())
+    assert got == [(15, "long"), (15, "short"), (2**40 + 1, "long")]
+
+
+def test_correlation_far_from_zero(spark):
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=2000)
+    y = 0.45 * x + draw.normal(size=2000)
+    rows = [(g, s, float(1e8 + v)) for g in range(2000) for s, v in (("a", x[g]), ("b", y[g]), ("k", 0.0))]
+    df = spark.createDataFrame(rows, "gene int, sample string, value double")
+    got = {(r.a, r.b): r["corr"] for r in pairwise.pearson_matrix(df, ["a", "b", "k"]).collect()}
+    assert abs(got["a", "b"] - np.corrcoef(1e8 + x, 1e8 + y)[0, 1]) < 1e-6 and abs(got["a", "a"] - 1) < 1e-12
+    assert got["a", "k"] is None
+    far = {(r.a, r.b): r.euclidean for r in pairwise.distances(df, ["a", "b", "k"]).collect()}
+    assert abs(far["a", "b"] - np.linalg.norm((1e8 + x) - (1e8 + y))) < 1e-5
+
+
+def test_spearman_over_shared_genes(spark):
+    import pandas as pd
+
+    draw = np.random.default_rng(2)
+    table = pd.DataFrame(draw.integers(0, 9, (40, 4)).astype(float), columns=list("abcd"))
+    table.loc[3:9, "b"] = np.nan
+    table.loc[7:20, "d"] = np.nan
+    rows = [(i, c, float(v)) for i, r in table.iterrows() for c, v in r.items() if v == v]
+    got = pairwise.spearman_matrix(spark.createDataFrame(rows, "gene int, sample string, value double"), list("abcd")).collect()
+    want = {}
+    for a in "abcd":
+        for b in "abcd":
+            both = table[[a, b]].dropna() if a != b else table[[a]].dropna()
+            want[a, b] = both[a].rank().corr(both[b].rank())
+    assert len(got) == 16 and all(abs(r["corr"] - want[r.a, r.b]) < 1e-9 for r in got)
+
+
+def test_depth_with_a_root_that_is_its_own_parent(spark):
+    edges = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "node int, parent int")
+    assert {r.node: r.depth for r in graph.depth(edges).collect()} == {1: 0, 2: 1, 3: 2}
+    with pytest.raises(ValueError):
+        graph.depth(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 8)], "node int, parent int"))
+    assert {r.node for r in graph.descendants(edges, spark.createDataFrame([(2,)], "root int")).collect()} == {2, 3}
+
+
+def test_exact_p_of_small_groups(spark):
+    rows = [("g", float(v), grp) for v, grp in ((1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "b"), (6, "b"))]
+    df = spark.createDataFrame(rows, "gene string, value double, grp string")
+    out = statistics_ops.group_test(df, ["gene"], "value", "grp", "a", "b", small_groups=True).first()
+    assert abs(out.p - 0.1) < 1e-12  # two of twenty arrangements
+
+
+def test_hommel_against_closed_testing(spark):
+    from itertools import combinations
+
+    p = [0.01, 0.02, 0.022, 0.09, 0.5]
+    want = []
+    for i in range(5):
+        worst = 0.0
+        for size in range(1, 6):
+            for chosen in combinations(range(5), size):
+                if i in chosen:
+                    own = sorted(p[k] for k in chosen)
+                    worst = max(worst, min(size * q / (k + 1) for k, q in enumerate(own)))
+        want.append(worst)
+    df = spark.createDataFrame([("s", i, q) for i, q in enumerate(p)], "study string, i int, p double")
+    got = {r.i: r.q for r in statistics_ops.adjust(df, ["study"], method="hommel").collect()}
+    assert all(abs(got[i] - w) < 1e-12 for i, w in enumerate(want))
+
+
+def test_categories_and_domain_counts_have_no_limit(spark):
+    fields = spark.createDataFrame([("ID", f"v{k}") for k in range(150)] + [("DP", "3"), ("DP", "9")], "field string, value string")
+    ranges = variants_ops.field_ranges(fields)
+    assert ranges.filter("kind = 'category'").count() == 150
+    shown = {r.field: r.text for r in variants_ops.filter_template(ranges).collect()}
+    assert shown == {"ID": "150 categories", "DP": "3.0..9.0"}
+    rules = rules_ops.parse_family_rules(spark.createDataFrame([("A", "A", "AP2 (>=2) (PF1)", "-", "-")], "family string, subfamily string, binding string, auxiliary string, forbidden string"))
+    counts = spark.createDataFrame([("q", "PF1", 40)], "query_id string, domain string, n long")
+    assert rules_ops.judge_families(counts, rules).count() == 1
+
+
+def test_chunks_from_lines(spark):
+    text = "ACGTTGCAAGTC" * 7
+    lines = spark.createDataFrame([("c", n, text[at:at + 11]) for n, at in enumerate(range(0, len(text), 11))], "chrom string, line_no int, seq string")
+    got = {r.chunk_no: r.seq for r in hgvs.lines_to_chunks(lines, 20).collect()}
+    assert got == {k: text[20 * k:20 * k + 20] for k in range(5)}
+    whole = {r.chunk_no: r.seq for r in hgvs.to_chunks(spark.createDataFrame([("c", text)], "chrom string, seq string"), 20).collect()}
+    assert whole == got
+    kinds = spark.createDataFrame([("cX10del",), ("c.10del",)], "c string").select("c", hgvs.change_class(F.col("c")).alias("k"))
+    assert {r.c: r.k for r in kinds.collect()} == {"cX10del": None, "c.10del": 2}
