@@ -12,15 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions import tails
-from helixframe.operators.pairwise import distances, principal_components, wide
+from helixframe.operators.pairwise import principal_components, wide
 from helixframe.session import cut_lineage
 
 
 # --- clustering --------------------------------------------------------------------------
 
 def _vectors(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
-    filled = matrix.select("gene", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(filled)
+    """Feature vectors in an order that depends on the genes alone, so that seeded starts repeat. A missing cell takes the
+    mean of the gene's other cells, which moves the gene nowhere along that sample."""
+    cells = [F.col(c).cast("double") for c in columns]
+    there = F.filter(F.array(*cells), lambda x: x.isNotNull() & ~F.isnan(x))
+    mean = F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)
+    filled = matrix.withColumn("_mean", mean).filter("_mean IS NOT NULL").select(
+        "gene", *[F.when(c.isNull() | F.isnan(c), F.col("_mean")).otherwise(c).alias(n) for c, n in zip(cells, columns)])
+    placed = filled.repartition("gene").sortWithinPartitions("gene")
+    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(placed)
 
 
 def cluster_genes(df: DataFrame, samples: Sequence[str], k: int, bisecting: bool = False, seed: int = 1) -> DataFrame:
@@ -46,23 +53,31 @@ def combined_clusters(df: DataFrame, samples: Sequence[str], k_genes: int, k_sam
     return df.join(genes, "gene").join(own, "sample")
 
 
-def sample_distances(df: DataFrame, samples: Sequence[str], metric: str) -> DataFrame:
-    return distances(df, samples).select("a", "b", F.col(metric).alias("distance"))
+# --- batch correction --------------------------------------------------------------------
 
+MOST_ROUNDS = 1_000_000  # past any gene that settles; reaching it is an error
 
-# --- batch correction --------------------------------------------------------------------
 
 def _shrink(data: np.ndarray, g_hat, d_hat, prior, rounds: int | None, conv: float):
-    """Posterior batch mean and variance per gene; without `rounds`, also the round in which a gene settles."""
+    """Posterior batch mean and variance per gene; without `rounds`, also the round in which a gene settles.
+
+    Missing samples are NaN and do not count; a gene without any sample of the batch takes the prior mean.
+    """
     g_bar, t2, a, b = prior
-    n = data.shape[1]
-    g, d = g_hat.copy(), d_hat.copy()
+    there = ~np.isnan(data)
+    n = there.sum(axis=1)
+    g_hat = np.where(n > 0, g_hat, 0.0)
+    g, d = np.where(n > 0, g_hat, g_bar), np.where(np.isnan(d_hat), b / (a - 1.0), d_hat)
     settled = np.zeros(len(g), dtype=int)
-    for i in range(1, (rounds or 1000) + 1):
+    i = 0
+    while rounds is None or i < rounds:
+        i += 1
+        if i > MOST_ROUNDS:
+            raise ArithmeticError(f"{int((settled == 0).sum())} genes did not settle")
         g_new = (t2 * n * g_hat + d * g_bar) / (t2 * n + d)
-        d_new = (0.5 * ((data - g_new[:, None]) ** 2).sum(axis=1) + b) / (n / 2.0 + a - 1.0)
+        d_new = (0.5 * np.where(there, (data - g_new[:, None]) ** 2, 0.0).sum(axis=1) + b) / (n / 2.0 + a - 1.0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            change = np.maximum(np.abs(g_new - g) / g, np.abs(d_new - d) / d)
+            change = np.maximum(np.abs(g_new - g) / np.abs(g), np.abs(d_new - d) / d)
         g, d = g_new, d_new
         settled[(settled == 0) & ~(change > conv)] = i
         if rounds is None and (settled > 0).all():
@@ -78,7 +93,8 @@ def correct_batches(
     The design is a small matrix on the driver (samples x batches and covariates). Genes are
     independent given the priors, so tasks standardise and shrink their own genes; only the
     priors and the number of rounds are collected. All genes run the number of rounds in which
-    the slowest of them settles. Genes with a missing sample are left out.
+    the slowest of them settles. A missing sample does not count for its gene: the design is fitted to the samples
+    that are there. Genes without spread keep their values.
     """
     names, levels = list(samples), sorted(set(batches))
     index = [[i for i, x in enumerate(batches) if x == level] for level in levels]
@@ -86,42 +102,53 @@ def correct_batches(
     for j, rows in enumerate(index):
         own[rows, j] = 1.0
     design = own if covariates is None else np.hstack([own, covariates])
-    projector = np.linalg.pinv(design.T @ design) @ design.T
-    weights = own.sum(axis=0) / len(names)
+    rest = design.copy()
+    rest[:, : len(levels)] = 0
 
-    full = wide(df, "gene", "sample", "value", names).dropna(subset=names)
+    full = wide(df, "gene", "sample", "value", names)
     matrix = cut_lineage(full.select("gene", *[F.col(c).cast("double").alias(c) for c in names]))
 
     def standardise(v: np.ndarray):
-        coef = projector @ v.T
-        grand = weights @ coef[: len(levels)]
-        pooled = ((v - (design @ coef).T) ** 2).mean(axis=1)
-        rest = design.copy()
-        rest[:, : len(levels)] = 0
-        mean = grand[:, None] + (rest @ coef).T
-        sd = np.sqrt(pooled)[:, None]
+        mean, sd = np.full(v.shape, np.nan), np.ones((len(v), 1))
+        patterns, which = np.unique(~np.isnan(v), axis=0, return_inverse=True)
+        for k, there in enumerate(patterns):
+            genes = np.flatnonzero(which.ravel() == k)
+            if not there.any():
+                continue
+            part, seen = design[there], v[genes][:, there]
+            coef = np.linalg.pinv(part.T @ part) @ part.T @ seen.T
+            grand = (own[there].sum(axis=0) / there.sum()) @ coef[: len(levels)]
+            pooled = ((seen - (part @ coef).T) ** 2).mean(axis=1)
+            mean[genes] = grand[:, None] + (rest @ coef).T
+            sd[genes, 0] = np.where(pooled > 1e-24 * np.maximum(grand**2, 1e-300), np.sqrt(pooled), np.nan)
         return (v - mean) / sd, mean, sd
 
     def fit(z: np.ndarray):
-        g = np.stack([z[:, rows].mean(axis=1) for rows in index])
-        d = np.stack([z[:, rows].var(axis=1, ddof=1) for rows in index])
+        g, d = [], []
+        for rows in index:
+            part = z[:, rows]
+            n = (~np.isnan(part)).sum(axis=1)
+            mean = np.where(n > 0, np.nansum(part, axis=1) / np.maximum(n, 1), np.nan)
+            square = np.where(np.isnan(part), 0.0, (part - mean[:, None]) ** 2).sum(axis=1)
+            g.append(mean)
+            d.append(np.where(n > 1, square / np.maximum(n - 1, 1), np.nan))
         return g, d
 
     def estimates(batches_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_in:
-            g, d = fit(standardise(pdf[names].to_numpy())[0])
+            g, d = fit(standardise(pdf[names].to_numpy(dtype=float))[0])
             for j in range(len(levels)):
                 yield pd.DataFrame({"batch": j, "g": g[j], "d": d[j]})
 
-    rows = (
-        matrix.mapInPandas(estimates, "batch int, g double, d double").groupBy("batch")
-        .agg(F.avg("g").alias("gm"), F.var_pop("g").alias("gv"), F.avg("d").alias("dm"), F.var_samp("d").alias("dv")).collect()
-    )
+    known = matrix.mapInPandas(estimates, "batch int, g double, d double")
+    g_known, d_known = (F.when(~F.isnan(c), F.col(c)) for c in ("g", "d"))
+    rows = known.groupBy("batch").agg(
+        F.avg(g_known).alias("gm"), F.var_pop(g_known).alias("gv"), F.avg(d_known).alias("dm"), F.var_samp(d_known).alias("dv")).collect()
     priors = {r.batch: (r.gm, r.gv, (2 * r.dv + r.dm**2) / r.dv, (r.dm * r.dv + r.dm**3) / r.dv) for r in rows}
 
     def rounds_needed(batches_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_in:
-            z = standardise(pdf[names].to_numpy())[0]
+            z = standardise(pdf[names].to_numpy(dtype=float))[0]
             g, d = fit(z)
             for j, own_rows in enumerate(index):
                 settled = _shrink(z[:, own_rows], g[j], d[j], priors[j], None, conv)[2]
@@ -132,15 +159,17 @@ def correct_batches(
 
     def correct(batches_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_in:
-            z, mean, sd = standardise(pdf[names].to_numpy())
+            v = pdf[names].to_numpy(dtype=float)
+            z, mean, sd = standardise(v)
             g, d = fit(z)
             for j, own_rows in enumerate(index):
                 g_new, d_new, _ = _shrink(z[:, own_rows], g[j], d[j], priors[j], rounds[j], conv)
                 z[:, own_rows] = (z[:, own_rows] - g_new[:, None]) / np.sqrt(d_new)[:, None]
-            yield pd.DataFrame(z * sd + mean, columns=names).assign(gene=pdf["gene"].to_numpy())[["gene", *names]]
+            out = np.where(np.isnan(sd), v, z * sd + mean)
+            yield pd.DataFrame(out, columns=names).assign(gene=pdf["gene"].to_numpy())[["gene", *names]]
 
-    corrected = matrix.mapInPandas(correct, matrix.schema)
-    return corrected.unpivot(["gene"], names, "sample", "value")
+    corrected = matrix.mapInPandas(correct, matrix.schema).unpivot(["gene"], names, "sample", "value")
+    return corrected.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 # --- tumour purity -----------------------------------------------------------------------

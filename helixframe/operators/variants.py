@@ -97,19 +97,25 @@ def parse_clauses(lines: DataFrame) -> DataFrame:
 def match_clauses(annotations: DataFrame, clauses: DataFrame) -> DataFrame:
     """Annotations that meet every given key of a clause, with the clause.
 
-    Clauses with the same keys form one equi-join; there are at most 127 such key sets.
+    An annotation takes a row for each key set in use, at most 127, that it has all keys of; one join on key set and
+    key text then serves all clauses.
     """
     names = list(CLAUSE_COLUMNS.values())
     keyed = clauses.withColumn("_keys", F.concat_ws(",", *[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names]))
     sets = sorted(r[0] for r in keyed.select("_keys").distinct().collect() if r[0])
-    parts = []
-    for keys in sets:
-        columns = keys.split(",")
-        chosen = keyed.filter(F.col("_keys") == keys).select("clause", *columns)
-        parts.append(annotations.join(chosen, columns).select(*annotations.columns, "clause"))
-    if not parts:
+    if not sets:
         return annotations.withColumn("clause", F.lit(None).cast("string")).limit(0)
-    return reduce(DataFrame.unionByName, parts)
+
+    def text(keys: str) -> Column:
+        given = [F.col(c).cast("string") for c in keys.split(",")]
+        whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in given])
+        return F.when(whole, F.concat_ws("\u0001", *given))
+
+    entries = [F.struct(F.lit(k).alias("set"), text(k).alias("key")) for k in sets]
+    own = annotations.withColumn("_e", F.explode(F.filter(F.array(*entries), lambda e: e["key"].isNotNull())))
+    asked = F.coalesce(*[F.when(F.col("_keys") == k, text(k)) for k in sets])
+    wanted = keyed.filter(F.col("_keys") != "").select("clause", F.struct(F.col("_keys").alias("set"), asked.alias("key")).alias("_e"))
+    return own.join(wanted, "_e").select(*annotations.columns, "clause")
 
 
 def unmatched_clauses(annotations: DataFrame, clauses: DataFrame) -> DataFrame:

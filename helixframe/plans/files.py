@@ -35,9 +35,8 @@ def col(name):
 @query("S01_sniffed_table", "SELECT CAST(p_partkey AS VARCHAR) AS \"index\", p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part")
 def _(t):
     path = new_path(t.spark, "table")
-    rows = t.part.select(F.concat_ws(";", col("p_partkey"), "p_name", col("p_size")).alias("value"))
-    header = t.part.agg(F.lit(";name;size").alias("value"))
-    header.union(rows).coalesce(1).write.text(path)  # the header has to open the only file of this format
+    rows = t.part.select(col("p_partkey").alias(" "), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    rows.write.option("header", True).option("sep", ";").csv(path)  # every part opens with the header
     return lines.read_table(t.spark, path)
 
 
