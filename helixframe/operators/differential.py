@@ -44,6 +44,44 @@ def compare_groups(
     return totals.select(*keys, fold.alias("log2fc")).join(stats, keys)
 
 
+def dispersion_test(
+    counts: DataFrame, factors: DataFrame, members: DataFrame, comparisons: DataFrame, least_total: float = 8
+) -> DataFrame:
+    """(ctrl, test, gene, base_mean, dispersion, fitted, final, log2fc, se, wald, pvalue): a negative-binomial Wald test.
+
+    The dispersion of a gene is what its variance within the groups leaves beyond counting noise, over the squared mean
+    (method of moments). A trend a / mean + b over the genes of a comparison is fitted by least squares; the final value
+    is the mean of own and fitted, not below zero. The variance of the log fold change follows from the means and the
+    final dispersion. Genes with a group of fewer than two samples or without counts in a group have no test.
+    """
+    sides = comparisons.select("ctrl", "test", F.col("ctrl").alias("grp"), F.lit(True).alias("is_ctrl")).union(
+        comparisons.select("ctrl", "test", F.col("test").alias("grp"), F.lit(False))
+    )
+    chosen = sides.join(members, "grp").select("ctrl", "test", "sample", "is_ctrl").distinct()
+    values = normalised(counts, factors).join(chosen, "sample").join(factors, "sample")
+    keys = ["ctrl", "test", "gene"]
+    c, t = F.when(F.col("is_ctrl"), F.col("norm")), F.when(~F.col("is_ctrl"), F.col("norm"))
+    own = values.groupBy(*keys).agg(
+        F.sum("value").alias("_total"), F.avg("norm").alias("base_mean"), F.avg(1 / F.col("size_factor")).alias("_inv"),
+        F.avg(c).alias("_m1"), F.avg(t).alias("_m2"), F.var_samp(c).alias("_v1"), F.var_samp(t).alias("_v2"),
+        F.count(c).alias("_n1"), F.count(t).alias("_n2"),
+    ).filter((F.col("_total") >= least_total) & (F.col("_n1") > 1) & (F.col("_n2") > 1) & (F.col("_m1") > 0) & (F.col("_m2") > 0))
+    n1, n2, mean = F.col("_n1").cast("double"), F.col("_n2").cast("double"), F.col("base_mean")
+    pooled = ((n1 - 1) * F.col("_v1") + (n2 - 1) * F.col("_v2")) / (n1 + n2 - 2)
+    own = cut_lineage(own.withColumn("dispersion", F.greatest((pooled - mean * F.col("_inv")) / (mean * mean), F.lit(0.0))))
+    inverse = 1 / mean
+    trend = own.groupBy("ctrl", "test").agg(
+        F.coalesce(F.regr_slope(F.col("dispersion"), inverse), F.lit(0.0)).alias("_a"),
+        F.avg("dispersion").alias("_d"), F.avg(inverse).alias("_i"))
+    fitted = F.greatest(F.col("_d") + F.col("_a") * (inverse - F.col("_i")), F.lit(0.0))
+    joined = own.join(trend, ["ctrl", "test"]).withColumn("fitted", fitted).withColumn("final", (F.col("dispersion") + F.col("fitted")) / 2)
+    fold = F.log2(F.col("_m2") / F.col("_m1"))
+    se = F.sqrt((F.col("_inv") / F.col("_m1") + F.col("final")) / n1 + (F.col("_inv") / F.col("_m2") + F.col("final")) / n2) / F.log(F.lit(2.0))
+    out = joined.withColumn("log2fc", fold).withColumn("se", se).withColumn("wald", F.try_divide("log2fc", "se"))
+    return out.select(*keys, "base_mean", "dispersion", "fitted", "final", "log2fc", "se", "wald").withColumn(
+        "pvalue", F.least(tails.normal_two_sided(F.col("wald")), F.lit(1.0)))
+
+
 def with_p(compared: DataFrame, method: str = "fdr_bh") -> DataFrame:
     # The comparison is read several times below, so it is computed once and kept.
     p = cut_lineage(compared.withColumn("pvalue", tails.t_two_sided(F.col("t_welch"), F.col("df_welch"))))

@@ -353,7 +353,7 @@ def _compared(t):
 
 _DE = f"""{COUNTS}, {GROUPS}, l AS (SELECT gene, sample, ln(value) - avg(ln(value)) OVER (PARTITION BY gene) AS ratio, count(*) OVER (PARTITION BY gene) AS n FROM counts WHERE value > 0), sf AS (SELECT sample, exp(median(ratio)) AS f FROM l WHERE n = 8 GROUP BY 1),
 mem AS (SELECT 'g0' AS ctrl, 'g1' AS test, sample, grp = 'g0' AS is_c FROM groups UNION ALL SELECT 'b0', 'b1', sample, batch = 'b0' FROM groups),
-v AS (SELECT ctrl, test, gene, is_c, floor(value + 0.5) AS raw, floor(value + 0.5) / f AS norm, log2(floor(value + 0.5) / f + 1) AS ln FROM counts JOIN sf USING (sample) JOIN mem USING (sample)),
+v AS (SELECT ctrl, test, gene, is_c, floor(value + 0.5) AS raw, floor(value + 0.5) / f AS norm, log2(floor(value + 0.5) / f + 1) AS ln, f FROM counts JOIN sf USING (sample) JOIN mem USING (sample)),
 a AS (SELECT ctrl, test, gene, sum(raw) AS tot, avg(norm) FILTER (WHERE is_c) AS c, avg(norm) FILTER (WHERE NOT is_c) AS t, count(*) FILTER (WHERE NOT is_c) AS n1, count(*) FILTER (WHERE is_c) AS n2, avg(ln) FILTER (WHERE NOT is_c) AS m1, avg(ln) FILTER (WHERE is_c) AS m2,
  var_samp(ln) FILTER (WHERE NOT is_c) AS v1, var_samp(ln) FILTER (WHERE is_c) AS v2 FROM v GROUP BY 1, 2, 3),
 d AS (SELECT ctrl, test, gene, log2((coalesce(t, 0) + 1) / (coalesce(c, 0) + 1)) AS fc, (m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0) AS tw FROM a WHERE tot >= 8)"""
@@ -364,6 +364,19 @@ def _(t):
     return _compared(t).select("ctrl", "test", "gene", *rnd(4, "log2fc", "t_welch"))
 
 
+@query("M22_dispersion", f"""WITH {_DE}, x AS (SELECT v.ctrl, v.test, v.gene, sum(raw) AS tot, avg(norm) AS mu, avg(1 / f) AS inv, avg(norm) FILTER (WHERE is_c) AS m1, avg(norm) FILTER (WHERE NOT is_c) AS m2,
+ var_samp(norm) FILTER (WHERE is_c) AS v1, var_samp(norm) FILTER (WHERE NOT is_c) AS v2, CAST(count(*) FILTER (WHERE is_c) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE NOT is_c) AS DOUBLE) AS n2 FROM v GROUP BY 1, 2, 3),
+o AS (SELECT *, greatest((((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) - mu * inv) / (mu * mu), 0) AS disp FROM x WHERE tot >= 8 AND n1 > 1 AND n2 > 1 AND m1 > 0 AND m2 > 0),
+tr AS (SELECT ctrl, test, coalesce(covar_pop(disp, 1 / mu) / nullif(var_pop(1 / mu), 0), 0) AS a, avg(disp) AS d, avg(1 / mu) AS i FROM o GROUP BY 1, 2),
+f1 AS (SELECT o.*, greatest(d + a * (1 / mu - i), 0) AS fitted FROM o JOIN tr USING (ctrl, test)),
+f2 AS (SELECT *, log2(m2 / m1) AS fc, sqrt((inv / m1 + (disp + fitted) / 2) / n1 + (inv / m2 + (disp + fitted) / 2) / n2) / ln(2) AS se FROM f1)
+SELECT ctrl, test, gene, round(mu, 4) AS base_mean, round(disp, 5) AS dispersion, round(fitted, 5) AS fitted, round(fc, 4) + 0.0 AS log2fc, round(fc / se, 4) + 0.0 AS wald, round(least({_two_sided('(fc / se)')}, 1), 5) AS pvalue FROM f2""")
+def _(t):
+    members, comparisons = _comparisons(t)
+    out = de.dispersion_test(b.counts(t), ex.size_factors(b.counts(t), 8), members, comparisons)
+    return out.select("ctrl", "test", "gene", *rnd(4, "base_mean"), *rnd(5, "dispersion", "fitted"), *rnd(4, "log2fc", "wald"), *rnd(5, "pvalue"))
+
+
 @query("M22_adjusted_p", f"""WITH {_DE}, w AS (SELECT d.*, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df FROM d JOIN a USING (ctrl, test, gene)),
 pv AS (SELECT ctrl, test, gene, fc, CASE WHEN tw IS NOT NULL AND df > 0 THEN {_t_two_sided('tw', 'df')} END AS p FROM w),
 k AS (SELECT *, row_number() OVER (PARTITION BY ctrl, test ORDER BY p, gene) AS i, count(p) OVER (PARTITION BY ctrl, test) AS m FROM pv WHERE p IS NOT NULL), q AS (SELECT *, least(min(p * m / i) OVER (PARTITION BY ctrl, test ORDER BY i DESC), 1) AS q FROM k)
