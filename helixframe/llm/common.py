@@ -53,3 +53,15 @@ def without(docs: DataFrame, found: DataFrame, broadcast_rows: int = 200_000) ->
     keys = cut_lineage(found.select(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_text")).distinct())
     same = docs["doc_id"].cast("long").eqNullSafe(keys["_found_id"]) & (text_key(docs) == keys["_found_text"])
     return docs.join(F.broadcast(keys) if keys.count() <= broadcast_rows else keys, same, "left_anti")
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, broadcast_rows: int = 100_000, salts: int = 32) -> DataFrame:
+    """Inner join of rows, of which any share may have one key, with a table of distinct keys.
+
+    The table is written out and counted: it is broadcast if small, and else repeated for each salt of the rows.
+    """
+    table = cut_lineage(table)
+    if table.count() <= broadcast_rows:
+        return rows.join(F.broadcast(table), key)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import shaped
+from helixframe.llm.common import hot_join, shaped
 from helixframe.session import cut_lineage
 
 #: Words that mark a training url as unwanted.
@@ -136,7 +136,7 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]], seeds: Sequence[s
     signatures = pairs.select("signature").distinct()
     by_path = scored(signatures, "signature", F.filter(F.split("signature", " "), lambda t: t != ""), "path_score")
     by_path = signatures.join(by_path, "signature", "left")
-    out = rows.join(by_host, "host").join(by_path, "signature")
+    out = hot_join(hot_join(rows.drop("tokens"), by_host, "host"), by_path, "signature")
     score = F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0))
     rule = ruled(F.col("host"), F.col("path"), rules)
     return out.withColumn("r", rule).withColumn("score", score).select(
