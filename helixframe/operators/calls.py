@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from helixframe.operators.intervals import within_distance
+from helixframe.functions import ordered
+from helixframe.operators.intervals import WIDTH
 
 # Fixed value: two-sided 95 % point of the normal distribution.
 Z95 = 1.959963984540054
@@ -123,9 +124,7 @@ def detection_limit(detected: DataFrame, known: DataFrame, gradient: Sequence[fl
         F.count("af").alias("calls"), F.max("n_expected").alias("trials"), F.min("af").alias("low"),
         F.max("af").alias("high"), F.avg("af").alias("mean"), F.stddev_samp("af").alias("sd"),
     )
-    from helixframe.functions.ordered import quantiles
-
-    medians = quantiles(found.filter(F.col("af").isNotNull()), ["expected"], "af", {"median": 0.5}).drop("n")
+    medians = ordered.quantiles(found.filter(F.col("af").isNotNull()), ["expected"], "af", {"median": 0.5}).drop("n")
     low, high = wilson(F.col("calls"), F.col("trials"))
     zero = F.lit(0.0)
     return agg.join(medians, "expected", "left").select(
@@ -137,13 +136,19 @@ def detection_limit(detected: DataFrame, known: DataFrame, gradient: Sequence[fl
 VARIANT = ["sample", "chrom", "pos", "ref", "alt"]
 
 
-def _near(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
-    """Left variants with `near`, whether a right variant of the same sample and chromosome is close by."""
-    def place(df: DataFrame) -> DataFrame:
-        return df.withColumn("_chrom", F.col("chrom")).withColumn("chrom", F.concat_ws("|", "sample", "_chrom"))
+def _near_each_other(rows: DataFrame, distance: int) -> DataFrame:
+    """(sample, chrom, pos, missed_near, extra_near): whether a missed row has an extra one of its sample and chromosome
+    close by, and the other way round. One pass up and one down over the distinct positions serves both."""
+    spots = rows.groupBy("sample", F.col("chrom").alias("_chrom"), "pos").agg(F.bool_or("missed").alias("_m"), F.bool_or("extra").alias("_e"))
+    spots = spots.withColumn("chrom", F.concat_ws("|", "sample", "_chrom"))
+    missed, extra = F.when(F.col("_m"), F.col("pos")), F.when(F.col("_e"), F.col("pos"))
+    up = ordered.accumulate(spots, ["chrom"], "pos", {"_m1": ("max", missed), "_e1": ("max", extra)}, width=WIDTH)
+    both = ordered.accumulate(up, ["chrom"], "pos", {"_m2": ("min", missed), "_e2": ("min", extra)}, descending=True, width=WIDTH)
+
+    def close(before: str, after: str) -> Column:
+        return F.coalesce(F.least(F.col("pos") - F.col(before), F.col(after) - F.col("pos")) < distance, F.lit(False))
 
-    out = within_distance(place(left), place(right).select("chrom", "pos"), distance)
-    return out.withColumn("chrom", F.col("_chrom")).withColumn("near", F.col("gap").isNotNull()).select(*VARIANT, "near")
+    return both.select("sample", F.col("_chrom").alias("chrom"), "pos", close("_e1", "_e2").alias("missed_near"), close("_m1", "_m2").alias("extra_near"))
 
 
 def scored_evaluation(
@@ -158,24 +163,23 @@ def scored_evaluation(
     """
     new = reported.select(*VARIANT).distinct().join(original.select("chrom", "pos", "ref", "alt").distinct(), VARIANT[1:], "left_anti")
     truth = introduced.select(*VARIANT).distinct()
-    hit = truth.join(new, VARIANT, "left_semi")
-    missed, extra = truth.join(new, VARIANT, "left_anti"), new.join(truth, VARIANT, "left_anti")
+    both = truth.withColumn("_t", F.lit(True)).join(new.withColumn("_n", F.lit(True)), VARIANT, "full")
+    rest = both.select(*VARIANT, F.col("_n").isNull().alias("missed"), F.col("_t").isNull().alias("extra"))
     reasons = rejected.groupBy("sample", "chrom", "pos").agg(
         *[F.bool_or(F.col("reason") == r).alias(r) for r in ("polish", "af", "repeat")]
     )
     reason = F.when(F.col("polish"), "polish").when(F.col("af"), "af").when(F.col("repeat"), "repeat")
-    judged = _near(missed, extra, distance).join(reasons, ["sample", "chrom", "pos"], "left").withColumn(
-        "why", F.when(F.col("near"), "position").otherwise(reason)
-    )
-    extras = _near(extra, missed, distance)
+    site = ["sample", "chrom", "pos"]
+    near = _near_each_other(rest.filter("missed OR extra"), distance)
+    judged = rest.join(near, site, "left").join(reasons, site, "left")
     size = F.when(F.length("ref") > F.length("alt"), F.length("ref") - F.length("alt")).when(
         F.length("ref") == F.length("alt"), 1
     ).otherwise(0)
-    rows = (
-        hit.select("sample", F.lit("hit").alias("what"), size.alias("size"))
-        .union(judged.select("sample", F.coalesce("why", F.lit("missed")), size))
-        .union(extras.select("sample", F.when(F.col("near"), "extra_near").otherwise("extra"), F.lit(0)))
+    what = (
+        F.when(F.col("extra"), F.when(F.col("extra_near"), "extra_near").otherwise("extra"))
+        .when(F.col("missed"), F.coalesce(F.when(F.col("missed_near"), "position"), reason, F.lit("missed"))).otherwise("hit")
     )
+    rows = judged.select("sample", what.alias("what"), F.when(F.col("extra"), 0).otherwise(size).alias("size"))
 
     def n(*names: str) -> Column:
         return F.count_if(F.col("what").isin(*names))
