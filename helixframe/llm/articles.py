@@ -33,13 +33,17 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navigation navbar breadcrumb "
     "breadcrumbs footer header masthead cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription signup login "
     "related recommended share sharing social comment comments disqus reply replies respond toolbar widget pagination pager search "
-    "contentinfo complementary alert copyright hidden".split()
+    "contentinfo complementary alert copyright hidden paywall gdpr donate".split()
 )
+#: Beginnings of longer words that mark one too.
+MARK_STEMS = ("comment", "sidebar", "advert", "sponsor", "breadcrumb", "newsletter", "cookie", "footer", "paginat", "navigat", "subscri", "recommend", "related")
+_OPEN_TAG = re.compile(r"<[a-zA-Z/!][^>]*\Z")
 
 
 def _marked(attributes: str) -> bool:
     for name, value, hidden, aria in _ATTRIBUTE.findall(attributes):
-        if hidden or aria or (name and MARKS.intersection(re.split(r"[^a-z0-9]+", value.lower()))):
+        words = re.split(r"[^a-z0-9]+", value.lower()) if name else []
+        if hidden or aria or MARKS.intersection(words) or any(w.startswith(MARK_STEMS) for w in words):
             return True
     return False
 
@@ -70,7 +74,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
     while at < size:
         tag = _TOKEN.search(page, at)
         if tag is None:
-            take(page[at:])
+            take(_OPEN_TAG.sub("", page[at:]))  # a tag that the page's end cuts off
             break
         if tag.start() > at:
             take(page[at:tag.start()])

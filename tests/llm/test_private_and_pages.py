@@ -157,7 +157,7 @@ def test_articles(llm):
     text = {k[0]: v for k, v in got.items()}
     assert "Title & more\nOne two three.\nBe.\nx < y" in got.values()
     assert text[2] == "\n".join([long.strip(), "Short.", long.strip()])
-    assert text[3] == text[4] == text[7] == "" and text[5] == "just text, no markup & no end" and text[6].startswith("cut off")
+    assert text[3] == text[4] == text[7] == "" and text[5] == "just text, no markup & no end" and text[6] == "cut off"
     assert text[8] == ("word " * 50_000).strip() and text[9] == long.strip()
     assert all(k[1] == len(v) for k, v in got.items())
     assert articles.extracted(frame.limit(0)).count() == 0
