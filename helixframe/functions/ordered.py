@@ -2,7 +2,8 @@
 
 A window ordered over a whole group puts that group into one task. Here each group is first
 reduced to its distinct values with counts, then cut into value ranges at quantile points, so
-that one task sorts one range. The totals of the ranges (at most BUCKETS per group) are
+that one task sorts one range. There are several ranges for each shuffle partition of the session, which
+grows with the cluster and its data. The totals of the ranges are
 accumulated on their own and joined back. The range of a row depends on its value alone, so a
 recomputed task places it in the same range.
 """
@@ -10,27 +11,31 @@ recomputed task places it in the same range.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-FAN = 32
-BUCKETS = FAN * FAN
+LEAST_FAN = 32
+RANGES_PER_PARTITION = 8
 
 
 def with_value_range(df: DataFrame, value: str) -> DataFrame:
     """Add `_range`, the value range a row falls into; it never decreases as the value grows."""
-    # One text literal that Spark folds; BUCKETS literals would slow the planner down.
-    text = ",".join(str(i / BUCKETS) for i in range(1, BUCKETS))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fan = max(LEAST_FAN, ceil(sqrt(RANGES_PER_PARTITION * partitions)))
+    ranges = fan * fan
+    # One text literal that Spark folds; as many literals as ranges would slow the planner down.
+    text = ",".join(str(i / ranges) for i in range(1, ranges))
     points = F.split(F.lit(text), ",").cast("array<double>")
-    cuts = df.agg(F.percentile_approx(value, points, 10_000).alias("cuts")).scalar()
+    cuts = df.agg(F.percentile_approx(value, points, 10 * ranges).alias("cuts")).scalar()
     v, c = F.col(value), F.col("_cuts")
-    outer = F.transform(F.sequence(F.lit(1), F.lit(FAN - 1)), lambda i: F.get(c, i * FAN - 1))
-    inner = F.slice(c, F.col("_coarse") * FAN + 1, FAN - 1)
+    outer = F.transform(F.sequence(F.lit(1), F.lit(fan - 1)), lambda i: F.get(c, i * fan - 1))
+    inner = F.slice(c, F.col("_coarse") * fan + 1, fan - 1)
     return (
         df.withColumn("_cuts", cuts)
         .withColumn("_coarse", F.size(F.filter(outer, lambda x: x <= v)))
-        .withColumn("_range", F.col("_coarse") * FAN + F.size(F.filter(inner, lambda x: x <= v)))
+        .withColumn("_range", F.col("_coarse") * fan + F.size(F.filter(inner, lambda x: x <= v)))
         .drop("_cuts", "_coarse")
     )
 

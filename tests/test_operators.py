@@ -268,3 +268,19 @@ def test_chunks_from_lines(spark):
     assert whole == got
     kinds = spark.createDataFrame([("cX10del",), ("c.10del",)], "c string").select("c", hgvs.change_class(F.col("c")).alias("k"))
     assert {r.c: r.k for r in kinds.collect()} == {"cX10del": None, "c.10del": 2}
+
+
+def test_depth_of_overlapping_reads(spark):
+    reads = [("c", 0, 10, "a"), ("c", 5, 15, "a"), ("c", 8, 12, "b"), ("c", 30, 40, "b"), ("d", 0, 5, "a")]
+    al = spark.createDataFrame(reads, "chrom string, start long, end long, qname string")
+    regions = spark.createDataFrame([("c", 2, 20), ("c", 25, 28)], "chrom string, start long, end long")
+    want = {}
+    for chrom, start, end in (("c", 2, 20), ("c", 25, 28)):
+        for pos in range(start, end):
+            names = {q for c, lo, hi, q in reads if c == chrom and lo <= pos < hi}
+            if names:
+                want[start, pos] = len(names)
+    assert {(r.start, r.pos): r.depth for r in intervals_ops.base_depth(al, regions).collect()} == want
+    zero = {r.start: r.depth for r in intervals_ops.region_median_depth(al, regions, with_zero=True).collect()}
+    line = sorted(want.get((2, p), 0) for p in range(2, 20))
+    assert zero == {2: line[len(line) // 2], 25: 0}
