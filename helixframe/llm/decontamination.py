@@ -139,8 +139,10 @@ def _keyed(df: DataFrame, id_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = 8, literals: int = 4, share: float = 0.5, bits: int = 1 << 22) -> DataFrame:
-    """(doc_id, text_key, item_id, matched, windows, share, changed): items of which a document holds at least `share` of the windows.
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = 8, literals: int = 4, share: float = 0.5,
+            run: int = 6, bits: int = 1 << 22) -> DataFrame:
+    """(doc_id, text_key, item_id, matched, windows, share, changed): items of which a document holds at least `share` of the
+    windows, or `run` of them (6 windows of 8 words are 13 words in a row).
 
     `changed` counts slots in which the document differs from the item: a re-parameterised question has some.
     Documents' windows pass a bitmap of the benchmark's digests, of a fixed number of bits, before they leave
@@ -168,7 +170,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 8, literals: int
     changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))
     found = aligned.filter(one_to_one).groupBy("doc_id", "text_key", "item_id", "windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.max(changed).alias("changed"))
-    return found.withColumn("share", F.col("matched") / F.col("windows")).filter(F.col("share") >= share).select(
+    return found.withColumn("share", F.col("matched") / F.col("windows")).filter((F.col("share") >= share) | (F.col("matched") >= run)).select(
         "doc_id", "text_key", "item_id", "matched", "windows", "share", "changed")
 
 

@@ -68,7 +68,7 @@ def test_windows_against_plain_search(llm):
             own = text.split()
             held = {tuple(own[k:k + 8]) for k in range(len(own) - 7)} & windows
             hits = sum(p in held for p in places)
-            if hits >= 0.5 * len(places):
+            if hits >= 0.5 * len(places) or hits >= 6:
                 want[d, i] = hits
     got = decontamination.matches(llm.createDataFrame(docs, "doc_id long, text string"), llm.createDataFrame(items, "item_id long, text string"), bits=1 << 10)
     assert {(r.doc_id, r.item_id): r.matched for r in got.collect()} == want
