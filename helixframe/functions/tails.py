@@ -74,7 +74,7 @@ def beta_inc(a, b, x):
             c = 1 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             f = f * c * d
-        settled = np.abs(c * d - 1) < 3e-16
+        settled = np.abs(c * d - 1) < 1e-15
         if settled.any():
             fraction[live[settled]] = f[settled]
             on = ~settled
