@@ -2,8 +2,8 @@
 
 Words are compared without case and outer punctuation; numbers, names (capitalised words inside a
 sentence) and units (unit words after a number) become typed placeholders, so a question with other
-numbers or names keeps its template. Windows of templates are joined by hash. What the placeholders stand for
-must then map one to one between item and document along an alignment, or its windows do not count.
+numbers or names keeps its template. Windows of templates are joined by hash. A value of the item must then stand for
+one value of the document along an alignment, or only long copies in it count.
 """
 
 from __future__ import annotations
@@ -140,11 +140,14 @@ def _keyed(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = 8, literals: int = 4, share: float = 0.5,
-            run: int = 6, bits: int = 1 << 22) -> DataFrame:
+            run: int = 6, verbatim: int = 18, bits: int = 1 << 22) -> DataFrame:
     """(doc_id, text_key, item_id, matched, windows, share, changed): items of which a document holds at least `share` of the
     windows, or `run` of them (6 windows of 8 words are 13 words in a row).
 
-    `changed` counts slots in which the document differs from the item: a re-parameterised question has some.
+    `changed` counts slots in which the document differs from the item: a re-parameterised question has some. An alignment
+    in which one value of the item stands for several of the document is another question; of it count only windows
+    with the item's own values, if there are `verbatim` of them (18 windows of 8 words are 25 words in a row).
+
     Documents' windows pass a bitmap of the benchmark's digests, of a fixed number of bits, before they leave
     Python; the join that decides is exact in any case, and a large benchmark only lets more of them pass. Items
     with fewer than `size` words are one window; items without `literals` ordinary words in a window have no
@@ -164,12 +167,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 8, literals: int
     pairs = candidates.join(own, ["size", "digest"])
     along = pairs.groupBy("doc_id", "text_key", "item_id", "windows", (F.col("at") - F.col("item_at")).alias("shift"))
     slots = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
-    aligned = along.agg(F.collect_set("item_at").alias("places"), slots.alias("pairs"))
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))) & (
-        F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))))
+    copied = F.collect_set(F.when(F.col("item_slots") == F.col("slots"), F.col("item_at")))
+    aligned = along.agg(F.collect_set("item_at").alias("all"), copied.alias("copied"), slots.alias("pairs"))
+    one_value = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
+    counted = F.when(one_value, F.col("all")).when(F.size("copied") >= verbatim, F.col("copied"))
     changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))
-    found = aligned.filter(one_to_one).groupBy("doc_id", "text_key", "item_id", "windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.max(changed).alias("changed"))
+    found = aligned.withColumn("held", counted).filter("held IS NOT NULL").groupBy("doc_id", "text_key", "item_id", "windows").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("matched"), F.max(changed).alias("changed"))
     return found.withColumn("share", F.col("matched") / F.col("windows")).filter((F.col("share") >= share) | (F.col("matched") >= run)).select(
         "doc_id", "text_key", "item_id", "matched", "windows", "share", "changed")
 

@@ -74,6 +74,19 @@ def test_windows_against_plain_search(llm):
     assert {(r.doc_id, r.item_id): r.matched for r in got.collect()} == want
 
 
+def test_alignments_with_one_changed_value(llm):
+    """Two values may become one; a long copy counts though one of two equal names in it was changed."""
+    two = "On monday she buys 5 pears and then 7 plums at the market near the river and walks home with all of them"
+    draw = random.Random(4)
+    long = [" ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(n)) for n in (20, 60, 20)]
+    passage = f"{long[0]} Anna {long[1]} Anna {long[2]}"
+    items = llm.createDataFrame([(1, two), (2, passage)], "item_id long, text string")
+    docs = [(1, two.replace("5", "6").replace("7", "6")), (2, f"{long[0]} Anna {long[1]} Maria {long[2]}")]
+    got = {(r.doc_id, r.item_id): r for r in decontamination.matches(llm.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got[1, 1].changed == 2 and got[1, 1].matched == got[1, 1].windows
+    assert got[2, 2].windows - got[2, 2].matched == 8 and got[2, 2].changed == 1
+
+
 # --- toxicity ----------------------------------------------------------------------------
 
 def _labelled(llm, rows=900):
