@@ -3,7 +3,8 @@
 Words are compared without case and outer punctuation; numbers, names (capitalised words inside a
 sentence) and units (unit words after a number) become typed placeholders, so a question with other
 numbers or names keeps its template. Windows of templates are joined by hash. A value of the item must then stand for
-one value of the document along an alignment, or only long copies in it count.
+one value of the document along an alignment, or only long copies in it count. Windows are also joined by their words
+as they are, so exact copies are found that have too few ordinary words for a template.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ _NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*\Z")
 _MIXED = re.compile(r"([+-]?\d+(?:[.,:/]\d+)*)[^\W\d_]{1,3}\Z")
 LITERAL, NUMBER, BREAK, EMPTY, NAME, UNIT = range(6)
 _PLACEHOLDER = {NUMBER: 0x9E3779B97F4A7C15, NAME: 0xC2B2AE3D27D4EB4F, UNIT: 0x165667B19E3779F9}
+_EXACT = np.uint64(0xD6E8FEB86659FD93)
 _MULTIPLIER = np.uint64(0x9E6C63D0876A9A63)
-SCHEMA = "doc_id long, text_key long, at int, size int, digest long, windows int, slots array<string>"
+SCHEMA = "doc_id long, text_key long, at int, size int, digest long, windows int, templates int, exact boolean, slots array<string>"
 
 
 class Vocabulary:
@@ -74,7 +76,7 @@ class Vocabulary:
 
 
 def template(text: str, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Digest and kind of each word of the template, the words as written, and the place of each among them."""
+    """Digests of each word in the template and as it is, its kind, the words as written, and the place of each among them."""
     words = text.replace("\n", " \n ").split(" ")
     index, (digest, kind, capital, ends) = vocabulary.of(words)
     kind, capital, ends = kind[index], capital[index], ends[index]
@@ -82,31 +84,33 @@ def template(text: str, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray,
     real = np.flatnonzero((kind != BREAK) & (kind != EMPTY))
     # A word after an empty one takes over whether a sentence begins.
     begins = np.add.reduceat(first[:real[-1] + 1].astype(np.int64), np.concatenate([[0], real[:-1] + 1])) > 0 if len(real) else np.zeros(0, bool)
-    kind, capital, digest = kind[real], capital[real].astype(bool), digest[index[real]].copy()
+    kind, capital, digest = kind[real], capital[real].astype(bool), np.tile(digest[index[real]], (2, 1))
     after_number = np.concatenate([[False], kind[:-1] == NUMBER]) if len(real) else np.zeros(0, bool)
     kind = np.where((kind == UNIT) & ~after_number, LITERAL, kind)
     kind = np.where((kind == LITERAL) & capital & ~begins, NAME, kind)
     for k, value in _PLACEHOLDER.items():
-        digest[kind == k] = value
+        digest[0, kind == k] = value
     return digest, kind, words, real
 
 
 def windows(digest: np.ndarray, kind: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and digest of each window of `size` words of which at least `literals` are ordinary words."""
-    count = len(digest) - size + 1
+    """(2, windows) digests of the windows of `size` words as templates and as they are, and whether a window holds at least
+    `literals` ordinary words, without which its template does not count."""
+    count = len(kind) - size + 1
     if count <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.zeros(count, dtype=np.uint64)
+        return np.zeros((2, 0), np.uint64), np.zeros(0, bool)
+    total = np.zeros((2, count), dtype=np.uint64)
     for k in range(size):
-        total = total * _MULTIPLIER + digest[k:k + count]
+        total *= _MULTIPLIER
+        total += digest[:, k:k + count]
+    total[1] ^= _EXACT
     plain = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    at = np.flatnonzero(plain[size:] - plain[:-size] >= min(literals, size))
-    return at, total[at]
+    return total, plain[size:] - plain[:-size] >= min(literals, size)
 
 
 def _windows_of(rows: DataFrame, sizes: list[int], literals: int, bitmap=None, whole: bool = False) -> DataFrame:
     """Windows of (doc_id, text_key, text) rows. With `whole`, a text shorter than the largest size is one window of
-    its own length, and `windows` says how many a text has; with a bitmap, only windows whose bit is set."""
+    its own length, and `windows` and `templates` say how many a text has; with a bitmap, only windows whose bit is set."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
@@ -115,20 +119,19 @@ def _windows_of(rows: DataFrame, sizes: list[int], literals: int, bitmap=None, w
             out: list[tuple] = []
             for doc_id, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 digest, kind, words, real = template(text, vocabulary)
-                for size in [min(sizes[0], len(digest))] if whole else sizes:
+                for size in [min(sizes[0], len(kind))] if whole else sizes:
                     if not size:
                         continue
-                    at, value = windows(digest, kind, size, literals)
-                    total = len(at)
-                    if bits is not None:
-                        hit = bits[value % np.uint64(len(bits))]
-                        at, value = at[hit], value[hit]
-                    for a, v in zip(at.tolist(), value.view(np.int64).tolist()):
-                        slots = [f"{kind[p]}{_EDGE.sub('', words[real[p]]).lower()}" for p in range(a, a + size) if kind[p] != LITERAL]
-                        out.append((doc_id, key, a, size, v, total, slots))
+                    value, common = windows(digest, kind, size, literals)
+                    total, templates = len(common), int(np.count_nonzero(common))
+                    hit = np.ones_like(value, dtype=bool) if bits is None else bits[value & np.uint64(len(bits) - 1)]
+                    hit[0] &= common
+                    for way, a in zip(*(x.tolist() for x in np.nonzero(hit))):
+                        slots = [] if way else [f"{kind[p]}{_EDGE.sub('', words[real[p]]).lower()}" for p in range(a, a + size) if kind[p] != LITERAL]
+                        out.append((doc_id, key, a, size, int(value[way, a].view(np.int64)), total, templates, not common[a], slots))
             if out:
-                names = ["doc_id", "text_key", "at", "size", "digest", "windows", "slots"]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+                names = ["doc_id", "text_key", "at", "size", "digest", "windows", "templates", "exact", "slots"]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     return rows.select("doc_id", "text_key", "text").mapInArrow(made, SCHEMA)
@@ -146,35 +149,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 8, literals: int
 
     `changed` counts slots in which the document differs from the item: a re-parameterised question has some. An alignment
     in which one value of the item stands for several of the document is another question; of it count only windows
-    with the item's own values, if there are `verbatim` of them (18 windows of 8 words are 25 words in a row).
+    with the item's own values, if there are `verbatim` of them (18 windows of 8 words are 25 words in a row). `share` is
+    that of all windows or that of the windows with a template, which can match with other values, whichever is more.
 
     Documents' windows pass a bitmap of the benchmark's digests, of a fixed number of bits, before they leave
     Python; the join that decides is exact in any case, and a large benchmark only lets more of them pass. Items
-    with fewer than `size` words are one window; items without `literals` ordinary words in a window have no
-    template. Null and empty texts match nothing; equal items are found each; repeated rows of a document and
+    with fewer than `size` words are one window; windows without `literals` ordinary words match exact copies only. Null and empty texts match nothing; equal items are found each; repeated rows of a document and
     null ids give one row for each id and text; other columns are not read; empty tables give an empty result.
     """
     spark = docs.sparkSession
     items = _keyed(benchmark.select(*[benchmark[c] for c in benchmark.columns if c in ("item_id", "text")]), "item_id").distinct()
     own = _windows_of(items, [size], literals, whole=True).select(
-        F.col("doc_id").alias("item_id"), F.col("at").alias("item_at"), "size", "digest", "windows", F.col("slots").alias("item_slots"))
+        F.col("doc_id").alias("item_id"), F.struct(F.col("at").alias("place"), "exact").alias("window"), "size", "digest", "windows",
+        "templates", F.col("slots").alias("item_slots"))
     sizes = sorted({r["size"] for r in own.select("size").distinct().collect()}, reverse=True)
     bitmap = np.zeros(bits, dtype=bool)
     digests = own.select(F.col("digest")).distinct()
     unsigned = F.pmod(F.col("digest"), F.lit(bits))  # bits is a power of two, so the sign does not matter
     bitmap[digests.select(unsigned.alias("b")).distinct().toPandas()["b"].to_numpy(dtype=np.int64)] = True
-    candidates = _windows_of(_keyed(docs, "doc_id"), sizes, literals, spark.sparkContext.broadcast(bitmap)).drop("windows")
+    candidates = _windows_of(_keyed(docs, "doc_id"), sizes, literals, spark.sparkContext.broadcast(bitmap)).drop("windows", "templates", "exact")
     pairs = candidates.join(own, ["size", "digest"])
-    along = pairs.groupBy("doc_id", "text_key", "item_id", "windows", (F.col("at") - F.col("item_at")).alias("shift"))
+    item = ["doc_id", "text_key", "item_id", "windows", "templates"]
+    along = pairs.groupBy(*item, (F.col("at") - F.col("window.place")).alias("shift"))
     slots = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots"))))
-    copied = F.collect_set(F.when(F.col("item_slots") == F.col("slots"), F.col("item_at")))
-    aligned = along.agg(F.collect_set("item_at").alias("all"), copied.alias("copied"), slots.alias("pairs"))
+    copied = F.collect_set(F.when(F.col("item_slots") == F.col("slots"), F.col("window")))
+    aligned = along.agg(F.collect_set("window").alias("all"), copied.alias("copied"), slots.alias("pairs"))
     one_value = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
     counted = F.when(one_value, F.col("all")).when(F.size("copied") >= verbatim, F.col("copied"))
     changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["slots"]))
-    found = aligned.withColumn("held", counted).filter("held IS NOT NULL").groupBy("doc_id", "text_key", "item_id", "windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("matched"), F.max(changed).alias("changed"))
-    return found.withColumn("share", F.col("matched") / F.col("windows")).filter((F.col("share") >= share) | (F.col("matched") >= run)).select(
+    found = aligned.withColumn("held", counted).filter("held IS NOT NULL").groupBy(*item).agg(
+        F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"), F.max(changed).alias("changed"))
+    by_template = F.size(F.filter("held", lambda w: ~w["exact"])) / F.nullif("templates", F.lit(0))
+    found = found.withColumn("matched", F.size("held")).withColumn("share", F.greatest(F.col("matched") / F.col("windows"), by_template))
+    return found.filter((F.col("share") >= share) | (F.col("matched") >= run)).select(
         "doc_id", "text_key", "item_id", "matched", "windows", "share", "changed")
 
 

@@ -87,6 +87,17 @@ def test_alignments_with_one_changed_value(llm):
     assert got[2, 2].windows - got[2, 2].matched == 8 and got[2, 2].changed == 1
 
 
+def test_items_of_few_ordinary_words(llm):
+    """Exact copies of items without a template in any window are found, other values are not; templates keep their share."""
+    passage = "Der Große Kurfürst Friedrich Wilhelm Von Brandenburg Besiegte Schweden Bei Fehrbellin Am Rhin"
+    mixed = "the number of all apples in baskets is 7 9 11 13 15 17 19 21 23 25 27 29 31"
+    items = llm.createDataFrame([(1, "Solve 3x + 5 = 20"), (2, passage), (3, mixed)], "item_id long, text string")
+    docs = [(1, "now: Solve 3x + 5 = 20 and go"), (2, "Solve 4x + 5 = 20"), (3, f"so {passage} there"), (4, passage.replace("Schweden", "Polen")),
+            (5, mixed.replace("7 9 11", "8 6 12"))]
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(llm.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {(1, 1), (3, 2), (5, 3)} <= got and not {k for k in got if k[0] == 2}
+
+
 # --- toxicity ----------------------------------------------------------------------------
 
 def _labelled(llm, rows=900):
