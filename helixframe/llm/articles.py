@@ -19,13 +19,14 @@ from pyspark.sql import types as T
 from helixframe.llm.common import shaped, text_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))|\b(hidden)\b|aria-hidden\s*=\s*[\"']?(true)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: Fixed values of the markup language.
 RAW = frozenset("script style noscript template textarea title iframe svg math select option button object".split())
 BLOCKS = frozenset(
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption article section main header footer nav aside form "
     "fieldset blockquote pre figure figcaption details summary hr body html head address".split()
 )
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_MAIN = frozenset("nav footer aside form dialog menu".split())
 #: Words of class, id or role that mark a block as something else than the article.
@@ -37,21 +38,55 @@ MARKS = frozenset(
 )
 #: Beginnings of longer words that mark one too.
 MARK_STEMS = ("comment", "sidebar", "advert", "sponsor", "breadcrumb", "newsletter", "cookie", "footer", "paginat", "navigat", "subscri", "recommend", "related")
+#: Words that take their mark from the next one, those of an article's own parts, and marks of readers' words, which wrap no article.
+NO_MARKS = frozenset("has no non not with without overflow".split())
+OWN = frozenset("article content entry main page post story".split())
+READERS = ("comment", "disqus", "repl", "respond")
 _OPEN_TAG = re.compile(r"<[a-zA-Z/!][^>]*\Z")
 
 
-def _marked(attributes: str) -> bool:
-    for name, value, hidden, aria in _ATTRIBUTE.findall(attributes):
-        words = re.split(r"[^a-z0-9]+", value.lower()) if name else []
-        if hidden or aria or MARKS.intersection(words) or any(w.startswith(MARK_STEMS) for w in words):
-            return True
-    return False
-
-
-def lines(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, whether it may be main text, whether it is in an article, characters in links) of each block with text."""
-    out: list[tuple[str, bool, bool, int]] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, may be main text, in an article
+def _mark(attributes: str) -> str:
+    """The word that marks a block as something else than the article, or an empty one. In a name of several words it is the
+    first or the last, and begins with a stem or is a mark by itself."""
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return "hidden"
+        if name not in ("class", "id", "role"):
+            continue
+        for token in value.split():
+            words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+            if token in ("hidden", "is-hidden", "visually-hidden"):
+                return "hidden"
+            for k in {0, len(words) - 1} if words else ():
+                word = words[k]
+                if word == "hidden" or k and words[k - 1] in NO_MARKS or word == "header" and OWN.intersection(words):
+                    continue
+                if word in MARKS or word.startswith(MARK_STEMS):
+                    return word
+    return ""
+
+
+def lines(page: str) -> list[tuple[str, bool, bool, int, int]]:
+    """(text, whether it may be main text, whether it is in an article, characters in links, number of the block around it)
+    of each block with text. A form or a block marked by its attributes may be main text all the same if it holds most of the
+    page's text that is not in links, unless it is of readers' comments or without the article that the page has."""
+    found, wrappers, articles = _lines(page, frozenset())
+    most = sum(len(text) - linked for text, _, _, linked, _ in found) / 2
+    known = any(main and article for _, main, article, _, _ in found)
+    wrong = frozenset(k for k, size in wrappers.items() if size > most and (k in articles or not known))
+    return _lines(page, wrong)[0] if wrong else found
+
+
+def _lines(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, bool, bool, int, int]], dict[int, int], set[int]]:
+    """The lines, the characters outside links in each marked block by its number, and which of these hold text of an article;
+    blocks in `unmarked` are not marked."""
+    out: list[tuple[str, bool, bool, int, int]] = []
+    wrappers: dict[int, int] = {}
+    articles: set[int] = set()
+    open_: list[tuple[str, bool, bool, int, int]] = []  # name, may be main text, in an article, block around a line, marked blocks
+    marked: list[int] = []  # the open marked blocks, outermost first
+    around = number = 0
     parts: list[str] = []
     links, linked, at, main, article = 0, 0, 0, True, False
 
@@ -59,7 +94,11 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, main, article, linked))
+            out.append((text, main, article, linked, around))
+            for k in marked:
+                wrappers[k] = wrappers.get(k, 0) + len(text) - linked
+            if article:
+                articles.update(marked)
         parts.clear()
         linked = 0
 
@@ -70,6 +109,11 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         if links:
             linked += len(text.strip())
 
+    def leave() -> None:
+        nonlocal main, article, around
+        main, article, around, depth = open_[-1][1:] if open_ else (True, False, 0, 0)
+        del marked[depth:]
+
     size = len(page)
     while at < size:
         tag = _TOKEN.search(page, at)
@@ -99,26 +143,30 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
                 links = 0
                 if name == "p" and open_ and open_[-1][0] == "p":
                     open_.pop()
-                    main, article = (open_[-1][1], open_[-1][2]) if open_ else (True, False)
+                    leave()
+                number += 1
                 inside = article or name in ("article", "main")
-                fits = main and name not in NOT_MAIN and (name != "header" or article) and (
-                    name in ("article", "main", "body", "html") or not _marked(tag[3]))
-                open_.append((name, fits, inside))
-                main, article = fits, inside
-            elif any(n == name for n, _, _ in open_):
+                mark = "" if name in ("article", "main", "body", "html") else name if name in NOT_MAIN or name == "header" and not article else _mark(tag[3])
+                if mark and number not in unmarked:
+                    main = False
+                    if mark == "form" or name not in NOT_MAIN and name != "header" and not mark.startswith(READERS):
+                        marked.append(number)
+                article, around = inside, around if name in LEAVES else 0 if name in ("body", "html") else number
+                open_.append((name, main, article, around, len(marked)))
+            elif any(n[0] == name for n in open_):
                 while open_.pop()[0] != name:
                     pass
-                main, article = (open_[-1][1], open_[-1][2]) if open_ else (True, False)
+                leave()
     close_line()
-    return out
+    return out, wrappers, articles
 
 
 def main_text(page: str, window: int = 3, rich: int = 80) -> str:
     """The main text of one page. An article element bounds the lines that count; without one, a stretch begins and ends
     where a window holds `rich` characters and takes in the lines next to it that are not empty."""
     found = lines(page)
-    inside = any(main and article for _, main, article, _ in found)
-    sizes = [len(text) if main and (article if inside else 2 * linked <= len(text)) else 0 for text, main, article, linked in found]
+    inside = any(main and article for _, main, article, _, _ in found)
+    sizes = [len(text) if main and (article if inside else 2 * linked <= len(text)) else 0 for text, main, article, linked, _ in found]
     least = 1 if inside else rich
     sums = [sum(sizes[k:k + window]) for k in range(len(sizes))]
     best, k = (0, 0, 0), 0

@@ -161,3 +161,18 @@ def test_articles(llm):
     assert text[8] == ("word " * 50_000).strip() and text[9] == long.strip()
     assert all(k[1] == len(v) for k, v in got.items())
     assert articles.extracted(frame.limit(0)).count() == 0
+
+
+def test_marks_are_whole_words():
+    long = "A sentence of the article that goes on and on for quite a while. " * 3
+    for wrapper in ('style="overflow:hidden"', 'class="overflow-hidden"', 'class="content has-sidebar"', 'class="page-with-sidebar"', 'class="article-header"',
+                    'data-state="no hidden menu"', 'id="sidebar"'):  # the last is a mark, on most of the text
+        assert articles.main_text(f"<div {wrapper}><p>{long}</p><p>{long}</p></div><p>x</p>").count("A sentence") == 6, wrapper
+        assert articles.main_text(f"<div {wrapper}><article><p>{long}</p></article></div>") == long.strip(), wrapper
+    for wrapper in ("class='site-footer'", "class=sidebar-left", "hidden", "aria-hidden='true'", "class='is-hidden'", "id=comments", "class='wide adverts'"):
+        assert articles.main_text(f"<p>{long}{long}</p><div {wrapper}><p>{long}</p></div>") == (long + long).strip(), wrapper
+
+
+def test_a_footer_longer_than_the_article():
+    for footer in ("<footer>{}</footer>", "<div class=footer>{}</div>", "<nav>{}</nav>"):
+        assert articles.main_text("<article><p>Short.</p></article>" + footer.format("All rights are reserved. " * 9)) == "Short."
