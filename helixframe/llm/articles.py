@@ -2,7 +2,7 @@
 
 Markup is stripped to lines, one for each block-level element. Lines in menus, footers, adverts and the like, and lines
 that are mostly links, count as empty. Over windows of a few lines the text lengths are summed; the main text runs
-from where the sums surge to where they dive, over the stretch with most text.
+from where the sums first surge to where they last dive.
 """
 
 from __future__ import annotations
@@ -162,31 +162,33 @@ def _lines(page: str, unmarked: frozenset[int]) -> tuple[list[tuple[str, bool, b
 
 
 def main_text(page: str, window: int = 3, rich: int = 80) -> str:
-    """The main text of one page. An article element bounds the lines that count; without one, a stretch begins and ends
-    where a window holds `rich` characters and takes in the lines next to it that are not empty."""
+    """The main text of one page. If most of the text that may be main is in article elements, it is their lines. Otherwise
+    a stretch begins and ends where a window holds `rich` characters and takes in the lines next to it that are not empty; the
+    text runs from the first to the last stretch, and over what else is in the same block as a line of `rich` characters."""
     found = lines(page)
-    inside = any(main and article for _, main, article, _, _ in found)
-    sizes = [len(text) if main and (article if inside else 2 * linked <= len(text)) else 0 for text, main, article, linked, _ in found]
-    least = 1 if inside else rich
+    plain = [len(text) if main and 2 * linked <= len(text) else 0 for text, main, _, linked, _ in found]
+    own = [len(text) if main and article else 0 for text, main, article, _, _ in found]
+    if sum(own) * 2 >= sum(max(a, b) for a, b in zip(own, plain)) and any(own):
+        return "\n".join(text for (text, *_), size in zip(found, own) if size)
+    sizes = [max(a, b) for a, b in zip(own, plain)]
     sums = [sum(sizes[k:k + window]) for k in range(len(sizes))]
-    best, k = (0, 0, 0), 0
-    if inside:  # adverts and notices within an article only interrupt it
-        best = (1, 0, len(sizes))
-    while not inside and k < len(sizes):
-        if sums[k] < least or not sizes[k]:
+    surges, k = [], 0
+    while k < len(sizes):
+        if sums[k] < rich or not sizes[k]:
             k += 1
             continue
         surge = k
         while surge and sizes[surge - 1]:
             surge -= 1
         dive = k
-        while dive < len(sizes) and (sums[dive] >= least or sizes[dive]):
+        while dive < len(sizes) and (sums[dive] >= rich or sizes[dive]):
             dive += 1
-        best = max(best, (sum(sizes[surge:dive]), -surge, dive))
+        surges.append((surge, dive))
         k = dive
-    if not best[0]:
-        best = (1, 0, len(sizes))  # a page with little text has no surge: its lines that may be main text
-    return "\n".join(text for (text, *_), size in list(zip(found, sizes))[abs(best[1]):best[2]] if size)
+    # A page with little text has no surge: its lines that may be main text.
+    first, last = (surges[0][0], surges[-1][1]) if surges else (0, len(sizes))
+    blocks = {around for (*_, around), size in zip(found, sizes) if size >= rich} - {0}
+    return "\n".join(text for k, (text, _, _, _, around) in enumerate(found) if sizes[k] and (first <= k < last or around in blocks or own[k]))
 
 
 def extracted(pages: DataFrame, window: int = 3, rich: int = 80) -> DataFrame:

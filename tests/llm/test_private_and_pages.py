@@ -176,3 +176,12 @@ def test_marks_are_whole_words():
 def test_a_footer_longer_than_the_article():
     for footer in ("<footer>{}</footer>", "<div class=footer>{}</div>", "<nav>{}</nav>"):
         assert articles.main_text("<article><p>Short.</p></article>" + footer.format("All rights are reserved. " * 9)) == "Short."
+
+
+def test_interrupted_article_without_an_article_element():
+    long = "A sentence of the article that goes on and on for quite a while. " * 3
+    stops = ["<div class=ad>Buy</div>" * 3, "<form>Name</form>" * 4, "<p><a href=x>one link</a></p>" * 3]
+    for stop in stops:
+        page = f"<div><p>1 {long}</p>{stop}<p>2 {long}</p>{stop}<p>3 {long}</p>{stop}<p>Short.</p><p>End.</p></div><p>x</p>"
+        assert articles.main_text(page).split("\n") == [f"{k} {long}".strip() for k in (1, 2, 3)] + ["Short.", "End."], stop
+    assert articles.main_text(f"<article><p>A teaser.</p></article><div><p>{long}</p></div>") == f"A teaser.\n{long.strip()}"
