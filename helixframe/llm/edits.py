@@ -2,8 +2,8 @@
 
 A text is cut where the last few characters say so, so an edit moves few cuts. Over each stretch a pointer walks:
 at every step the current character is put out, and whether the pointer moves on is a random bit that all texts share for
-that step and character. Stretches at a small edit distance meet again soon and give outputs at a small Hamming
-distance. A band is a hash of the output at a few fixed random steps; similar stretches share bands. The
+that step and character, until the stretch is read. Stretches at a small edit distance meet again soon and give outputs at a small Hamming
+distance. A band is a hash of the output at a few random steps, spread over as many as a stretch of that size takes; similar stretches share bands. The
 fingerprint keeps, for each of its slots, the least hash of the bands that fall there, and the share of common slots
 verifies how much of their text two documents share. All stretches of a batch walk side by side.
 """
@@ -24,22 +24,25 @@ from helixframe.llm.common import shaped, text_of
 from helixframe.session import cut_lineage
 
 SLOTS = 128
-BANDS, SAMPLES, STEPS = 4, 5, 32
+BANDS, SAMPLES = 4, 5
 MEAN, LONGEST, CONTEXT = 8, 24, 4
+STEPS = 3 * LONGEST
 CLASSES = 1 << 10
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @cache
-def _shared(seed: int) -> tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, np.uint64]]]]:
-    """Walk bits by step and class of characters, a number for each class, and the bands that sample each step."""
+def _shared(seed: int) -> tuple[np.ndarray, np.ndarray, list[dict[int, list[tuple[int, np.uint64]]]]]:
+    """Walk bits by step and class of characters, a number for each class, and by size of stretches the bands that sample each step."""
     draw = np.random.default_rng(seed)
     bits = draw.integers(0, 2, (STEPS, CLASSES), dtype=np.int64)
+    bits[-1] = 1  # so that every walk ends
     numbers = draw.integers(1, 1 << 63, CLASSES, dtype=np.uint64)
-    sampled: dict[int, list[tuple[int, np.uint64]]] = {}
-    for band in range(BANDS):
-        for step in np.sort(draw.choice(STEPS, SAMPLES, replace=False)).tolist():
-            sampled.setdefault(step, []).append((band, draw.integers(1, 1 << 63, dtype=np.uint64) | np.uint64(1)))
+    sampled: list[dict[int, list[tuple[int, np.uint64]]]] = [{} for _ in range(LONGEST // MEAN)]
+    for size, at in enumerate(sampled, 1):
+        for band in range(BANDS):
+            for step in np.sort(draw.choice(3 * MEAN * size, SAMPLES, replace=False)).tolist():
+                at.setdefault(step, []).append((band, draw.integers(1, 1 << 63, dtype=np.uint64) | np.uint64(1)))
     return bits, numbers, sampled
 
 
@@ -82,17 +85,18 @@ def fingerprints(texts: list[str], seed: int = 5) -> np.ndarray:
     owner = np.searchsorted(ends, starts, side="right")
     classes = (points * np.uint32(2654435761) >> np.uint32(22)).astype(np.int64)
     hashes = np.zeros((len(starts), BANDS), dtype=np.uint64)
-    live, at, end = np.arange(len(starts)), starts.copy(), starts + lengths
-    for step in range(STEPS):
-        here = classes[at]
-        for band, factor in sampled.get(step, ()):
-            hashes[live, band] += numbers[here] * factor
-        at = at + bits[step][here]
-        going = at < end
-        if not going.all():
-            live, at, end = live[going], at[going], end[going]
-            if not len(live):
-                break
+    for size, by_step in enumerate(sampled):
+        live = np.flatnonzero((lengths - 1) // MEAN == size)
+        at, end, step = starts[live], (starts + lengths)[live], 0
+        while len(live):
+            here = classes[at]
+            for band, factor in by_step.get(step, ()):
+                hashes[live, band] += numbers[here] * factor
+            at = at + bits[step % STEPS][here]
+            step += 1
+            going = at < end
+            if not going.all():
+                live, at, end = live[going], at[going], end[going]
     bands = np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD
     values = _mixed((hashes + bands).ravel())
     # Repeated stretches count more, though not each time: with each doubling, a band is another value.

@@ -139,6 +139,19 @@ def test_likeness_follows_edit_distance():
     assert edits.likeness(*edits.fingerprints(["", ""])[:, None])[0] == 1
 
 
+def test_the_end_of_a_full_stretch_counts():
+    draw = np.random.default_rng(6)
+    same = total = 0
+    while total < 200:
+        text = "".join(draw.choice(list("abcdefghij klmnop"), edits.LONGEST))
+        other = text[:-6] + "".join(draw.choice(list("qrstuv"), 6))
+        if all(len(edits._stretches(np.array([ord(c) for c in t]), np.array([len(t)]))) == 1 for t in (text, other)):
+            a, b = edits.fingerprints([text, other])
+            same += (a == b).all()
+            total += 1
+    assert same < 0.05 * total
+
+
 # --- articles ----------------------------------------------------------------------------
 
 def test_articles(llm):
