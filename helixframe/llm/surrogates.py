@@ -3,7 +3,8 @@
 Detected entities become rows of a corpus-wide table of distinct (kind, canonical value). Each gets a surrogate
 from a keyed hash: digits for digits and letters for letters in the same script and case, given names of the same
 gender. Surrogates that meet another one or a real value of their kind are drawn again until none do, so different values stay
-different and all mentions of one value, however written, get the same surrogate.
+different and all mentions of one value, however written, get the same surrogate. The words of a document's names are also
+replaced where they stand alone in it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import shaped
-from helixframe.llm.spans import bound, located, parts, unmarked
+from helixframe.llm.spans import MARK, bound, located, parts, unmarked
 from helixframe.session import cut_lineage
 
 #: Titles and common given names by gender.
@@ -61,11 +62,11 @@ def _script(token: Column) -> Column:
     return F.when(token.rlike(r"\p{IsCyrillic}"), "cyrillic").when(token.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def mentions(pieces: Column) -> Column:
-    """array<struct<part, token, kind, canon, form>> of the matches at the odd places of `pieces`.
+def mentions(pieces: Column, givens: Column) -> Column:
+    """array<struct<part, token, kind, canon, form, gender>> of the matches at the odd places of `pieces`.
 
     Names count word by word, so a surname keeps its surrogate with and without a given name: the last word is a surname
-    (kind surname:script), one before it a given name (given:gender:script).
+    (kind surname:script), one before it a given name (given:script), as is a name of one word that is among `givens`.
     """
     def tokens(k: Column) -> Column:
         value, gap = F.get(pieces, k), F.right(F.get(pieces, k - 1), F.lit(24))  # a title is near the end
@@ -73,12 +74,12 @@ def mentions(pieces: Column) -> Column:
         words = F.when(kind == "name", F.split(value, " ")).otherwise(F.array(value))
 
         def one(word: Column, place: Column) -> Column:
-            given = F.concat(F.lit("given:"), _gender(word, gap), F.lit(":"), _script(word))
-            named = F.when((place < F.size(words) - 1), given).otherwise(F.concat(F.lit("surname:"), _script(word)))
+            given = F.concat(F.lit("given:"), _script(word))
+            named = F.when((place < F.size(words) - 1) | ((F.size(words) == 1) & F.array_contains(givens, word)), given).otherwise(F.concat(F.lit("surname:"), _script(word)))
             canon = (F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(word, r"\D", ""))
                      .when(kind == "iban", F.replace(word, F.lit(" "), F.lit(""))).otherwise(F.lower(word)))
             return F.struct(k.alias("part"), place.alias("token"), F.when(kind == "name", named).otherwise(kind).alias("kind"),
-                            canon.alias("canon"), word.alias("form"))
+                            canon.alias("canon"), word.alias("form"), _gender(word, gap).alias("gender"))
 
         return F.transform(words, one)
 
@@ -86,6 +87,17 @@ def mentions(pieces: Column) -> Column:
     return F.flatten(F.transform(at, tokens))
 
 
+def _with_bare_names(split: DataFrame) -> DataFrame:
+    """Adds `givens`, the words of given names of a row, and to `pieces` the places where words of its names stand alone."""
+    m = bound(F.col("pieces"), lambda p: mentions(p, F.array().cast("array<string>")))
+    rows = split.withColumn("_m", F.filter(m, lambda x: x["kind"].contains(":")))
+    rows = rows.withColumn("givens", F.transform(F.filter("_m", lambda x: x["kind"].startswith("given:")), lambda x: x["form"]))
+    words = F.sort_array(F.array_distinct(F.transform("_m", lambda x: x["form"])), asc=False)  # longer ones first
+    pattern = F.concat(F.lit(f"({ANY}|(?<!\\p{{L}})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L}))"))
+    again = F.split(F.regexp_replace(F.col("plain"), pattern, F.lit(f"{MARK}$1{MARK}")), MARK, -1)
+    return rows.withColumn("pieces", F.when(F.size("_m") > 0, again).otherwise(F.col("pieces"))).drop("_m")
+
+
 def _octet(hashed: Column, place: Column) -> Column:
     return F.conv(F.substring(hashed, F.pmod(place, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
@@ -100,13 +112,13 @@ def _shape(text: Column, hashed: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), letter), "")
 
 
-def _made_name(kind: Column, hashed: Column, attempt: Column) -> Column:
-    """A name of three syllables and one more for each further attempt, in the script and gender that the kind says."""
+def _made_name(kind: Column, hashed: Column, attempt: Column, gender: Column) -> Column:
+    """A name of three syllables and one more for each further attempt, in the script that the kind says."""
     out = F.lit("")
     for script, (syllables, female, male) in SYLLABLES.items():
         known = F.array(*[F.lit(s) for s in syllables.split()])
         body = _syllables(known, hashed, attempt)
-        ending = F.when(kind.startswith("given:f"), female).when(kind.startswith("given:m"), male).otherwise("")
+        ending = F.when(~kind.startswith("given:"), "").when(gender == "f", female).when(gender == "m", male).otherwise("")
         out = F.when(kind.endswith(script), F.concat(body, ending)).otherwise(out)
     return out
 
@@ -115,7 +127,7 @@ def _syllables(known: Column, hashed: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda k: F.get(known, F.pmod(_octet(hashed, k), F.size(known)))), "")
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+def surrogate(kind: Column, canon: Column, attempt: Column, key: str, gender: Column) -> Column:
     """The surrogate of a canonical value, itself in canonical form, at a numbered attempt."""
     seed = F.concat_ws("\u0001", F.lit(key), kind, canon, attempt.cast("string"))
     hashed = F.sha2(seed, 512)
@@ -124,7 +136,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     email = F.concat(_shape(F.regexp_replace(canon, r"\.[a-z]+$", ""), hashed), F.lit("."), domain)
     iban = F.concat(F.substring(canon, 1, 2), _shape(F.substring(canon, 3, 64), hashed))
     return (F.when(kind == "ip", octets).when(kind == "email", email).when(kind == "iban", iban)
-            .when(kind.contains(":"), _made_name(kind, hashed, attempt)).otherwise(_shape(canon, hashed)))
+            .when(kind.contains(":"), _made_name(kind, hashed, attempt, gender)).otherwise(_shape(canon, hashed)))
 
 
 def assigned(entities: DataFrame, key: str) -> DataFrame:
@@ -132,18 +144,21 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
 
     Those that clash are drawn again with the next attempt; of several that want one surrogate, the earliest
     attempt and then the smallest value keeps it. So the result depends on the values and the key alone.
+    A given name has the gender that more of its mentions have (`gender`, if there is such a column).
     """
-    own = entities.select("kind", "canon").distinct()
+    said = F.sum(F.when(F.col("gender") == "f", 1).when(F.col("gender") == "m", -1).otherwise(0))
+    gender = F.when(said > 0, "f").when(said < 0, "m").otherwise("n").alias("gender")
+    own = (entities if "gender" in entities.columns else entities.withColumn("gender", F.lit("n"))).groupBy("kind", "canon").agg(gender)
     table = cut_lineage(own.withColumn("attempt", F.lit(0)))
     while True:
-        drawn = table.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        drawn = table.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key, F.col("gender")))
         first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("w"))
         real = table.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
         checked = cut_lineage(drawn.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left").select(
-            "kind", "canon", "attempt", "surrogate", ((F.col("w.canon") == F.col("canon")) & F.col("real").isNull()).alias("kept")))
+            "kind", "canon", "gender", "attempt", "surrogate", ((F.col("w.canon") == F.col("canon")) & F.col("real").isNull()).alias("kept")))
         if checked.filter(~F.col("kept")).isEmpty():
             return checked.select("kind", "canon", "surrogate")
-        table = checked.select("kind", "canon", F.when(F.col("kept"), F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"))
+        table = checked.select("kind", "canon", "gender", F.when(F.col("kept"), F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"))
 
 
 def _worn(form: Column, kind: Column, value: Column) -> Column:
@@ -170,8 +185,8 @@ def pseudonymised(docs: DataFrame, key: str, salts: int = 16) -> DataFrame:
     """
     rows = shaped(docs, doc_id="long", text="string").withColumn("plain", unmarked(F.col("text")))
     hinted = F.col("plain").rlike(_HINT)
-    split = rows.filter(hinted).withColumn("pieces", parts(F.col("plain"), ANY)).withColumn("text_key", F.xxhash64("plain"))
-    found = cut_lineage(split.select("doc_id", "text_key", bound(F.col("pieces"), mentions).alias("m")).filter(F.size("m") > 0))
+    split = _with_bare_names(rows.filter(hinted).withColumn("pieces", parts(F.col("plain"), ANY)).withColumn("text_key", F.xxhash64("plain")))
+    found = cut_lineage(split.select("doc_id", "text_key", bound(F.col("pieces"), lambda p: mentions(p, F.col("givens"))).alias("m")).filter(F.size("m") > 0))
     found = found.dropDuplicates(["doc_id", "text_key"])
     each = found.select("doc_id", "text_key", F.explode("m").alias("m")).select("doc_id", "text_key", "m.*")
     table = assigned(each, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -61,6 +61,14 @@ def test_surrogates_stay_distinct(llm):
     assert {tuple(r) for r in rows} == {tuple(r) for r in again}
 
 
+def test_bare_mentions_and_one_given_name(llm):
+    docs = [(1, "Mr John Smith came. Smith left, John's friend said. Smithers and Johnny stayed."), (2, "Dr Alex Kim and Mr Alex Kim; Alex spoke."), (3, "Smith alone")]
+    out = {r.doc_id: r for r in surrogates.pseudonymised(llm.createDataFrame(docs, "doc_id long, text string"), "key").collect()}
+    assert re.fullmatch(r"Mr (\w+no) (\w+) came\. \2 left, \1's friend said\. Smithers and Johnny stayed\.", out[1].text)
+    assert out[1].n_name == 3 and [docs[0][1][int(a):int(b)] for _, a, b in (x.split(":") for x in out[1].spans.split(","))] == ["John Smith", "Smith", "John"]
+    assert re.fullmatch(r"Dr (\w+no) (\w+) and Mr \1 \2; \1 spoke\.", out[2].text) and out[3].text == "Smith alone"
+
+
 # --- urls --------------------------------------------------------------------------------
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
