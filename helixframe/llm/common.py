@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.session import cut_lineage, tune
+from helixframe.session import cut_lineage, new_path, tune
 
 #: Rows of an Arrow batch. A batch holds whole texts, so it is kept well below Spark's default.
 BATCH_ROWS = 500
@@ -65,3 +65,20 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, broadcast_rows: int =
         return rows.join(F.broadcast(table), key)
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder, which cuts lineage and is compact on disk."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def finite_integers(vector: Column, scale: int, largest: int) -> Column:
+    """A struct of an array<double>: parts, floor(scale * x) as integers; ok, whether all components are there and finite; fits,
+    whether all parts stay below `largest` in absolute value (parts are null if not)."""
+    scaled = F.transform(vector, lambda x: x * F.lit(float(scale)))
+    ok = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+    fits = F.forall(scaled, lambda x: F.abs(x) < F.lit(float(largest - 1)))
+    parts = F.when(ok & fits, F.transform(scaled, lambda x: F.floor(x).cast("int")))
+    return F.struct(ok.alias("ok"), F.coalesce(ok & fits, F.lit(False)).alias("fits"), parts.alias("parts"))
