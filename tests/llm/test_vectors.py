@@ -72,7 +72,7 @@ def test_scan_drops_rows_before_the_last_dimension(many):
         return high >= floor
 
     places, scores = block.scan(anchor, np.ones(300, dtype=bool), useful)
-    assert left[1] < 300 and left == sorted(left, reverse=True)
+    assert left[2] < 300 and left == sorted(left, reverse=True)
     assert scores.tolist() == exact[places].tolist() and set(np.flatnonzero(exact >= floor)) <= set(places.tolist())
 
 
