@@ -8,6 +8,7 @@ from helixframe.functions import ordered
 from helixframe.operators import differential as de
 from helixframe.operators import enrichment as en
 from helixframe.operators import expression as ex
+from helixframe.operators import kendall as kd
 from helixframe.operators import pairwise as pw
 from helixframe.operators import statistics as st
 from helixframe.plans import bindings as b
@@ -53,6 +54,15 @@ def _(t):
     return pw.spearman_matrix(b.counts(t), SAMPLES).select("a", "b", "n", *rnd(6, "corr"))
 
 
+# Every pair of distinct points with its sign; points are pre-counted, the operator forms no pairs.
+@query("M06_kendall", f"""WITH {COUNTS}, {_PAIRS}, w AS (SELECT a, b, x, y, count(*) AS n FROM p GROUP BY ALL),
+q AS (SELECT i.a, i.b, sum(CAST(i.n * j.n AS DOUBLE) * sign(i.x - j.x) * sign(i.y - j.y)) AS s, sum(CAST(i.n * j.n AS DOUBLE) * abs(sign(i.x - j.x))) AS tx, sum(CAST(i.n * j.n AS DOUBLE) * abs(sign(i.y - j.y))) AS ty
+ FROM w i JOIN w j ON i.a = j.a AND i.b = j.b GROUP BY 1, 2), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT a, b, n, round(s / sqrt(tx * ty), 6) + 0.0 AS corr FROM q JOIN c USING (a, b)""")
+def _(t):
+    return kd.kendall_matrix(b.counts(t), SAMPLES).select("a", "b", "n", *rnd(6, "corr"))
+
+
 @query("M26_distances", f"""WITH {COUNTS}, {_PAIRS} SELECT a, b, round(sqrt(sum((x - y) * (x - y))), 4) AS euclidean, round(sum(abs(x - y)), 4) AS cityblock,
  round(1 - sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) + 0.0 AS cosine, round(1 - corr(x, y), 6) + 0.0 AS correlation FROM p GROUP BY 1, 2""")
 def _(t):
