@@ -94,7 +94,8 @@ def correct_batches(
     independent given the priors, so tasks standardise and shrink their own genes; only the
     priors and the number of rounds are collected. All genes run the number of rounds in which
     the slowest of them settles. A missing sample does not count for its gene: the design is fitted to the samples
-    that are there. Genes without spread keep their values.
+    that are there. Genes without spread keep their values. Where the variances of a batch do not differ between the genes (one
+    gene, or one sample in the batch), its estimates are used as they are.
     """
     names, levels = list(samples), sorted(set(batches))
     index = [[i for i, x in enumerate(batches) if x == level] for level in levels]
@@ -144,13 +145,16 @@ def correct_batches(
     g_known, d_known = (F.when(~F.isnan(c), F.col(c)) for c in ("g", "d"))
     rows = known.groupBy("batch").agg(
         F.avg(g_known).alias("gm"), F.var_pop(g_known).alias("gv"), F.avg(d_known).alias("dm"), F.var_samp(d_known).alias("dv")).collect()
-    priors = {r.batch: (r.gm, r.gv, (2 * r.dv + r.dm**2) / r.dv, (r.dm * r.dv + r.dm**3) / r.dv) for r in rows}
+    # Without spread among the variances there is nothing to shrink towards.
+    priors = {r.batch: (r.gm, r.gv, (2 * r.dv + r.dm**2) / r.dv, (r.dm * r.dv + r.dm**3) / r.dv) for r in rows if r.dv}
 
     def rounds_needed(batches_in: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_in:
             z = standardise(pdf[names].to_numpy(dtype=float))[0]
             g, d = fit(z)
             for j, own_rows in enumerate(index):
+                if j not in priors:
+                    continue
                 settled = _shrink(z[:, own_rows], g[j], d[j], priors[j], None, conv)[2]
                 yield pd.DataFrame({"batch": [j], "rounds": [int(settled.max())]})
 
@@ -163,7 +167,10 @@ def correct_batches(
             z, mean, sd = standardise(v)
             g, d = fit(z)
             for j, own_rows in enumerate(index):
-                g_new, d_new, _ = _shrink(z[:, own_rows], g[j], d[j], priors[j], rounds[j], conv)
+                if j in priors:
+                    g_new, d_new, _ = _shrink(z[:, own_rows], g[j], d[j], priors[j], rounds[j], conv)
+                else:
+                    g_new, d_new = np.where(np.isnan(g[j]), 0.0, g[j]), np.where(d[j] > 0, d[j], 1.0)
                 z[:, own_rows] = (z[:, own_rows] - g_new[:, None]) / np.sqrt(d_new)[:, None]
             out = np.where(np.isnan(sd), v, z * sd + mean)
             yield pd.DataFrame(out, columns=names).assign(gene=pdf["gene"].to_numpy())[["gene", *names]]
