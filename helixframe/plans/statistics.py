@@ -9,6 +9,7 @@ from helixframe.operators import differential as de
 from helixframe.operators import enrichment as en
 from helixframe.operators import expression as ex
 from helixframe.operators import kendall as kd
+from helixframe.operators import normal as nm
 from helixframe.operators import pairwise as pw
 from helixframe.operators import statistics as st
 from helixframe.plans import bindings as b
@@ -212,6 +213,27 @@ def _(t):
     return st.ks_distance(t.supplier.select(((F.col("s_acctbal") - 4500) / 3000).alias("v")), "v").select(*rnd(6, "distance"), "n", *rnd(6, "p"))
 
 
+# One row a value, in place of sums over chunks of ranks.
+_SHAPIRO = f"""o AS (SELECT k, v, CAST(row_number() OVER (PARTITION BY k ORDER BY v) AS DOUBLE) AS i, CAST(count(*) OVER (PARTITION BY k) AS DOUBLE) AS n, v - avg(v) OVER (PARTITION BY k) AS x FROM d),
+c AS (SELECT *, (i - 0.375) / (n + 0.25) AS c FROM o), q AS (SELECT *, c - 0.5 AS q, sqrt(-ln(least(c, 1 - c))) AS t FROM c), m AS (SELECT *, {nm.quantile_sql('q', 't')} AS m FROM q),
+s AS (SELECT k, n, sum(m * m) AS m2, sum(m * x) AS mx, sum(x * x) AS ss, max(m) AS top, max(m) FILTER (WHERE i = n - 1) AS nxt, max(v) - min(v) AS gap, max(v) FILTER (WHERE i = n - 1) - max(v) FILTER (WHERE i = 2) AS inn FROM m GROUP BY 1, 2),
+w AS (SELECT k, n, pow({nm.root_sql('n', 'top', 'nxt', 'm2', 'mx', 'gap', 'inn')}, 2) / ss AS w FROM s WHERE n > 3), z AS (SELECT *, {nm.z_sql('n', 'w')} AS z FROM w),
+sw AS (SELECT k, CAST(n AS BIGINT) AS n, w, CASE WHEN z > 0 THEN {_two_sided('z')} / 2 ELSE 1 - {_two_sided('z')} / 2 END AS p FROM z)"""
+
+
+@query("M12_shapiro", f"WITH d AS (SELECT c_nationkey AS k, c_acctbal AS v FROM customer), {_SHAPIRO} SELECT k, n, round(w, 6) AS w, round(p, 5) AS p FROM sw")
+def _(t):
+    df = t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return nm.shapiro_wilk(df, ["k"], "v").filter("n > 3").select("k", "n", *rnd(6, "w"), *rnd(5, "p"))
+
+
+@query("M12_normality_choice", f"""WITH d AS (SELECT c_nationkey AS k, c_acctbal AS v FROM customer), {_SHAPIRO}, few AS (SELECT k, count(*) AS n FROM d GROUP BY 1)
+SELECT few.k, few.n, CASE WHEN few.n < 50 THEN 'normalTest' WHEN few.n < 300 THEN 'shapiro' ELSE 'kstest' END AS test, CASE WHEN few.n BETWEEN 50 AND 299 THEN round(p, 5) END AS shapiro_p FROM few LEFT JOIN sw USING (k)""")
+def _(t):
+    df = t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return nm.normality_by_size(df, ["k"], "v").select("k", "n", "test", F.when(F.col("test") == "shapiro", F.round("p", 5) + 0.0).alias("shapiro_p"))
+
+
 @query("M13_category_tests", f"""WITH d AS (SELECT lang, n_chars AS v, quality FROM documents JOIN labels USING (doc_id)), {_RANKED.format(k='lang', one='quality = 1')} SELECT lang, n1, n2, round(u1, 2) AS u1, round(z, 5) AS z_mw FROM z""")
 def _(t):
     df = t.documents.join(t.labels, "doc_id")
