@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import ordered
+from helixframe.operators import countmodel as cm
 from helixframe.operators import differential as de
 from helixframe.operators import enrichment as en
 from helixframe.operators import expression as ex
@@ -409,6 +410,30 @@ def _(t):
     return out.select("ctrl", "test", "gene", *rnd(4, "base_mean"), *rnd(5, "dispersion", "fitted"), *rnd(4, "log2fc", "wald"), *rnd(5, "pvalue"))
 
 
+# Whether the coefficients solve the score equations is worked out here from the counts, apart from the fit.
+@query("M22_count_model", f"""WITH {_DE} SELECT ctrl, test, gene, round(avg(norm), 4) AS base_mean, TRUE AS settled FROM v GROUP BY 1, 2, 3
+ HAVING sum(raw) >= 8 AND count(*) > 2 AND count(*) FILTER (WHERE is_c) > 0 AND count(*) FILTER (WHERE NOT is_c) > 0""")
+def _(t):
+    members, comparisons = _comparisons(t)
+    factors = ex.size_factors(b.counts(t), 8)
+    out = cm.count_model(b.counts(t), factors, members, comparisons)
+    side = F.when(F.col("grp") == F.col("test"), 1.0).otherwise(0.0)
+    mu = F.col("size_factor") * F.exp(F.col("intercept") + F.col("coefficient") * F.col("side"))
+    rest = (F.floor(F.col("value") + 0.5) - mu) / (1 + F.col("dispersion") * mu)
+    cells = out.join(members.distinct(), (F.col("grp") == F.col("ctrl")) | (F.col("grp") == F.col("test"))).join(b.counts(t), ["gene", "sample"]).join(factors, "sample")
+    sums = cells.withColumn("side", side).groupBy("ctrl", "test", "gene").agg(
+        F.max("base_mean").alias("base_mean"), F.sum(rest).alias("s0"), F.sum(rest * F.col("side")).alias("s1"), F.max("intercept").alias("b0"), F.max("coefficient").alias("b1"))
+    settled = (F.abs(F.col("s0") - cm.RIDGE * F.col("b0")) < 1e-4) & (F.abs(F.col("s1") - cm.RIDGE * F.col("b1")) < 1e-4)
+    return sums.select("ctrl", "test", "gene", *rnd(4, "base_mean"), settled.alias("settled"))
+
+
+@query("M22_tests")
+def _(t):
+    members, comparisons = _comparisons(t)
+    out = cm.count_model(b.counts(t), ex.size_factors(b.counts(t), 8), members, comparisons)
+    return out.select("ctrl", "test", "gene", *rnd(5, "own", "trend", "dispersion"), *rnd(4, "log2fc", "log2fc_shrunken", "se", "wald"), *rnd(5, "p_wald", "p_lrt"))
+
+
 @query("M22_adjusted_p", f"""WITH {_DE}, w AS (SELECT d.*, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df FROM d JOIN a USING (ctrl, test, gene)),
 pv AS (SELECT ctrl, test, gene, fc, CASE WHEN tw IS NOT NULL AND df > 0 THEN {_t_two_sided('tw', 'df')} END AS p FROM w),
 k AS (SELECT *, row_number() OVER (PARTITION BY ctrl, test ORDER BY p, gene) AS i, count(p) OVER (PARTITION BY ctrl, test) AS m FROM pv WHERE p IS NOT NULL), q AS (SELECT *, least(min(p * m / i) OVER (PARTITION BY ctrl, test ORDER BY i DESC), 1) AS q FROM k)
