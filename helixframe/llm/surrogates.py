@@ -38,6 +38,8 @@ PATTERNS = {
 ANY = PATTERNS["email"] + "|(?=[\\p{Lu}0-9+(])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email") + ")"
 _HINT = rf"@|[0-9][0-9.\x20()-]{{6}}|(?=[\p{{Lu}}гκ])(?:[A-Z]{{2}}\d\d|{_TITLE}\.?\x20|{FEMALE_NAMES}|{MALE_NAMES})"
 KINDS = [*PATTERNS]
+#: Attempts that keep the form of an address, and of other values but names.
+EMAIL_ATTEMPTS, SHAPED_ATTEMPTS = 3, 16
 #: Syllables of made-up names by script, and the endings of female and male given names.
 SYLLABLES = {
     "latin": ("ba be bo da de di fa fe ga ha ja ka ke la le li lo ma me mi mo na ne ni no pa ra re ri ro sa se ta te ti to va ve vi za", "na", "no"),
@@ -127,16 +129,28 @@ def _syllables(known: Column, hashed: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda k: F.get(known, F.pmod(_octet(hashed, k), F.size(known)))), "")
 
 
+def _longer(hashed: Column, attempt: Column, past: int, first: int, size: int) -> Column:
+    """One more character for each attempt after `past`: `size` characters from code point `first` on."""
+    more = F.transform(F.sequence(F.lit(1), F.greatest(attempt - past, F.lit(1))), lambda k: F.char(F.pmod(_octet(hashed, k + 20), F.lit(size)) + first))
+    return F.when(attempt > past, F.array_join(more, "")).otherwise("")
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str, gender: Column) -> Column:
-    """The surrogate of a canonical value, itself in canonical form, at a numbered attempt."""
+    """The surrogate of a canonical value, itself in canonical form, at a numbered attempt.
+
+    After EMAIL_ATTEMPTS an address gets letters in front, after SHAPED_ATTEMPTS other values get digits at the end, one more with each
+    attempt: so a value without letters or digits, or one whose form has no free values left, is told apart as well.
+    """
     seed = F.concat_ws("\u0001", F.lit(key), kind, canon, attempt.cast("string"))
     hashed = F.sha2(seed, 512)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (F.pmod(_octet(hashed, k), F.lit(254)) + 1).cast("string")), ".")
     domain = F.regexp_extract(canon, r"\.([a-z]+)$", 1)
-    email = F.concat(_shape(F.regexp_replace(canon, r"\.[a-z]+$", ""), hashed), F.lit("."), domain)
-    iban = F.concat(F.substring(canon, 1, 2), _shape(F.substring(canon, 3, 64), hashed))
+    letters, digits = _longer(hashed, attempt, EMAIL_ATTEMPTS, 97, 26), _longer(hashed, attempt, SHAPED_ATTEMPTS, 48, 10)
+    octets = F.concat(octets, F.when(attempt > SHAPED_ATTEMPTS, ".").otherwise(""), digits)
+    email = F.concat(letters, _shape(F.regexp_replace(canon, r"\.[a-z]+$", ""), hashed), F.lit("."), domain)
+    iban = F.concat(F.substring(canon, 1, 2), _shape(F.substring(canon, 3, 64), hashed), digits)
     return (F.when(kind == "ip", octets).when(kind == "email", email).when(kind == "iban", iban)
-            .when(kind.contains(":"), _made_name(kind, hashed, attempt, gender)).otherwise(_shape(canon, hashed)))
+            .when(kind.contains(":"), _made_name(kind, hashed, attempt, gender)).otherwise(F.concat(_shape(canon, hashed), digits)))
 
 
 def assigned(entities: DataFrame, key: str) -> DataFrame:
@@ -169,7 +183,7 @@ def _worn(form: Column, kind: Column, value: Column) -> Column:
                         F.concat(state["out"], F.when(digit, F.substring(value, state["at"], F.lit(1))).otherwise(c)).alias("out"))
 
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    spaced = F.aggregate(F.split(form, ""), start, step, lambda s: s["out"])
+    spaced = F.aggregate(F.split(form, ""), start, step, lambda s: F.concat(s["out"], F.substring(value, s["at"], F.length(value))))
     cased = F.when(form == F.upper(form), F.upper(value)).when(kind.contains(":"), F.initcap(value)).otherwise(value)
     return F.when(kind.isin("phone", "card", "ssn", "iban"), spaced).when(kind == "ip", value).otherwise(cased)
 
