@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -185,14 +186,44 @@ def by_index_pair(reads: DataFrame, sheet: DataFrame) -> DataFrame:
     return reads.withColumn("pair", key("i1", "i2")).join(checked, "pair")
 
 
-def contained_change(table: DataFrame, hot: DataFrame) -> DataFrame:
+def contained_change(table: DataFrame, hot: DataFrame, texts_in_task: int = 20_000) -> DataFrame:
     """Rows whose gene is hot and whose change text contains a hot change of that gene.
 
-    The distinct changes of a gene meet its distinct texts, not its rows.
+    The distinct changes of a gene become one automaton, and each of its distinct texts is read once, whatever the number of
+    changes. A gene with more than `texts_in_task` texts is dealt out over several tasks, each with the gene's changes.
+    An empty hot change is contained in every text; null genes, changes and texts match nothing.
     """
-    changes = hot.select("gene", F.regexp_replace("phgvs", "[()]", "").alias("hot_change")).distinct()
-    texts = table.select("gene", "change").distinct()
-    hits = texts.join(changes, (texts.gene == changes.gene) & F.contains(texts.change, changes.hot_change), "left_semi")
+    kind = dict(table.dtypes)["gene"]
+    changes = hot.select(F.col("gene").cast(kind).alias("gene"), F.regexp_replace("phgvs", "[()]", "").alias("text")).dropna().distinct()
+    texts = table.select("gene", F.col("change").alias("text")).dropna().distinct().join(changes.select("gene").distinct(), "gene", "left_semi")
+    salts = texts.groupBy("gene").agg(F.ceil(F.count("*") / texts_in_task).cast("int").alias("salts"))
+    dealt = texts.join(salts, "gene").select("gene", F.pmod(F.xxhash64("text"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("part"), "text")
+    copies = changes.join(salts, "gene").select("gene", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("part"), "text")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        now, automaton, ready, everything = None, None, False, False
+        for batch in batches:
+            genes, found = batch.column(0), []
+            for k, (gene, salt, part, text) in enumerate(zip(genes.to_pylist(), *(c.to_pylist() for c in batch.columns[1:]))):
+                if (gene, salt) != now:
+                    now, automaton, ready, everything = (gene, salt), ahocorasick.Automaton(), False, False
+                if part == 0:
+                    everything |= not text
+                    if text:
+                        automaton.add_word(text, True)
+                    continue
+                if not ready and len(automaton):
+                    automaton.make_automaton()
+                ready = True
+                if everything or (len(automaton) and next(automaton.iter(text), None) is not None):
+                    found.append(k)
+            at = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([genes.take(at), batch.column(3).take(at)], names=["gene", "change"])
+
+    placed = dealt.union(copies).repartition("gene", "salt").sortWithinPartitions("gene", "salt", "part")
+    hits = placed.mapInArrow(search, f"gene {kind}, change string")
     return table.join(hits, ["gene", "change"], "left_semi")
 
 
