@@ -123,14 +123,17 @@ def distances(df: DataFrame, samples: Sequence[str]) -> DataFrame:
     return both.join(r, ["a", "b"])
 
 
-def principal_components(df: DataFrame, samples: Sequence[str], explained: float = 0.95) -> DataFrame:
+def principal_components(df: DataFrame, samples: Sequence[str], explained: float = 0.95, incomplete: bool = False) -> DataFrame:
     """(sample, component, score, ratio) of the samples over gene-centred values.
 
+    Only genes with a value in every sample count, unless `incomplete`: then all do, and an absent cell lies at the mean of
+    its gene, which moves the sample nowhere along it. `incomplete_genes` says how many genes that concerns.
     The scores follow from the samples x samples product matrix, the only thing that reaches the
     driver. The sign of a component is set so that its largest score is positive.
     """
+    df = df.filter(F.col("sample").isin(*samples) & F.col("value").isNotNull()) if incomplete else df
     full = df.groupBy("gene").agg(F.countDistinct("sample").alias("_n"), F.avg("value").alias("_m"))
-    centred = df.join(full.filter(F.col("_n") == len(samples)), "gene").withColumn("value", F.col("value") - F.col("_m"))
+    centred = df.join(full if incomplete else full.filter(F.col("_n") == len(samples)), "gene").withColumn("value", F.col("value") - F.col("_m"))
     sums = pair_sums(wide(centred, "gene", "sample", "value", samples), samples).select("a", "b", "xy").collect()
     place = {s: i for i, s in enumerate(samples)}
     gram = np.zeros((len(samples), len(samples)))
@@ -149,6 +152,13 @@ def principal_components(df: DataFrame, samples: Sequence[str], explained: float
     return df.sparkSession.createDataFrame(rows, "sample string, component string, score double, ratio double")
 
 
+def incomplete_genes(df: DataFrame, samples: Sequence[str]) -> DataFrame:
+    """(genes, incomplete): how many genes there are, and how many lack a value in one of the samples."""
+    there = F.col("sample").isin(*samples) & F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
+    per = df.groupBy("gene").agg(F.count_distinct(F.when(there, F.col("sample"))).alias("n"))
+    return per.agg(F.count("*").alias("genes"), F.count_if(F.col("n") < len(samples)).alias("incomplete"))
+
+
 # Lower depth bound, mean and spread of matched pairs, then of unmatched pairs.
 IDENTITY_MODEL = [
     (10, 0.874546, 0.022211, 0.310549, 0.060058), (5, 0.785249, 0.021017, 0.279778, 0.054104),
