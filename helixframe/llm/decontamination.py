@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates.
 
-Words are compared without case and outer punctuation; numbers, names (capitalised words inside a
+Words, which any white space parts, are compared without case and outer punctuation; numbers, names (capitalised words inside a
 sentence) and units (unit words after a number) become typed placeholders, so a question with other
 numbers or names keeps its template. Windows of templates are joined by hash. A value of the item must then stand for
 one value of the document along an alignment, or only long copies in it count. Windows are also joined by their words
@@ -77,7 +77,10 @@ class Vocabulary:
 
 def template(text: str, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Digests of each word in the template and as it is, its kind, the words as written, and the place of each among them."""
-    words = text.replace("\n", " \n ").split(" ")
+    words: list[str] = []
+    for line in text.splitlines():
+        words.extend(line.split())
+        words.append("\n")
     index, (digest, kind, capital, ends) = vocabulary.of(words)
     kind, capital, ends = kind[index], capital[index], ends[index]
     first = np.concatenate([[True], ends[:-1].astype(bool)])
