@@ -47,7 +47,7 @@ class Vocabulary:
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.columns = [np.zeros(0, np.uint64), *(np.zeros(0, np.int8) for _ in range(3))]
+        self.columns = [np.zeros(1024, np.uint64), *(np.zeros(1024, np.int8) for _ in range(3))]  # with room beyond the index
 
     def of(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Index of each word, and by index: digest, kind, whether capitalised, whether it ends a sentence."""
@@ -56,9 +56,13 @@ class Vocabulary:
             self._clear()
             new = set(words)
         if new:
-            rows = []
+            rows, start = [], len(self.index)
             for word in new:
                 self.index[word] = len(self.index)
+                if word.isalpha():
+                    low = word.lower()
+                    rows.append((xxhash.xxh3_64_intdigest(low), UNIT if low in UNITS else LITERAL, word[0].isupper(), False))
+                    continue
                 plain = _EDGE.sub("", word)
                 low = plain.lower()
                 if word == "\n":
@@ -71,7 +75,11 @@ class Vocabulary:
                     kind = UNIT if low in UNITS else LITERAL
                 digest = xxhash.xxh3_64_intdigest(low)
                 rows.append((digest, kind, plain[:1].isupper(), word == "\n" or word.rstrip("\"')]»”").endswith((".", "!", "?", ":", "…"))))
-            self.columns = [np.concatenate([old, np.array(more, dtype=old.dtype)]) for old, more in zip(self.columns, zip(*rows))]
+            end = len(self.index)
+            if end > len(self.columns[0]):  # doubled, so that a word is copied a bounded number of times
+                self.columns = [np.concatenate([old, np.zeros(max(end, 2 * len(old)) - len(old), old.dtype)]) for old in self.columns]
+            for column, values in zip(self.columns, zip(*rows)):
+                column[start:end] = np.array(values, dtype=column.dtype)
         return np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words)), self.columns
 
 
