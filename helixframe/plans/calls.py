@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.operators import calls as ca
+from helixframe.operators import templates
 from helixframe.operators import variants as va
 from helixframe.plans.files import s
 from helixframe.plans.registry import Suite
+from helixframe.session import new_path
 
 suite = Suite()
 query = suite.query
@@ -135,6 +137,21 @@ def _(t):
     return va.field_ranges(t.lineitem.select(F.explode(info).alias("field", "value")))
 
 
+# The template of the suppliers, exported and read back, filters the customers.
+@query("F18_template_rows", """SELECT c_custkey FROM customer, (SELECT min(s_acctbal) AS low, max(s_acctbal) AS high, min(s_suppkey % 7) AS a, max(s_suppkey % 7) AS b FROM supplier)
+WHERE c_acctbal BETWEEN low AND high AND c_nationkey IN (SELECT s_nationkey FROM supplier) AND c_custkey % 5 <> 0 AND c_custkey % 9 BETWEEN a AND b AND c_custkey % 4 IN (SELECT s_suppkey % 3 FROM supplier)""")
+def _(t):
+    path = new_path(t.spark, "template")
+    known = t.supplier.select(F.explode(F.create_map(
+        F.lit("BAL"), F.col("s_acctbal").cast("string"), F.lit("NAT"), s("N'", "s_nationkey"), F.lit("T/AF"), F.concat(s("", F.col("s_suppkey") % 7), s(",x", F.col("s_suppkey") % 3)))).alias("field", "value"))
+    templates.write_template(templates.template_rules(va.field_ranges(known)), path)
+    k = F.col("c_custkey")
+    fraction = F.when(k % 5 == 0, ".").otherwise(F.concat(s("", k % 9), s(",x", k % 4)))
+    info = F.create_map(F.lit("BAL"), F.col("c_acctbal").cast("string"), F.lit("NAT"), s("N'", "c_nationkey"))
+    records = t.customer.select("c_custkey", info.alias("info"), F.create_map(F.lit("T"), F.create_map(F.lit("AF"), fraction)).alias("samples"))
+    return templates.apply_rules(records, templates.read_template(t.spark, path)).select("c_custkey")
+
+
 @query("F22_simplified_reports", "SELECT 's' || (l_suppkey % 8) AS sample, 'G' || (l_partkey % 99) AS gene, l_orderkey, l_tax FROM lineitem WHERE l_partkey % 99 IN (SELECT p_size FROM part WHERE p_size < 20)")
 def _(t):
     rows = t.lineitem.select(F.concat(F.lit("/run/"), s("s", F.col("l_suppkey") % 8), F.lit("/report.xls")).alias("path"), s("G", F.col("l_partkey") % 99).alias("gene"), "l_orderkey", "l_tax", "l_discount")
