@@ -453,6 +453,20 @@ def _(t):
     return t.spark.read.parquet(out)
 
 
+@query("Z02_capture_new_pages", "SELECT DISTINCT split_part(url, '?', 1) AS url_key FROM pages")
+def _(t):
+    from helixframe.session import new_path
+    from helixframe.streaming.incremental import capture_new_pages
+
+    parts, out = new_path(t.spark, "pages"), new_path(t.spark, "captured")
+    years = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") % 400 * 86_400)
+    rows = t.pages.select("page_id", "url", years.alias("seen_at"))
+    rows.union(rows).repartition(2).write.parquet(parts)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    capture_new_pages(stream, out, new_path(t.spark, "state"), "seen_at").awaitTermination()
+    return t.spark.read.parquet(out).select("url_key")
+
+
 @query("Z02_skip_captured", """SELECT page_id, split_part(url, '?', 1) AS url_key FROM pages WHERE split_part(url, '?', 1) NOT IN (SELECT split_part(url, '?', 1) FROM pages WHERE page_id % 3 = 0)""")
 def _(t):
     from helixframe.streaming.incremental import skip_captured

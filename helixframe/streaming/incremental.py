@@ -22,6 +22,27 @@ def stream_new_pages(pages: DataFrame, seen_at: str, horizon: str) -> DataFrame:
     return with_url_key(pages).withWatermark(seen_at, horizon).dropDuplicatesWithinWatermark(["url_key"])
 
 
+def capture_new_pages(pages: DataFrame, path: str, checkpoint: str, seen_at: str) -> StreamingQuery:
+    """Stream: append to the folder `path` the first page of each key it does not hold yet, however long ago it was captured.
+
+    The folder itself is what is remembered, so neither late rows nor a restart, with the checkpoint or without it, bring
+    a key twice, and no state grows in memory. A trigger that is repeated skips what it had written before. Of the rows
+    of a key in one trigger the earliest stays, ties by the other columns. One query writes a folder at a time.
+    """
+    keyed = with_url_key(pages)
+    spark, others = pages.sparkSession, [c for c in keyed.columns if c not in ("url_key", seen_at)]
+    spark.createDataFrame([], keyed.schema).write.mode("ignore").parquet(path)
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        earliest = F.min(F.struct(F.col(seen_at).isNull().alias("_none"), seen_at, *others)).alias("_row")
+        first = batch.filter("url_key IS NOT NULL").groupBy("url_key").agg(earliest)
+        captured = batch.sparkSession.read.schema(keyed.schema).parquet(path).select("url_key")
+        rows = first.join(captured, "url_key", "left_anti").select("url_key", "_row.*").select(*keyed.columns)
+        rows.write.mode("append").parquet(path)
+
+    return keyed.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Running counts; each trigger merges its partial counts into the state store."""
     return rows.groupBy(*keys).count()
