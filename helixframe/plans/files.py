@@ -11,7 +11,7 @@ from helixframe.plans.bindings import COUNTS
 from helixframe.plans.registry import Suite
 from helixframe.session import new_path
 from helixframe.sources import annotations as an
-from helixframe.sources import design, lines, metrics, sequences, sinks, variants
+from helixframe.sources import blocks, design, lines, metrics, sequences, sinks, variants
 
 suite = Suite()
 query = suite.query
@@ -367,6 +367,13 @@ def _(t):
     return sequences.read_fastq(t.spark, path, compressed=False).drop("path")
 
 
+@query("S08_fastq_blocks", _FASTQ)
+def _(t):
+    path = new_path(t.spark, "fastq-blocks")
+    blocks.write_blocks(_fastq_text(t), path)
+    return blocks.read_blocks(t.spark, path, "fastq", split=4 << 20).drop("path")
+
+
 @query("X15_header_fields", "SELECT doc_id, lpad(CAST(doc_id % 8 AS VARCHAR), 3, '0') AS lane, '1' AS read, 'I' || (doc_id % 5) AS i1, 'J' || (doc_id % 7) AS i2 FROM documents")
 def _(t):
     header = F.concat(s("@M1:1:F:", F.col("doc_id") % 8), s(":1:1:", "doc_id"), s(" 1:N:0:I", F.col("doc_id") % 5), s("+J", F.col("doc_id") % 7))
@@ -401,13 +408,26 @@ def _vcf_lines(t):
         t.lineitem.agg(F.lit("\t".join("#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT tumor normal".split())).alias("value")))
 
 
-@query("S09_vcf", """SELECT 'chr' || (l_suppkey % 22) AS chrom, l_orderkey AS pos, l_returnflag AS ref, l_linestatus || '/T' AS alt, 'PASS/q10' AS filter, CAST(l_quantity AS INTEGER) AS dp, 'Flagged' AS db, l_discount AS af, '0/1' AS gt, CAST(l_linenumber AS VARCHAR) AS t_dp, '3,4' AS n_ad, NULL::VARCHAR AS n_dp FROM lineitem""")
-def _(t):
-    v = variants.vcf(_vcf_lines(t))
+_VCF = """SELECT 'chr' || (l_suppkey % 22) AS chrom, l_orderkey AS pos, l_returnflag AS ref, l_linestatus || '/T' AS alt, 'PASS/q10' AS filter, CAST(l_quantity AS INTEGER) AS dp, 'Flagged' AS db, l_discount AS af, '0/1' AS gt, CAST(l_linenumber AS VARCHAR) AS t_dp, '3,4' AS n_ad, NULL::VARCHAR AS n_dp FROM lineitem"""
+
+
+def _flat(v):
     return v.select("chrom", "pos", "ref", F.concat_ws("/", "alt").alias("alt"), F.concat_ws("/", "filter").alias("filter"), F.col("info")["DP"].cast("int").alias("dp"), F.col("info")["DB"].alias("db"), F.col("info")["AF"].cast("double").alias("af"),
                     F.col("samples")["tumor"]["GT"].alias("gt"), F.col("samples")["tumor"]["DP"].alias("t_dp"), F.col("samples")["normal"]["AD"].alias("n_ad"), F.col("samples")["normal"]["DP"].alias("n_dp"))
 
 
+@query("S09_vcf", _VCF)
+def _(t):
+    return _flat(variants.vcf(_vcf_lines(t)))
+
+
+@query("S09_vcf_blocks", _VCF)
+def _(t):
+    path = new_path(t.spark, "vcf-blocks")
+    blocks.write_blocks(_vcf_lines(t), path)
+    return _flat(variants.vcf(blocks.read_blocks(t.spark, path, split=4 << 20)))
+
+
 @query("S10_field_types", "SELECT CASE WHEN p_size % 2 = 0 THEN 'INFO' ELSE 'FORMAT' END AS section, 'F' || p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'Float' ELSE 'String' END AS type FROM part")
 def _(t):
     rows = t.part.select(text("##", F.when(F.col("p_size") % 2 == 0, "INFO").otherwise("FORMAT"), "=<ID=F", col("p_partkey"), ",Number=1,Type=", F.when(F.col("p_size") % 3 == 0, "Float").otherwise("String"), ",Description=\"x, y\">"))
@@ -473,8 +493,19 @@ def _(t):
     return sinks.query_variants(_annotated(t), queries, ["gene", "chgvs"])
 
 
-@query("S37_variant_delete", f"WITH {_STORE} SELECT 'G' || z AS gene, 'v' || k AS var_id, chgvs, count(*) AS n FROM st WHERE NOT (z = 7 AND chgvs = 'c.1') GROUP BY 1, 2, 3")
+_KEPT = f"WITH {_STORE} SELECT 'G' || z AS gene, 'v' || k AS var_id, chgvs, count(*) AS n FROM st WHERE NOT (z = 7 AND chgvs = 'c.1') GROUP BY 1, 2, 3"
+
+
+@query("S37_variant_delete", _KEPT)
 def _(t):
     path = new_path(t.spark, "variants")
     sinks.delete_variants(_annotated(t), {"gene": "G7", "chgvs": "c.1"}).write.parquet(path)
     return t.spark.read.parquet(path).groupBy("gene", "var_id", "chgvs").agg(F.count("*").alias("n"))
+
+
+@query("S37_delete_stored", _KEPT)
+def _(t):
+    path = new_path(t.spark, "variant-store")
+    sinks.write_per_key(_annotated(t), path, "chrom")
+    sinks.delete_stored(t.spark, path, {"gene": "G7", "chgvs": "c.1"})
+    return t.spark.read.parquet(path).groupBy("gene", "var_id", "chgvs").agg(F.count("*").alias("n"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import ordered
@@ -83,9 +85,58 @@ def query_variants(store: DataFrame, queries: DataFrame, columns: Sequence[str])
     return kept.select("query_id", "chrom", "start", "var_id", "ref", "alt", shown.alias("annotation")).distinct()
 
 
+def _meets(conditions: dict[str, str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in conditions.items()], F.lit(True))
+
+
 def delete_variants(store: DataFrame, conditions: dict[str, str]) -> DataFrame:
     """The store without the rows that meet all conditions; the caller writes it to a new folder."""
-    gone = F.lit(True)
-    for column, value in conditions.items():
-        gone = gone & F.col(column).eqNullSafe(F.lit(value))
-    return store.filter(~gone)
+    return store.filter(~_meets(conditions))
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def delete_stored(spark: SparkSession, path: str, conditions: dict[str, str], by: str = "chrom") -> int:
+    """Delete the rows that meet all conditions from a store written by `write_per_key`; returns how many.
+
+    Only the partitions that hold such rows are written anew, and folders left without rows are removed; the files of
+    all others stay. While it runs the store holds a marker `_deletion`; deleting is repeatable, so after a failure
+    `finish_deletion` ends it. One deletion at a time; readers may run before or after it, not meanwhile.
+    """
+    if not conditions:
+        raise ValueError("conditions are needed to delete rows")
+    store = spark.read.parquet(path)
+    gone = _meets(conditions)
+    counts = store.groupBy(by).agg(F.count_if(gone).alias("gone"), F.count("*").alias("n")).filter("gone > 0")
+    hit = counts.collect()  # at most one row for each folder of the store
+    if not hit:
+        return 0
+    marker = f"{path}/_deletion"
+    spark.createDataFrame([(json.dumps([conditions, by]),)], "value string").coalesce(1).write.mode("overwrite").text(marker)
+    kept = [r[by] for r in hit if r["gone"] < r["n"]]
+    if kept:
+        inside = reduce(lambda a, b: a | b, [F.col(by).eqNullSafe(F.lit(v)) for v in kept])
+        rest = store.filter(inside).filter(~gone)
+        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for r in hit:
+        if r["gone"] == r["n"]:
+            fs, folder = _folder(spark, path)
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, names.getPartitionPathString(by, None if r[by] is None else str(r[by]))), True)
+    fs, place = _folder(spark, marker)
+    fs.delete(place, True)
+    return sum(r["gone"] for r in hit)
+
+
+def finish_deletion(spark: SparkSession, path: str) -> int:
+    """End a deletion that failed midway, if the store holds its marker; returns how many rows were still there."""
+    fs, place = _folder(spark, f"{path}/_deletion")
+    if not fs.exists(place):
+        return 0
+    texts = [r[0] for r in spark.read.text(f"{path}/_deletion").collect()] if fs.exists(_folder(spark, f"{path}/_deletion/_SUCCESS")[1]) else []
+    deleted = delete_stored(spark, path, *json.loads(texts[0])) if texts else 0
+    fs.delete(place, True)
+    return deleted
