@@ -186,48 +186,42 @@ PURITIES = np.arange(0.01, 1, 0.01)
 INTERVAL, STEP, TAIL = 0.99, 0.005, 0.01
 
 
-def _purity_profile(
-    vaf: float, depth: int, ploidy: int, low: float, high: float, somatic_only: bool, loh_cutoff: float, weight_cutoff: float
-):
-    """Misfit and germline flag of one variant at every purity, over the fractions low..high."""
+def _origins(ploidy: int, somatic_only: bool):
+    """What a variant of this ploidy can come from: expected fraction by purity, the cell fraction as slope and offset of the
+    observed fraction, whether it is germline, and whether that is with a loss of the other copy."""
     p = PURITIES
     total = 2 * (1 - p) + ploidy * p
-    expected, cell_fraction, germline, loh = [], [], [], []
-    if ploidy == 2:
-        expected.append(p / (2 - p))
-        cell_fraction.append(vaf / (p / (2 - p)))
-        germline.append(False)
-        loh.append(False)
-    for c in range(1, ploidy + 1):
-        expected.append(c * p / total)
-        cell_fraction.append(vaf / (c * p / total))
-        germline.append(False)
-        loh.append(False)
+    rows = [(p / (2 - p), (2 - p) / p, 0 * p, False, False)] if ploidy == 2 else []
+    rows += [(c * p / total, total / (c * p), 0 * p, False, False) for c in range(1, ploidy + 1)]
     if not somatic_only:
         if ploidy == 2:
-            expected.append(1 / (2 - p))
-            cell_fraction.append((vaf * (2 - p) - 1 + p) / p)
-            germline.append(True)
-            loh.append(True)
-        for c in range(1, ploidy + 1):
-            expected.append((1 - p + c * p) / total)
-            cell_fraction.append((vaf * total - 1 + p) / (c * p))
-            germline.append(True)
-            loh.append(c == ploidy)
-    span = np.arange(low, high + STEP, STEP)
-    span[-1] = high
-    reads = np.round(depth * span)
-    chance = np.stack(expected)
-    ways = tails.log_choose(float(depth), reads)[:, None, None]
-    k = reads[:, None, None]
-    likelihood = np.exp(ways + k * np.log(chance) + (depth - k) * np.log1p(-chance)) + np.finfo(float).tiny
-    share = likelihood / likelihood.sum(axis=(0, 1))
-    weight = share.sum(axis=0)
-    misfit = ((np.stack(cell_fraction) - 1) ** 2 * weight).sum(axis=0)
-    is_germ, is_loh = np.array(germline), np.array(loh)
-    flagged = np.zeros(len(p), dtype=bool)
-    if is_germ.any():
-        flagged = (weight[is_germ].sum(axis=0) > weight_cutoff) & ~(weight[is_loh] > loh_cutoff).any(axis=0)
+            rows.append((1 / (2 - p), (2 - p) / p, (p - 1) / p, True, True))
+        rows += [((1 - p + c * p) / total, total / (c * p), (p - 1) / (c * p), True, c == ploidy) for c in range(1, ploidy + 1)]
+    return [np.array(x) for x in zip(*rows)]
+
+
+def _purity_profiles(
+    vaf: np.ndarray, depth: np.ndarray, ploidy: int, low: np.ndarray, high: np.ndarray, somatic_only: bool, loh_cutoff: float,
+    weight_cutoff: float, points: int = 2048,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Misfit and germline flag of variants of one ploidy at every purity, over the fractions low..high of each. About
+    `points` fractions are in memory at a time."""
+    chance, slope, offset, germline, loh = _origins(ploidy, somatic_only)
+    logs, others = np.log(chance).ravel(), np.log1p(-chance).ravel()
+    counts = np.ceil((high + STEP - low) / STEP).astype(int)
+    misfit, flagged = np.empty((len(vaf), len(PURITIES))), np.zeros((len(vaf), len(PURITIES)), dtype=bool)
+    for rows in np.split(np.arange(len(vaf)), np.flatnonzero(np.diff(np.cumsum(counts) // points)) + 1):
+        n, first = counts[rows], np.cumsum(counts[rows]) - counts[rows]
+        own = np.repeat(rows, n)
+        span = low[own] + (np.arange(len(own)) - np.repeat(first, n)) * (low + STEP - low)[own]
+        span[first + n - 1] = high[rows]
+        reads = np.round(depth[own] * span)
+        power = tails.log_choose(depth[own], reads)[:, None] + reads[:, None] * logs + (depth[own] - reads)[:, None] * others
+        likelihood = np.add.reduceat(np.exp(power) + np.finfo(float).tiny, first).reshape(len(rows), *chance.shape)
+        weight = likelihood / likelihood.sum(axis=1, keepdims=True)
+        misfit[rows] = ((vaf[rows, None, None] * slope + offset - 1) ** 2 * weight).sum(axis=1)
+        if germline.any():
+            flagged[rows] = (weight[:, germline].sum(axis=1) > weight_cutoff) & ~(weight[:, loh] > loh_cutoff).any(axis=1)
     return misfit, flagged
 
 
@@ -250,31 +244,34 @@ def tumour_purity(
 ) -> DataFrame:
     """Purity per sample in three stages: all variants, without germline ones, without subclonal ones.
 
-    variants: (sample, id, vaf, depth, ploidy). The misfits of a variant at all purities are one
-    row; sums per sample and purity combine on the map side, so one sample may hold any share.
+    variants: (sample, id, vaf, depth, ploidy). What a variant says depends on its fraction, depth and ploidy alone, so
+    variants are counted by these and each combination is worked out once. Sums per sample and purity combine on the
+    map side, so one sample may hold any share. Variants without a fraction, without reads or with a ploidy below one
+    take no part.
     """
-    schema = "sample string, id string, misfit array<double>, germline array<boolean>, subclonal array<boolean>"
+    schema = "vaf double, depth long, ploidy int, misfit array<double>, germline array<boolean>, subclonal array<boolean>"
+    same = ["vaf", "depth", "ploidy"]
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            depth, ploidy = pdf["depth"].to_numpy(dtype=float), pdf["ploidy"].to_numpy(dtype=float)
-            hits = np.round(depth * pdf["vaf"].to_numpy(dtype=float))
-            low, high = _fraction_bounds(hits, depth)
-            late = _subclonal(hits, depth, ploidy)
-            rows = []
-            for i, r in enumerate(pdf.itertuples()):
-                misfit, germ = _purity_profile(
-                    r.vaf, int(r.depth), int(r.ploidy), low[i], high[i], somatic_only, loh_cutoff, weight_cutoff
-                )
-                rows.append((r.sample, r.id, misfit.tolist(), germ.tolist(), late[i].tolist()))
-            yield pd.DataFrame(rows, columns=["sample", "id", "misfit", "germline", "subclonal"])
-
-    usable = variants.filter("depth > 0").select(F.col("sample").cast("string").alias("sample"), F.col("id").cast("string").alias("id"), "vaf", "depth", "ploidy")
-    profiles = cut_lineage(usable.mapInPandas(profile, schema))
+            for ploidy, part in pdf.groupby("ploidy"):
+                vaf, depth = part["vaf"].to_numpy(dtype=float), part["depth"].to_numpy(dtype=float)
+                hits = np.round(depth * vaf)
+                low, high = _fraction_bounds(hits, depth)
+                misfit, germ = _purity_profiles(vaf, depth, int(ploidy), low, high, somatic_only, loh_cutoff, weight_cutoff)
+                late = _subclonal(hits, depth, np.full(len(part), float(ploidy)))
+                yield part[same].assign(misfit=list(misfit), germline=list(germ), subclonal=list(late))
+
+    kinds = [F.col("vaf").cast("double").alias("vaf"), F.col("depth").cast("long").alias("depth"), F.col("ploidy").cast("int").alias("ploidy")]
+    usable = variants.select(F.col("sample").cast("string").alias("sample"), *kinds).filter("depth > 0 AND ploidy > 0 AND vaf IS NOT NULL AND NOT isnan(vaf)")
+    tally = cut_lineage(usable.groupBy("sample", *same).agg(F.count("*").alias("n")))
+    parts = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    worked = tally.select(*same).distinct().repartition(parts, *same).mapInPandas(profile, schema)
+    profiles = cut_lineage(tally.join(worked, same).drop(*same))
 
     def stage(kept: DataFrame, label: str) -> DataFrame:
-        sums = kept.select("sample", F.posexplode("misfit").alias("at", "m")).groupBy("sample", "at").agg(
-            F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("ss"), F.count("*").alias("n")
+        sums = kept.select("sample", "n", F.posexplode("misfit").alias("at", "m")).groupBy("sample", "at").agg(
+            F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("ss"), F.sum("n").alias("n")
         )
         best = sums.groupBy("sample").agg(F.min("s").alias("least"), F.min_by("at", F.struct("s", "at")).alias("best"))
         spread = F.sqrt(F.greatest(F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) ** 2, F.lit(0.0)))
