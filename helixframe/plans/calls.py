@@ -354,14 +354,16 @@ def _(t):
     return named[0].union(named[1]).union(named[2])
 
 
-# Repeats: the parts are mutations, the suppliers of a nation are the repeated samples.
+# Repeats: the parts are mutations, the suppliers of a nation are the repeated samples. Later lines of an order expect the
+# next part, so some expected mutations are not found.
 def _repeats(t):
-    found = t.lineitem.filter("l_quantity > 20").groupBy(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("var_id")).agg(F.max("l_discount").alias("af"))
-    known = t.lineitem.groupBy(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("var_id")).agg((F.min("l_linenumber") / 100).alias("af"))
+    found = t.lineitem.groupBy(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("var_id")).agg(F.max("l_discount").alias("af"))
+    expected = F.col("l_partkey") + F.floor(F.col("l_linenumber") / 5)
+    known = t.lineitem.groupBy(F.col("l_suppkey").alias("sample"), expected.alias("var_id")).agg((F.min("l_linenumber") / 100).alias("af"))
     return found, known, t.supplier.select(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("sample"))
 
 
-_REP = """d AS (SELECT l_suppkey AS sample, l_partkey AS var_id, max(l_discount) AS af FROM lineitem WHERE l_quantity > 20 GROUP BY 1, 2), k AS (SELECT l_suppkey AS sample, l_partkey AS var_id, min(l_linenumber) / 100 AS af FROM lineitem GROUP BY 1, 2),
+_REP = """d AS (SELECT l_suppkey AS sample, l_partkey AS var_id, max(l_discount) AS af FROM lineitem GROUP BY 1, 2), k AS (SELECT l_suppkey AS sample, l_partkey + l_linenumber // 5 AS var_id, min(l_linenumber) / 100 AS af FROM lineitem GROUP BY 1, 2),
 g AS (SELECT s_nationkey AS grp, s_suppkey AS sample, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)"""
 _SPREAD = """count(af) AS calls, max(n) AS trials, coalesce(min(af), 0) AS low, coalesce(max(af), 0) AS high, round(coalesce(avg(af), 0), 6) AS mean, round(coalesce(median(af), 0), 6) AS median, round(coalesce(stddev_samp(af), 0), 6) AS sd"""
 
@@ -409,11 +411,11 @@ def _(t):
     return ca.scored_evaluation(*_sets(t), 1_000_000, 6)
 
 
-@query("V06_matrix_comparison", """WITH k AS (SELECT DISTINCT l_suppkey % 8 AS sample, l_partkey AS mutation FROM lineitem WHERE l_quantity > 30), p AS (SELECT DISTINCT l_partkey AS mutation FROM lineitem WHERE l_quantity > 49 AND l_tax > 0.06),
+@query("V06_matrix_comparison", """WITH k AS (SELECT DISTINCT l_suppkey % 8 AS sample, l_partkey AS mutation FROM lineitem), p AS (SELECT DISTINCT l_partkey AS mutation FROM lineitem WHERE l_quantity > 49 AND l_tax > 0.06),
 n AS (SELECT count(DISTINCT mutation) AS seen FROM k SEMI JOIN p USING (mutation)), g AS (SELECT sample, count(*) AS positives, count(p.mutation) AS "TP" FROM k LEFT JOIN p USING (mutation) GROUP BY 1)
 SELECT sample, positives, "TP", positives - "TP" AS "FP", seen - "TP" AS "FN", 300000 - positives - (seen - "TP") AS "TN" FROM g, n""")
 def _(t):
-    c = t.lineitem.filter("l_quantity > 30").select((F.col("l_suppkey") % 8).alias("sample"), F.col("l_partkey").alias("mutation"))
+    c = t.lineitem.select((F.col("l_suppkey") % 8).alias("sample"), F.col("l_partkey").alias("mutation"))
     return ca.matrix_comparison(c, t.lineitem.filter("l_quantity > 49 AND l_tax > 0.06").select(F.col("l_partkey").alias("mutation")), 300_000)
 
 

@@ -391,11 +391,11 @@ def _(t):
 
 
 @query("J24_node_attributes", """WITH e AS (SELECT DISTINCT l_partkey AS source, l_suppkey AS target FROM lineitem),
-n AS (SELECT source AS node FROM e UNION SELECT target FROM e), a AS (SELECT o_custkey AS node, min_by(o_totalprice, o_orderkey) AS qty FROM orders WHERE o_totalprice > 100000 GROUP BY 1)
+n AS (SELECT source AS node FROM e UNION SELECT target FROM e), a AS (SELECT o_custkey AS node, min_by(o_totalprice, o_orderkey) AS qty FROM orders GROUP BY 1)
 SELECT node, CASE WHEN node % 7 = 0 THEN 'TF' WHEN node % 5 = 0 THEN 'HIST' WHEN node % 3 = 0 THEN 'RPG' ELSE 'Gene' END AS type, qty FROM n LEFT JOIN a USING (node)""")
 def _(t):
     edges = t.lineitem.select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).distinct()
-    attrs = t.orders.filter("o_totalprice > 100000").select(
+    attrs = t.orders.select(
         F.col("o_custkey").alias("node"), F.col("o_totalprice").alias("qty"), F.col("o_orderkey").alias("line_no")
     )
     kinds = [(label, t.part.filter(f"p_partkey % {n} = 0").select("p_partkey")) for label, n in (("TF", 7), ("HIST", 5), ("RPG", 3))]
