@@ -148,14 +148,15 @@ def with_edits(docs: DataFrame, rows_per_part: int = 4_000, parts: int = 20_000,
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per row of `docs`.
 
     The next document is the next in order of doc_id, nulls last, equal ids in order of their texts' hashes; after the
-    last comes the first. Texts are shuffled once, by ranges of ids. Each part compares its rows in order; only its first
+    last comes the first. Texts are shuffled once, by ranges of ids and, within an id, of hashes, so that many rows of one
+    id (or without any) are dealt over parts. Each part compares its rows in order; only its first
     and last row are written out, and the last of each part then meets the first of the next. Null texts are
     empty; repeated rows stay; other columns are not read; an empty table gives an empty result.
     """
     rows = shaped(docs, doc_id="long", text="string").select("doc_id", text_of().alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     count = max(1, min(parts, -(-rows.select("doc_id").count() // rows_per_part)))
-    placed = rows.repartitionByRange(count, order[0]).sortWithinPartitions(*order)
+    placed = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
