@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import ordered
 from helixframe.operators import countmodel as cm
+from helixframe.operators import density
 from helixframe.operators import differential as de
 from helixframe.operators import enrichment as en
 from helixframe.operators import expression as ex
@@ -523,3 +524,10 @@ SELECT point, round(avg(exp(-0.5 * pow((point - v) / h, 2)) / (h * sqrt(2 * pi()
 def _(t):
     out = st.kernel_density(t.orders, "o_totalprice", [25000.0 * i for i in range(21)])
     return out.select("point", F.round(F.col("density") * 1e6, 6).alias("density"))
+
+
+@query("M34_binned_density", """WITH a AS (SELECT o_totalprice AS v, stddev_samp(o_totalprice) OVER () * pow(count(*) OVER (), -0.2) AS h FROM orders), g AS (SELECT unnest(range(0, 21)) * 25000.0::DOUBLE AS point)
+SELECT point, round(avg(exp(-0.5 * pow((point - v) / h, 2)) / (h * sqrt(2 * pi()))) * 1e6, 3) AS density FROM g, a GROUP BY 1""")
+def _(t):
+    out = density.binned_density(t.orders, "o_totalprice", [25000.0 * i for i in range(21)])
+    return out.select("point", F.round(F.col("density") * 1e6, 3).alias("density"))
