@@ -143,7 +143,7 @@ def principal_components(df: DataFrame, samples: Sequence[str], explained: float
     order = np.argsort(values)[::-1]
     values, vectors = np.maximum(values[order], 0), vectors[:, order]
     ratio = values / values.sum()
-    keep = max(int(np.searchsorted(np.cumsum(ratio), explained) + 1), 2)
+    keep = min(max(int(np.searchsorted(np.cumsum(ratio), explained) + 1), 2), len(samples))  # the shares may sum to a little below 1
     scores = vectors[:, :keep] * np.sqrt(values[:keep])
     scores = scores * np.sign(scores[np.abs(scores).argmax(axis=0), np.arange(keep)])
     rows = [

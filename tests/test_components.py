@@ -21,3 +21,13 @@ def test_incomplete_genes_count_at_their_mean(spark):
     assert table @ table.T == pytest.approx(filled.T @ filled)
     counted = pw.incomplete_genes(df, names).first()
     assert (counted.genes, counted.incomplete) == (40, int(gone.any(axis=1).sum()))
+
+
+@pytest.mark.parametrize("names", [["a", "b", "c", "d", "e", "f", "g", "h"], ["a"]])
+def test_all_components_are_no_more_than_samples(spark, names):
+    draw = np.random.default_rng(0)
+    for seed in range(3):
+        values = np.random.default_rng(seed).integers(1, 50, size=(30, len(names))).astype(float)
+        df = spark.createDataFrame([(g, s, float(values[g, k])) for g in range(30) for k, s in enumerate(names) if draw.random() < 0.9], "gene int, sample string, value double")
+        components = {r.component for r in pw.principal_components(df, names, 1.0, incomplete=True).collect()}
+        assert len(components) <= len(names)
