@@ -15,12 +15,13 @@ Z95 = 1.959963984540054
 
 
 def wilson(hits: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
-    """Wilson score interval of a proportion; null without trials."""
-    p = F.try_divide(hits, n)
+    """Wilson score interval of a proportion; null without trials, and where hits are no part of the trials."""
+    p = F.when((hits >= 0) & (hits <= n), F.try_divide(hits, n))
     centre = p + F.try_divide(F.lit(z * z), 2 * n)
     half = z * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z * z), 4 * n * n))
     scale = 1 + F.try_divide(F.lit(z * z), n)
-    return F.greatest((centre - half) / scale, F.lit(0.0)), F.least((centre + half) / scale, F.lit(1.0))
+    # The least and the greatest pass over nulls.
+    return F.when(p.isNotNull(), F.greatest((centre - half) / scale, F.lit(0.0))), F.when(p.isNotNull(), F.least((centre + half) / scale, F.lit(1.0)))
 
 
 def _percent(hits: Column, n: Column, empty: float | None = None) -> Column:

@@ -291,3 +291,11 @@ def test_p_of_one_stays_one_in_the_sidak_corrections(spark):
     got = {r.p: r for r in statistics_ops.adjust_all(df, ["study"], {"sidak": "one", "holm-sidak": "two"}).collect()}
     assert (got[1.0].one, got[1.0].two, got[1.2].one, got[1.2].two) == (1.0, 1.0, 1.0, 1.0)
     assert got[0.01].one == pytest.approx(1 - 0.99**3)
+
+
+def test_no_interval_where_hits_are_no_part_of_the_trials(spark):
+    df = spark.createDataFrame([(5, 3), (-1, 3), (0, 0), (2, 4)], "x long, n long")
+    low, high = calls.wilson(F.col("x"), F.col("n"))
+    got = {(r.x, r.n): (r.low, r.high) for r in df.select("x", "n", low.alias("low"), high.alias("high")).collect()}
+    assert got[5, 3] == got[-1, 3] == got[0, 0] == (None, None)
+    assert got[2, 4] == pytest.approx((0.150036, 0.849964), abs=1e-5)
