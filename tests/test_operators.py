@@ -311,3 +311,23 @@ def test_uncorrelated_whole_numbers_have_no_sign(spark):
     pairs = spark.createDataFrame([(f"x{k}", f"y{k}") for k in range(genes)], "source string, target string")
     out = statistics_ops.pair_correlation(spark.createDataFrame(rows, "gene string, sample string, value double"), pairs).collect()
     assert len(out) == genes and {(r.corr, r.kind) for r in out} == {(0.0, "negative")}
+
+
+def test_breakpoints_meet_united_features(spark):
+    rng = random.Random(2)
+    rows = [("c", s, s + rng.randrange(-1, 12), rng.choice(["g1", None]), rng.choice(["T1.1", "T2.1"]), rng.choice([None, 1, 4])) for s in (rng.randrange(200) for _ in range(150))]
+    features = spark.createDataFrame(rows, "chrom string, start long, end long, gene string, transcript string, exon int")
+    united = intervals_ops._united(features.filter("exon = 1"), ["chrom", "transcript"]).collect()
+    for name in ("T1.1", "T2.1"):
+        own = [(r.start, r.end) for r in united if r.transcript == name]
+        covered = {p for _, s, e, _, t, x in rows if t == name and x == 1 for p in range(s, e + 1)}
+        assert sum(e - s + 1 for s, e in own) == len(covered) and {p for s, e in own for p in range(s, e + 1)} == covered
+    points = spark.createDataFrame([("c", p) for p in range(210)], "chrom string, pos long")
+    none = spark.createDataFrame([], "transcript string")
+    got = {tuple(r) for r in intervals_ops.annotate_breakpoints(points, features, none).collect()}
+    want = {}
+    for _, s, e, g, t, x in rows:
+        for p in range(s, e + 1):
+            want[p, g, t] = max(want.get((p, g, t), -1), -1 if x is None else x)
+    # A gene without a name never met its canonical transcripts, and still does not.
+    assert got == {("c", p, g, t, "intronic" if x < 0 else f"exon{x}") for (p, g, t), x in want.items() if g is not None}
