@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.functions.means import rounded_mean
 from helixframe.operators import relations as rel
 from helixframe.operators import sets
 from helixframe.plans import bindings as b
@@ -434,7 +435,8 @@ def _(t):
 FROM lineitem GROUP BY 1, 2""")
 def _(t):
     li = t.lineitem.groupBy(F.col("l_orderkey").alias("row_key"), F.col("l_linenumber").alias("col_key"))
-    return rel.value_with_p(li.agg(F.avg("l_tax").alias("value")), li.agg(F.avg("l_discount").alias("p")), ["row_key", "col_key"])
+    values, p = rounded_mean(F.col("l_tax"), 4), rounded_mean(F.col("l_discount"), 4)
+    return rel.value_with_p(li.agg(values.alias("value")), li.agg(p.alias("p")), ["row_key", "col_key"])
 
 
 # The pages are written as two files and streamed one file a trigger; keys seen in the first are skipped in the second.
