@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import ordered
+from helixframe.functions.means import rounded_mean
 from helixframe.operators import countmodel as cm
 from helixframe.operators import density
 from helixframe.operators import differential as de
@@ -445,7 +446,8 @@ def _(t):
 
 # Statistics with ready p values: prices make the fold, quantities the p.
 def _stats(t):
-    agg = t.lineitem.groupBy(F.col("l_partkey").alias("gene")).agg(F.round(F.avg("l_extendedprice") / 10000 - 5, 4).alias("log2fc"), F.round(F.min("l_quantity") / 50, 6).alias("pvalue"))
+    fold = rounded_mean(F.col("l_extendedprice"), 4, lambda mean: mean / 10000 - 5)
+    agg = t.lineitem.groupBy(F.col("l_partkey").alias("gene")).agg(fold.alias("log2fc"), F.round(F.min("l_quantity") / 50, 6).alias("pvalue"))
     return agg.filter("gene % 4 <> 0").withColumn("padjust", F.least(F.col("pvalue") * 2, F.lit(1.0)))
 
 
