@@ -138,18 +138,23 @@ def subnetwork(
 def match_samples(again: DataFrame, original: DataFrame, tail: int = 4) -> DataFrame:
     """Original sample whose name, cut by `tail` characters, starts with the cut name of the new one.
 
-    Every prefix of an original name is a join key, so the match is an equi-join; of several
-    matches the earliest line wins. `original` is (sample, line_no), `again` is (sample).
+    The originals are cut to each length that a cut new name has, so the match is an equi-join, and only stems asked for are
+    kept; of several matches the earliest line wins, then the smallest name. `original` is (sample, line_no), `again` is (sample).
     """
     def cut(c: Column) -> Column:
         return F.substring(c, 1, F.length(c) - tail)
 
+    asked = again.select("sample", cut(F.col("sample")).alias("stem"))
+    # One number for each length of a name in use.
+    lengths = [r["n"] for r in asked.select(F.length("stem").alias("n")).distinct().collect() if r["n"] is not None]
     stem = cut(F.col("sample"))
-    prefixes = original.select(
-        F.col("sample").alias("original"), "line_no",
-        F.explode(F.transform(F.sequence(F.lit(1), F.length(stem)), lambda n: F.substring(stem, 1, n))).alias("stem"),
-    ).groupBy("stem").agg(F.min_by("original", "line_no").alias("original"))
-    return again.select("sample", cut(F.col("sample")).alias("stem")).join(prefixes, "stem", "left").drop("stem")
+    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(stem))
+    lines = original.select(F.col("sample").alias("original"), "line_no", F.explode(F.transform(cuts, lambda n: F.substring(stem, 1, n))).alias("stem"))
+    wanted = lines.join(asked.select("stem").distinct(), "stem", "left_semi")
+    # Numbers are aggregated by hash; names, which are sorted, only for the line that won.
+    first = wanted.groupBy("stem").agg(F.min("line_no").alias("line_no"))
+    prefixes = wanted.join(first, ["stem", "line_no"]).groupBy("stem").agg(F.min("original").alias("original"))
+    return asked.join(prefixes, "stem", "left").drop("stem")
 
 
 def append_lists(original: DataFrame, again: DataFrame, matches: DataFrame) -> DataFrame:
