@@ -12,12 +12,15 @@ from helixframe.session import cut_lineage
 
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node) for every node under each root, itself included; edges is (node, parent)."""
-    step = edges.filter(F.col("node") != F.col("parent")).select(F.col("parent").alias("_p"), F.col("node").alias("_n")).distinct()
+    """(root, node) for every node under each root, itself included; edges is (node, parent).
+
+    The edges are written once for all rounds, and the joins of a round pass nothing through the driver.
+    """
+    step = cut_lineage(edges.filter(F.col("node") != F.col("parent")).select(F.col("parent").alias("_p"), F.col("node").alias("_n")).distinct())
     parts = [cut_lineage(roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node")).distinct())]
     while True:
-        reached = parts[-1].join(step, F.col("node") == F.col("_p")).select("root", F.col("_n").alias("node")).distinct()
-        frontier = cut_lineage(reached.join(_all(parts), ["root", "node"], "left_anti"))
+        reached = parts[-1].join(step.hint("merge"), F.col("node") == F.col("_p")).select("root", F.col("_n").alias("node")).distinct()
+        frontier = cut_lineage(reached.join(_all(parts).hint("merge"), ["root", "node"], "left_anti"))
         if frontier.isEmpty():
             return _all(parts)
         parts.append(frontier)
@@ -62,19 +65,21 @@ def subtree_expression(edges: DataFrame, expression: str) -> DataFrame:
 def depth(edges: DataFrame) -> DataFrame:
     """(node, depth): the longest way up along parents; a node without a parent other than itself has 0.
 
+    Edges are written once, and the joins of a round pass nothing through the driver.
     A round takes the nodes one step further down, so more rounds than nodes mean a cycle, which is an error, as is a
     graph of which some node cannot be reached from a root.
     """
     nodes = edges.select("node").union(edges.select(F.col("parent"))).filter("node IS NOT NULL").distinct()
-    up = edges.select("node", "parent").filter("node <> parent").distinct()
-    rounds = [cut_lineage(nodes.join(up, "node", "left_anti").select("node", F.lit(0).alias("depth")))]
+    nodes = cut_lineage(nodes)
+    up = cut_lineage(edges.select("node", "parent").filter("node <> parent").distinct())
+    rounds = [cut_lineage(nodes.join(up.hint("merge"), "node", "left_anti").select("node", F.lit(0).alias("depth")))]
     count = nodes.count()
     below = up.select(F.col("node").alias("_child"), "parent")
     while True:
         if len(rounds) > count + 1:
             raise ValueError("the hierarchy holds a cycle")
         current = cut_lineage(
-            rounds[-1].join(below, F.col("node") == F.col("parent"))
+            rounds[-1].join(below.hint("merge"), F.col("node") == F.col("parent"))
             .select(F.col("_child").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
         )
         if current.isEmpty():
