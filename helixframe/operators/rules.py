@@ -138,24 +138,21 @@ def judge_families(counts: DataFrame, rules: DataFrame) -> DataFrame:
     subfamily takes the place of its family, whichever rule came first.
     """
     key = ["family", "subfamily"]
-    asked = rules.filter("role = 'binding'").groupBy(*key).agg(F.count("*").alias("_asked"))
-    bound = counts.join(rules.filter("role = 'binding'"), "domain").filter(F.col("n").between(F.col("low"), F.col("high")))
-    full = bound.groupBy("query_id", *key).agg(F.count("*").alias("_met")).join(asked, key).filter("_met = _asked")
-    def touching(role: str) -> DataFrame:
-        return counts.join(rules.filter(F.col("role") == role), "domain").select("query_id", *key).distinct()
-
-    kept = full.join(touching("forbidden"), ["query_id", *key], "left_anti")
-    helped = touching("auxiliary").withColumn("_aux", F.lit(True))
-    needs = rules.filter("role = 'auxiliary'").select(*key).distinct().withColumn("_needs", F.lit(True))
-    judged = kept.join(helped, ["query_id", *key], "left").join(needs, key, "left")
-    specific = F.col("_aux") | F.col("_needs").isNull()
-    named = judged.select(
-        "query_id", "family", F.when(specific, F.col("subfamily")).otherwise(F.col("family")).alias("_name"),
-        F.coalesce(F.col("_aux"), F.lit(False)).alias("_aux"), F.coalesce(specific, F.lit(False)).alias("_specific"),
-    )
-    overridden = named.filter("_aux").select("query_id", F.col("family").alias("_name")).distinct()
-    loose = named.filter(~F.col("_specific")).join(overridden, ["query_id", "_name"], "left_anti")
-    return named.filter("_specific").select("query_id", "_name").union(loose.select("query_id", "_name")).distinct().withColumnRenamed("_name", "family")
+    role = F.col("role")
+    asked = rules.groupBy(*key).agg(F.count_if(role == "binding").alias("_asked"), F.max(role == "auxiliary").alias("_needs")).filter("_asked > 0")
+    in_range = F.col("n").between(F.col("low"), F.col("high"))
+    # One aggregate over the rows that a rule touches, in place of a join for each role.
+    touched = counts.join(rules, "domain").groupBy("query_id", *key).agg(
+        F.count_if((role == "binding") & in_range).alias("_met"), F.max(role == "forbidden").alias("_barred"), F.max(role == "auxiliary").alias("_aux"))
+    judged = touched.join(asked, key).filter("_met = _asked AND NOT _barred")
+    specific = F.col("_aux") | ~F.col("_needs")
+    # A family without its subfamily stands unless a rule of that family with an auxiliary domain was met.
+    votes = F.array(
+        F.struct(F.when(specific, F.col("subfamily")).otherwise(F.col("family")).alias("family"), specific.alias("_specific"), F.lit(False).alias("_over")),
+        F.when(F.col("_aux"), F.struct(F.col("family"), F.lit(None).cast("boolean").alias("_specific"), F.lit(True).alias("_over"))))
+    named = judged.select("query_id", F.explode(F.filter(votes, lambda v: v.isNotNull())).alias("v")).select("query_id", "v.*")
+    told = named.groupBy("query_id", "family").agg(F.max("_specific").alias("_specific"), F.max("_over").alias("_over"))
+    return told.filter("_specific OR (_specific IS NOT NULL AND NOT _over)").select("query_id", "family")
 
 
 def family_by_domain(counts: DataFrame, lookup: DataFrame) -> DataFrame:
