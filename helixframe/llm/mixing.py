@@ -44,8 +44,6 @@ BLOCK, SLICE, PIECE, CHUNK = 128, 1 << 19, 1 << 18, 1 << 13
 SEGMENT = 128
 #: Own counts of a text are halved after so many bits, so that no count leaves 16 bits.
 HALVED = 12_000
-#: Of the training texts, one in so many also teaches the weights.
-TEACHING = 16
 INPUTS, GATES, CELLS = 4, 2 * 4 * 4 * 3, 33
 #: Steps of the weights while they are learnt and within a text, their first value, what is added to counts, and how often a cell of
 #: the map counts as seen before a text.
@@ -740,7 +738,7 @@ def _scored(rows: DataFrame, shared: Broadcast) -> DataFrame:
 def scores(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row per row of `docs`.
 
-    Training texts are those that are not held out; counts cover them all. Tokens are the words of the text, A to Z in
+    Training texts are those that are not held out; counts, weights and map are learnt from them all. Tokens are the words of the text, A to Z in
     lower case, and one end. The base gives a token of count c (c + 1) / (N + V + 1). `score` is the logarithm to the base
     ten of the model's probability of the tokens; `bits_per_byte` is the same in bits, by the bytes of the text (null for an
     empty text). At most `dictionary` words are coded whole, those that occur twice at least; all others are spelled. Null texts
@@ -758,8 +756,7 @@ def scores(docs: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     words, times, least = _dictionary(counts, dictionary)
     tree = tree_of(words, times, ends, about["n"] - sum(times), letter_counts(counts.filter(F.col("n") < least)))
     pairs = context_counts(training, spark.sparkContext.broadcast(tree))
-    teaching = training.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(TEACHING)) == 0)
-    learnt = taught(teaching, spark.sparkContext.broadcast(model_of(tree, pairs, start_weights(), start_odds(), learn=True)))
+    learnt = taught(training, spark.sparkContext.broadcast(model_of(tree, pairs, start_weights(), start_odds(), learn=True)))
     found = cut_lineage(_scored(rows, spark.sparkContext.broadcast(model_of(tree, pairs, *learnt))))
     rare = found.select("key", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("key", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     counted = rare.join(counts.filter(F.col("n") < least), "word").groupBy("key").agg(

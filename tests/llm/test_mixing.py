@@ -149,3 +149,10 @@ def test_empty_table(llm):
     docs = llm.createDataFrame([], "doc_id long, text string")
     assert M.scores(docs).columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     assert M.scores(docs).count() == 0
+
+
+def test_every_training_text_teaches_the_weights(llm, sentences, monkeypatch):
+    seen, plain = [], M.taught
+    monkeypatch.setattr(M, "taught", lambda texts, shared: seen.append(texts.count()) or plain(texts, shared))
+    rows = M.scores(llm.createDataFrame(list(enumerate(sentences)), "doc_id long, text string")).collect()
+    assert seen == [sum(not r.held_out for r in rows)] and 0 < seen[0] < len(sentences)
