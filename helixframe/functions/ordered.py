@@ -150,14 +150,20 @@ def quantiles(
         return df.groupBy(*keys).agg(
             F.count(value).alias("n"), *[F.percentile(value, float(q)).alias(n) for n, q in points.items()]
         )
-    places = tie_counts(df, keys, value)
+    # Only value ranges that hold a wanted place are put in order.
     keys = list(keys)
-    size = places.groupBy(*keys).agg(F.sum("ties").alias("n"))
-    # Without keys the sizes are one row, read as a scalar instead of joined.
-    if keys:
-        placed = places.join(size, keys)
-    else:
-        placed = places.withColumn("n", size.scalar())
+    staged = with_value_range(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties")), value)
+    group = W.partitionBy(*(keys or [F.lit(0)]))
+    counted = staged.groupBy(*keys, "_range").agg(F.sum("ties").alias("_held")).select(
+        *keys, "_range", "_held", F.sum("_held").over(group).alias("n"),
+        F.sum("_held").over(group.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_upto"))
+    wanted = F.lit(False)
+    for q in points.values():
+        for place in (F.floor((F.col("n") - 1) * F.lit(float(q))), F.ceil((F.col("n") - 1) * F.lit(float(q)))):
+            wanted = wanted | ((F.col("_upto") - F.col("_held") <= place) & (place < F.col("_upto")))
+    chosen = counted.filter(wanted).select(*keys, "_range", "n", (F.col("_upto") - F.col("_held")).alias("_before"))
+    inside = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = staged.join(chosen, [*keys, "_range"]).withColumn("upto", F.col("_before") + F.sum("ties").over(inside))
     aggs = [F.max("n").alias("n")]
     for name, q in points.items():
         h = (F.col("n") - 1) * F.lit(float(q))

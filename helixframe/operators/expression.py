@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from helixframe.functions import ordered
+from helixframe.session import cut_lineage
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
@@ -65,11 +66,11 @@ def guarded_abundance(
 
 def size_factors(counts: DataFrame, n_samples: int) -> DataFrame:
     """Median-of-ratios factors over the genes counted in every one of the samples."""
-    logs = counts.filter(F.col("value") > 0).withColumn("log_value", F.log("value"))
-    centre = logs.groupBy("gene").agg(F.avg("log_value").alias("centre"), F.count("*").alias("seen"))
-    ratios = logs.join(centre.filter(F.col("seen") == n_samples), "gene").select(
-        "sample", (F.col("log_value") - F.col("centre")).alias("ratio")
-    )
+    logs = counts.filter((F.col("value") > 0) & F.col("gene").isNotNull()).select("gene", "sample", F.log("value").alias("log_value"))
+    genes = logs.groupBy("gene").agg(
+        F.avg("log_value").alias("centre"), F.count("*").alias("seen"), F.collect_list(F.struct("sample", "log_value")).alias("cells")
+    ).filter(F.col("seen") == n_samples)
+    ratios = cut_lineage(genes.select("centre", F.inline("cells")).select("sample", (F.col("log_value") - F.col("centre")).alias("ratio")))
     return ordered.quantiles(ratios, ["sample"], "ratio", {"median": 0.5}).select(
         "sample", F.exp("median").alias("size_factor")
     )
