@@ -21,6 +21,23 @@ def test_labels_of_long_texts_and_of_all_parts_teach(llm):
         assert np.median(value[1::2]) > value[::2].max() + 1
 
 
+def test_only_labelled_texts_are_written_and_packed(llm, monkeypatch):
+    docs, labels = _labelled(llm, 400)
+    docs = [(k, f"{t} straße \ud7ff\U0001f600 " * 40) for k, t in docs]
+    frame, marks = llm.createDataFrame(docs, "doc_id long, text string"), llm.createDataFrame(labels[::10], "doc_id long, quality int, toxic int")
+    kept, write = [], toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, label: kept.append(write(df, label)) or kept[-1])
+    toxicity.fit(frame, marks)
+    own = {k for k, _, _ in labels[::10]} & {r.doc_id for r in frame.filter(~toxicity.held_out(frame["doc_id"])).collect()}
+    texts = dict(docs)
+    rows = kept[0].collect()
+    assert {r.doc_id: toxicity.unpacked(r.packed) for r in rows} == {k: texts[k] for k in own}
+    assert sum(len(r.packed) for r in rows) < 0.5 * sum(len(texts[k].encode()) for k in own)
+    passed = {r.doc_id for r in toxicity.listed(frame, marks.select("doc_id")).collect()}
+    assert {k for k, _, _ in labels[::10]} <= passed and len(passed) < 50
+    assert {r.doc_id for r in toxicity.listed(frame, marks.select("doc_id"), bits=1).collect()} == set(texts)  # all may pass, none is lost
+
+
 def test_stretches_find_the_same_places():
     draw = np.random.default_rng(3)
     products, flat = [draw.normal(size=(50, 4)).astype(np.float32) for _ in range(3)], draw.integers(0, 50, 1000)
