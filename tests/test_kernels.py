@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.functions import ordered, tails
 from helixframe.operators import intervals as iv
@@ -77,6 +78,15 @@ def test_points_in_intervals_equals_brute_force(spark, features):
     assert got == want
 
 
+def test_half_of_what_a_point_meets_holds_it(spark):
+    lengths = [*range(200), 255, 256, 599, 33_600, 1 << 40, (1 << 62) - 1, 1 << 62]
+    rows = spark.createDataFrame([(n,) for n in lengths], "n long").select("n", iv._bin_size(F.col("n")).alias("size")).collect()
+    assert all(r.size <= r.n + 1 <= 4 * r.size for r in rows)
+    f = spark.createDataFrame([("a", 5, 5, 1), ("a", 9, -(10**12), 2), ("a", None, 7, 3), ("a", -7, 5, 4)], "chrom string, start long, end long, i long")
+    p = spark.createDataFrame([("a", x) for x in range(-9, 9)], "chrom string, pos long")
+    assert sorted((r.pos, r.i) for r in iv.points_in_intervals(p, f).collect()) == sorted([(5, 1), *((x, 4) for x in range(-7, 6))])
+
+
 def test_overlaps_equals_brute_force(spark, features):
     feats, _ = features
     f = spark.createDataFrame(feats, "chrom string, start long, end long, i long")
