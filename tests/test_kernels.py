@@ -87,6 +87,22 @@ def test_half_of_what_a_point_meets_holds_it(spark):
     assert sorted((r.pos, r.i) for r in iv.points_in_intervals(p, f).collect()) == sorted([(5, 1), *((x, 4) for x in range(-7, 6))])
 
 
+def test_depth_meets_regions_once_for_stretches_that_lie_alike(spark, monkeypatch):
+    rng = random.Random(4)
+    reads = [("a", s, s + rng.choice([3, 8]), f"q{k // 2}") for k in range(400) for s in [rng.randrange(0, 20, 5)]] + [("a", 7, 7, "none")]
+    regions, seen = [("a", 0, 10), ("a", 6, 30), ("a", 100, 110)], []
+    overlaps = iv.overlaps
+    monkeypatch.setattr(iv, "overlaps", lambda a, b, *more: seen.append(a.count()) or overlaps(a, b, *more))
+    got = iv.base_depth(spark.createDataFrame(reads, "chrom string, start long, end long, qname string"), spark.createDataFrame(regions, "chrom string, start long, end long"))
+    want = {}
+    for c, lo, hi in regions:
+        for x in range(lo, hi):
+            if n := len({q for _, s, e, q in reads if s <= x < e}):
+                want[c, lo, hi, x] = n
+    assert {(r.chrom, r.start, r.end, r.pos): r.depth for r in got.collect()} == want
+    assert seen[0] < 30
+
+
 def test_overlaps_equals_brute_force(spark, features):
     feats, _ = features
     f = spark.createDataFrame(feats, "chrom string, start long, end long, i long")
