@@ -19,12 +19,14 @@ def write_text_table(df: DataFrame, path: str, form: str = "tsv") -> None:
         df.write.option("header", True).option("sep", "\t" if form == "tsv" else ",").csv(path)
 
 
-def write_per_key(df: DataFrame, path: str, key: str, max_records: int = 5_000_000) -> None:
-    """One folder per key value. The largest key is counted; rows are spread by key and row hash over as many writers as
-    that key needs files, and smaller keys over as many at most."""
-    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 1
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(-(-largest // max_records)))
-    df.repartition(key, part).write.option("maxRecordsPerFile", max_records).partitionBy(key).parquet(path)
+def write_per_key(df: DataFrame, path: str, key: str, max_records: int = 5_000_000, writer_records: int = 1_000_000) -> None:
+    """One folder per key value. Keys are counted; rows are spread by key and row hash over writers of about `writer_records`
+    rows, so that what a task sorts does not grow with the table; smaller keys go over as many writers as the largest at most."""
+    counted = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(-(-(counted["largest"] or 1) // min(max_records, writer_records))))
+    tasks = -(-(counted["total"] or 0) // writer_records)
+    dealt = df.repartition(tasks, key, part) if tasks > 1 else df.repartition(key, part)  # a number of tasks is not merged again
+    dealt.write.option("maxRecordsPerFile", max_records).partitionBy(key).parquet(path)
 
 
 def chunked(df: DataFrame, order: str, size: int, drop_short: bool = False) -> DataFrame:

@@ -96,6 +96,15 @@ def test_fastq_with_at_sign_quality_and_small_batches(spark, tmp_path):
     assert sorted((r.header, r.sequence, r.plus, r.quality) for r in got) == sorted(reads)
 
 
+def test_write_per_key_spreads_a_large_key_over_writers(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("id", "IF(id % 10 = 0, 'few', 'most') AS key")
+    sinks.write_per_key(df, str(tmp_path / "k"), "key", writer_records=500)
+    back = spark.read.parquet(str(tmp_path / "k"))
+    assert sorted(r.id for r in back.filter("key = 'most'").collect()) == [k for k in range(20_000) if k % 10]
+    held = [r["count"] for r in back.groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).count().collect()]
+    assert sum(held) == 20_000 and max(held) < 5_000  # of one task
+
+
 def test_write_per_key_and_chunks(spark, tmp_path):
     df = spark.range(95).withColumn("key", F.when(F.col("id") < 80, "hot").otherwise("cold"))
     sinks.write_per_key(df, str(tmp_path / "k"), "key", max_records=10)
