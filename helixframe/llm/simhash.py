@@ -117,7 +117,11 @@ def _leaf(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _links(cells: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Links within each cell; `cells` is (keys, fp). Cells arrive whole in sorted batches."""
+    """Links within each cell; `cells` is (keys, fp). Cells arrive whole in sorted batches.
+
+    They are dealt by a hash of the keys: a shuffle by the keys themselves is left out where a join by these keys stands
+    below, and that join may then read its shuffle by map tasks or in skewed pieces, which parts the cells.
+    """
     names = [*keys, "fp"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +153,8 @@ def _links(cells: DataFrame, keys: list[str], radius: int) -> DataFrame:
         if rest is not None and len(rest):
             yield found(rest)
 
-    placed = cells.select(*names).repartition(*keys).sortWithinPartitions(*names)
-    return placed.mapInArrow(search, "a long, b long")
+    placed = cells.select(*names, F.xxhash64(*keys).alias("_dealt")).repartition("_dealt").sortWithinPartitions(*names)
+    return placed.select(*names).mapInArrow(search, "a long, b long")
 
 
 def near_links(prints: DataFrame, radius: int = 3, leaf: int = 1024) -> DataFrame:

@@ -85,6 +85,38 @@ def test_links_against_all_pairs(llm):
         assert {frozenset(g) for g in joined.values()} == set(member.values())
 
 
+def test_cells_of_several_map_tasks_stay_whole(llm):
+    draw = random.Random(8)
+    values = set()
+    for _ in range(40):  # groups of near copies
+        center = draw.getrandbits(64)
+        values |= {center ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 2))) for _ in range(30)}
+    values = sorted(values)
+    rows = llm.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}  # as with many rows
+    before = {k: llm.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            llm.conf.set(k, v)
+        links = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.near_links(rows).collect()]
+    finally:
+        for k, v in before.items():
+            llm.conf.set(k, v)
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    joined = {}
+    for v in values:
+        joined.setdefault(find(v), set()).add(v)
+    assert {frozenset(g) for g in joined.values()} == set(groups(values).values())
+
+
 def test_views_cover_every_pair():
     for radius in (0, 1, 3):
         for count in (10, 10**7, 10**11):
