@@ -19,6 +19,7 @@ from helixframe.plans import bindings as b
 from helixframe.plans.bindings import COUNTS, GROUPS, TERMS
 from helixframe.plans.files import s
 from helixframe.plans.registry import Suite
+from helixframe.session import cut_lineage
 
 suite = Suite()
 query = suite.query
@@ -291,7 +292,7 @@ def _(t):
 b AS (SELECT c.study, c.term, c.p, max(t.n) AS n FROM c JOIN t ON c.study = t.study AND t.n * c.p < t.s GROUP BY 1, 2, 3)
 SELECT c.study, c.term, round(least(1, greatest(coalesce(b.n, 0) * c.p, coalesce(t.s, 0))) + 1e-10, 6) AS q FROM c LEFT JOIN b ON c.study = b.study AND c.term = b.term LEFT JOIN t ON c.study = t.study AND t.n = coalesce(b.n, 0) + 1""")
 def _(t):
-    return st.adjust(_p(t), ["study"], method="hommel").select("study", "term", F.round(F.col("q") + 1e-10, 6).alias("q"))
+    return st.adjust(cut_lineage(_p(t)), ["study"], method="hommel").select("study", "term", F.round(F.col("q") + 1e-10, 6).alias("q"))
 
 
 @query("M18_two_stage_conservative", f"""WITH {_P}, a AS (SELECT *, min(p * m / i) OVER (PARTITION BY study ORDER BY i DESC) AS q FROM k), r AS (SELECT study, 1 - count(*) FILTER (WHERE q <= 0.05 / 1.05) / count(*) AS s FROM a GROUP BY 1)
