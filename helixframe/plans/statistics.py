@@ -418,12 +418,13 @@ def _(t):
  HAVING sum(raw) >= 8 AND count(*) > 2 AND count(*) FILTER (WHERE is_c) > 0 AND count(*) FILTER (WHERE NOT is_c) > 0""")
 def _(t):
     members, comparisons = _comparisons(t)
-    factors = ex.size_factors(b.counts(t), 8)
-    out = cm.count_model(b.counts(t), factors, members, comparisons)
+    counts = cut_lineage(b.counts(t))
+    factors = cut_lineage(ex.size_factors(counts, 8))
+    out = cm.count_model(counts, factors, members, comparisons)
     side = F.when(F.col("grp") == F.col("test"), 1.0).otherwise(0.0)
     mu = F.col("size_factor") * F.exp(F.col("intercept") + F.col("coefficient") * F.col("side"))
     rest = (F.floor(F.col("value") + 0.5) - mu) / (1 + F.col("dispersion") * mu)
-    cells = out.join(members.distinct(), (F.col("grp") == F.col("ctrl")) | (F.col("grp") == F.col("test"))).join(b.counts(t), ["gene", "sample"]).join(factors, "sample")
+    cells = out.join(members.distinct(), (F.col("grp") == F.col("ctrl")) | (F.col("grp") == F.col("test"))).join(counts, ["gene", "sample"]).join(factors, "sample")
     sums = cells.withColumn("side", side).groupBy("ctrl", "test", "gene").agg(
         F.max("base_mean").alias("base_mean"), F.sum(rest).alias("s0"), F.sum(rest * F.col("side")).alias("s1"), F.max("intercept").alias("b0"), F.max("coefficient").alias("b1"))
     settled = (F.abs(F.col("s0") - cm.RIDGE * F.col("b0")) < 1e-4) & (F.abs(F.col("s1") - cm.RIDGE * F.col("b1")) < 1e-4)

@@ -97,3 +97,23 @@ def test_dispersions_are_pulled_towards_the_trend(modelled):
     found = [r for g, r in modelled[2].items() if g.startswith("g0") and r.own > 1e-6]
     apart = lambda name: np.median([abs(math.log(r[name] / r.trend)) for r in found])
     assert apart("dispersion") < apart("own")
+
+
+def test_dispersions_of_many_rows_take_little_memory():
+    import math
+    import tracemalloc
+
+    draw = np.random.default_rng(7)
+    x = np.concatenate([10.0 ** draw.uniform(-3, 9, 200), np.arange(1.0, 30.0)])
+    assert np.allclose(cm.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-10)
+    y = draw.poisson(40, (3000, 6)).astype(float)
+    mu, side, there = np.full(y.shape, 40.0), np.tile([0.0, 1.0] * 3, (3000, 1)), np.ones(y.shape, dtype=bool)
+    there[::7, 2] = False
+    tracemalloc.start()
+    found = cm.best_dispersion(y, mu, side, there, np.full(3000, 0.1), np.full(3000, 1.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000
+    for k in (0, 1, 255, 256, 2999):  # rows stand alone
+        row = slice(k, k + 1)
+        assert np.isclose(found[k], cm.best_dispersion(y[row], mu[row], side[row], there[row], np.array([0.1]), np.array([1.0]))[0], rtol=1e-6)
